@@ -179,8 +179,9 @@ ORACLE = {
         DOC_TEXTS,
         byte_ids("doc_id").replace("ids AS (", "bare AS (", 1),
         "ids AS (SELECT doc_id, prompt_len, list_concat([257], ids) AS ids FROM bare)",
+        examples("doc_id", 256),
     )
-    + " " + WHOLE_AND_CUT,
+    + " SELECT doc_id, ids_md5, n_tokens, labels_md5 FROM examples",
     "q_pad_mask": with_(DOC_TEXTS, word_ids("doc_id"), examples("doc_id", 32000))
     + f""" SELECT doc_id, n::INTEGER AS n_ids, {digest('input_ids')} AS ids_md5,
   {digest(f'list_transform(range(0, {LENGTH}), lambda i: CASE WHEN i < n THEN 1 ELSE 0 END)')} AS mask_md5 FROM padded""",

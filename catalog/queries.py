@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalog import tables as t
 from quillshard.functions import metrics as m
 from quillshard.functions.encoders import ByteEncoder, FileEncoder, HashWordEncoder
-from quillshard.functions.examples import encode_rows, pad_ids, attention_mask, to_examples
+from quillshard.functions.examples import attention_mask, encode_rows, pad_ids, to_examples
 from quillshard.functions.formatting import InstructionFormatter, RowFormatter, full_text, with_prompt_target
 from quillshard.operators import batches as b
 from quillshard.operators import telemetry as tele
@@ -172,15 +172,17 @@ def q_custom_formatter(spark, sf):
 
 def _encoded(spark, sf, encoder) -> DataFrame:
     """Whole-text ids next to the ids cut to the model length."""
-    source = docs(spark, sf)
-    whole = encode_rows(source, DOC_FORMAT, encoder, None)
-    cut = encode_rows(source, DOC_FORMAT, encoder, LENGTH)
-    ids = whole.select("doc_id", "prompt_len", encoder.ids(F.col("payload")).alias("ids"))
-    short = cut.select(F.col("doc_id").alias("__id"), encoder.ids(F.col("payload")).alias("short"))
-    both = ids.join(short, ids["doc_id"] == short["__id"])
-    return both.select(
+    pair = with_prompt_target(docs(spark, sf), DOC_FORMAT)
+    text = pair.select("doc_id", "prompt", full_text(F.col("prompt"), F.col("target")).alias("text"))
+    whole = encoder.attach(text, "prompt", "text", None).withColumnsRenamed({"payload": "whole", "prompt_len": "whole_prompt_len"})
+    both = encoder.attach(whole, "prompt", "text", LENGTH)
+    ids = both.select(
+        "doc_id", F.col("whole_prompt_len").alias("prompt_len"), encoder.ids(F.col("whole")).alias("ids"),
+        encoder.ids(F.col("payload")).alias("cut"),
+    )
+    return ids.select(
         "doc_id", "prompt_len", F.size("ids").alias("n_ids"), digest(F.col("ids")).alias("ids_md5"),
-        digest(F.col("short")).alias("cut_md5"),
+        digest(F.col("cut")).alias("cut_md5"),
     )
 
 
@@ -221,7 +223,10 @@ def byte_level_tokenizer() -> str:
 
 
 def q_encode_file(spark, sf):
-    return _encoded(spark, sf, FileEncoder(byte_level_tokenizer(), eos_token="<eos>"))
+    """Each whole text goes through the tokenizer, which cuts its ids to the model length."""
+    encoder = FileEncoder(byte_level_tokenizer(), eos_token="<eos>")
+    rows = encode_rows(docs(spark, sf), DOC_FORMAT, encoder, LENGTH)
+    return example_digests(to_examples(rows, encoder, LENGTH, ("doc_id",)), "doc_id")
 
 
 def q_pad_mask(spark, sf):
@@ -314,9 +319,9 @@ def q_batches(spark, sf):
 
 
 def q_batch_tokens(spark, sf):
-    cfg = doc_config(sf, num_train_shards=4)
-    examples = tokenized_examples(docs(spark, sf), cfg, DOC_FORMAT, HashWordEncoder())
-    slim = examples.select("split", "shard_id", "position", "attention_mask")
+    encoder = HashWordEncoder()
+    placed = place_rows(docs(spark, sf), doc_config(sf, num_train_shards=4), DOC_FORMAT, encoder)
+    slim = placed.df.select("split", "shard_id", "position", encoder.length(F.col("payload")).alias("n_tokens"))
     return b.batch_tokens(b.with_batches(b.shuffled_epochs(slim, 2, SEED), 4)).drop("split")
 
 

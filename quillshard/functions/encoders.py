@@ -2,7 +2,7 @@
 
 An encoder works in two steps so that little data crosses a shuffle: ``attach`` adds a truncated
 ``payload`` and the ``prompt_len``, and ``ids`` turns a payload into the id array later, after rows
-have reached the task that writes them.
+have reached the task that writes them. ``length`` counts the ids of a payload without building them.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ class Encoder(Protocol):
 
     def ids(self, payload: Column) -> Column: ...
 
+    def length(self, payload: Column) -> Column: ...
+
 
 def resolve_pad_id(pad_id: int | None, eos_id: int | None) -> int:
     """The pad id, or the end-of-sequence id where no pad id exists."""
@@ -70,10 +72,16 @@ class ByteEncoder:
         ids = F.transform(letters, lambda c: F.ascii(c))
         return F.when(F.octet_length(payload) == 0, F.array().cast("array<int>")).otherwise(ids)
 
+    def length(self, payload: Column) -> Column:
+        return F.octet_length(payload)
+
 
 @dataclass(frozen=True)
 class HashWordEncoder:
-    """Whitespace-separated words, each hashed into a fixed vocabulary."""
+    """Whitespace-separated words, each hashed into a fixed vocabulary.
+
+    The payload is the kept words joined by one blank, which is smaller than their ids.
+    """
 
     vocab_size: int = 32000
     eos_id: int | None = None
@@ -88,16 +96,21 @@ class HashWordEncoder:
         words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
         if max_length is not None:
             words = F.slice(words, 1, max_length)
+        prompt_words = F.regexp_count(F.col(prompt), F.lit(WORD))
+        return df.withColumns(
+            {"payload": F.array_join(words, " "), "prompt_len": _capped(prompt_words, max_length)}
+        )
+
+    def ids(self, payload: Column) -> Column:
         vocab = self.vocab_size
-        payload = F.transform(
-            words,
+        ids = F.transform(
+            F.split(payload, " "),
             lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % vocab).cast("int"),
         )
-        prompt_words = F.regexp_count(F.col(prompt), F.lit(WORD))
-        return df.withColumns({"payload": payload, "prompt_len": _capped(prompt_words, max_length)})
+        return F.when(payload == "", F.array().cast("array<int>")).otherwise(ids)
 
-    def ids(self, payload: Column) -> Column:
-        return payload
+    def length(self, payload: Column) -> Column:
+        return F.when(payload == "", 0).otherwise(F.regexp_count(payload, F.lit(" ")) + 1)
 
 
 @dataclass(frozen=True)
@@ -130,8 +143,8 @@ class FileEncoder:
             else:
                 tokenizer.enable_truncation(max_length)
             for prompts, texts in batches:
-                full = tokenizer.encode_batch(list(texts))
-                bare = tokenizer.encode_batch(list(prompts), add_special_tokens=False)
+                full = tokenizer.encode_batch_fast(list(texts))
+                bare = tokenizer.encode_batch_fast(list(prompts), add_special_tokens=False)
                 yield pd.DataFrame(
                     {
                         "ids": [encoding.ids for encoding in full],
@@ -147,6 +160,9 @@ class FileEncoder:
     def ids(self, payload: Column) -> Column:
         return payload
 
+    def length(self, payload: Column) -> Column:
+        return F.size(payload)
+
 
 def _load_tokenizer(tokenizer_json: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

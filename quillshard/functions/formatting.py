@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Any, Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,16 +101,19 @@ class RowFormatter:
 
     def columns(self, df: DataFrame) -> tuple[Column, Column]:
         fn = self.fn
-        present = [name for name in self.fields if name in df.columns]
-
-        @F.pandas_udf("prompt string, target string")
-        def format_batch(batch: pd.DataFrame) -> pd.DataFrame:
-            rows = batch[present].to_dict("records")
-            return pd.DataFrame([fn(row) for row in rows], columns=["prompt", "target"])
-
-        # a column beyond the named ones keeps the batch length when no named field exists
-        carrier = F.struct(*[F.col(f"`{name}`") for name in present], F.lit(0).alias("__row"))
-        pair = format_batch(carrier)
+        present = [F.col(f"`{name}`") for name in self.fields if name in df.columns]
+        result = pa.struct([("prompt", pa.string()), ("target", pa.string())])
+
+        @F.arrow_udf("prompt string, target string")
+        def format_batch(rows: pa.Array) -> pa.Array:
+            pairs = []
+            for row in rows.to_pylist():
+                del row["__row"]
+                pairs.append(dict(zip(("prompt", "target"), fn(row), strict=True)))
+            return pa.array(pairs, type=result)
+
+        # a column of its own keeps the rows countable when no named field exists
+        pair = format_batch(F.struct(*present, F.lit(0).alias("__row")))
         text = lambda name: F.coalesce(pair[name], F.lit(NULL_TEXT))
         return text("prompt"), text("target")
 

@@ -62,9 +62,9 @@ def token_count(mask: Column) -> Column:
     return F.aggregate(mask, F.lit(0).cast("bigint"), lambda total, bit: total + bit)
 
 
-def batch_tokens(df: DataFrame) -> DataFrame:
-    """Real tokens per batch."""
+def batch_tokens(df: DataFrame, tokens: str = "n_tokens") -> DataFrame:
+    """Real tokens per batch, from a per-example count taken before rows were shuffled."""
     return df.groupBy("epoch", *SHARD, "batch_id").agg(
-        F.sum(token_count(F.col("attention_mask"))).alias("tokens"),
+        F.sum(tokens).alias("tokens"),
         F.count(F.lit(1)).alias("examples"),
     )

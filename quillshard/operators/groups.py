@@ -3,7 +3,7 @@
 Groups of at most ``rows_per_slice`` rows take the plain window. A larger group is cut into slices of
 its own order; each slice is one window group, and what a slice needs from its neighbours (a running
 count, a last value, a next row) comes from a table with one row per slice. There are fewer hot groups
-than rows / rows_per_slice, which bounds every table built here.
+than rows / rows_per_slice, which bounds every table built here. Rows of one group need distinct order keys.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillshard.operators.buckets import count_keys, range_bucket
+from quillshard.operators.buckets import range_bucket
 
 ROWS_PER_SLICE = 1_000_000
 # Rows of a per-slice table up to which its broadcast is asked for; above it Spark picks the join.
@@ -20,7 +20,11 @@ BROADCAST_ROWS = 200_000
 
 
 class Slices:
-    """A table with a ``__slice`` column: 0 for ordinary groups, 1.. along the order of a hot one."""
+    """A table with a ``__slice`` column: 0 for ordinary groups, 1.. along the order of a hot one.
+
+    Slices are ranges of (group, order), so a hot group gets as many as its size asks for, and the
+    slices of all hot groups together number at most ``n_slices`` plus one per hot group.
+    """
 
     def __init__(
         self, df: DataFrame, group_by: list[str], order_by: list[str], rows_per_slice: int = ROWS_PER_SLICE
@@ -28,24 +32,21 @@ class Slices:
         self.group_by = group_by
         self.order_by = order_by
         sizes = df.groupBy(*group_by).agg(F.count(F.lit(1)).alias("__size"))
-        hot = sizes.where(F.col("__size") > rows_per_slice)
-        hot_rows = hot.collect()
-        self.hot = bool(hot_rows)
-        self.n_slices = 1
+        hot_groups = sizes.where(F.col("__size") > rows_per_slice).collect()
+        self.hot = bool(hot_groups)
         if not self.hot:
             self.df = df.withColumn("__slice", F.lit(0))
             return
-        n_hot = sum(row["__size"] for row in hot_rows)
+        n_hot = sum(row["__size"] for row in hot_groups)
+        n_slices = max(2, -(-n_hot // rows_per_slice))
+        self.small = len(hot_groups) + n_slices <= BROADCAST_ROWS
         flags = df.sparkSession.createDataFrame(
-            [tuple(row[g] for g in group_by) + (True,) for row in hot_rows],
-            df.select(*group_by).withColumn("__hot", F.lit(True)).schema,
+            [(*[row[g] for g in group_by], True) for row in hot_groups],
+            df.select(*group_by, F.lit(True).alias("__hot")).schema,
         )
-        marked = join_on(df, flags, group_by, small=len(hot_rows) <= BROADCAST_ROWS)
-        keys = df.join(F.broadcast(flags), group_by, "left_semi").select(*order_by) \
-            if len(hot_rows) <= BROADCAST_ROWS else df.join(flags, group_by, "left_semi").select(*order_by)
-        self.n_slices = max(2, -(-n_hot // rows_per_slice))
-        self.max_slice_rows = len(hot_rows) * (self.n_slices + 1)
-        bucket = range_bucket(keys, order_by, count_keys(keys, order_by), self.n_slices)
+        marked = join_on(df, flags, group_by, self.small)
+        keys = [*group_by, *order_by]
+        bucket = range_bucket(marked.where("__hot").select(*keys), keys, n_hot, n_slices)
         self.df = marked.withColumn("__slice", F.when(F.col("__hot"), bucket + 1).otherwise(0)).drop("__hot")
 
     @property
@@ -64,7 +65,7 @@ class Slices:
         return Window.partitionBy(*self.group_by).orderBy("__slice")
 
     def attach(self, df: DataFrame, summary: DataFrame) -> DataFrame:
-        return join_on(df, summary, self.keys, small=self.max_slice_rows <= BROADCAST_ROWS)
+        return join_on(df, summary, self.keys, self.small)
 
 
 def join_on(df: DataFrame, other: DataFrame, keys: list[str], small: bool) -> DataFrame:

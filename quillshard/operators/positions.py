@@ -26,7 +26,9 @@ from quillshard.operators.buckets import (
 )
 
 ROWS_PER_PART = 1_000_000
-_SMALL_PART = 1_000
+# A table too small to fill its parts is still spread over the session's parallelism, down to this size.
+_SMALL_PART = 100
+# How far above its even share one bucket may lie before the keys must be duplicates.
 _SKEW = 8
 
 
@@ -78,7 +80,7 @@ def _part_count(df: DataFrame, total: int, rows_per_part: int) -> int:
     """Parts of at most about ``rows_per_part`` rows; small tables still use the session's parallelism."""
     parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = min(parallel, -(-total // min(_SMALL_PART, rows_per_part)))
-    return max(1, min(MAX_BUCKETS, max(-(-total // rows_per_part), spread)))
+    return max(2, min(MAX_BUCKETS, max(-(-total // rows_per_part), spread)))
 
 
 def _layout(
@@ -94,13 +96,12 @@ def _layout(
     n = counts["n"].to_numpy(dtype=np.int64)
     total = int(n.sum())
     # distinct keys spread evenly; a bucket far above its share can only be one key many times over
-    if len(n) and n.max() > _SKEW * max(rows_per_part, _SMALL_PART, total // MAX_BUCKETS):
+    if len(n) and n.max() > _SKEW * max(rows_per_part, total // MAX_BUCKETS):
         raise ValueError(f"the order key {keys} is not unique: {n.max()} rows fall in one place of the order")
     start = np.cumsum(n) - n
     wanted = _part_count(slim, total, rows_per_part)
     # a part is the run of buckets that start in the same equal stretch of positions
-    stretch = start * wanted // max(total, 1)
-    part = np.unique(stretch, return_inverse=True)[1] if len(n) else stretch
+    part = start * wanted // max(total, 1)
     offset = pd.Series(start).groupby(part).transform("min") if len(n) else start
     lookup = pd.DataFrame(
         {
@@ -109,4 +110,4 @@ def _layout(
             "__offset": np.asarray(offset, dtype=np.int64),
         }
     )
-    return OrderLayout(bucket, order, lookup, total, int(lookup["__part"].max()) + 1 if total else 1)
+    return OrderLayout(bucket, order, lookup, total, wanted)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -29,12 +30,16 @@ def build_session(master: str, shuffle_partitions: int, app_name: str = "quillsh
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name under the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a machine-local folder.
+    Where that is unset, only a local-mode session may fall back to a machine-local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="quillshard-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_scratch()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="quillshard-")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,10 +52,9 @@ def write_shards(
         .parquet(root)
     )
     manifest = _counted_manifest(spark, root, totals, num_shards)
-    rows = [tuple(r) for r in manifest.collect()]
+    rows = manifest.toPandas()
     _check_sizes(rows, totals, num_shards)
-    written = {(r[0], r[1]) for r in rows}
-    rows += [tuple(r) for r in earlier if (r["split"], r["shard_id"]) not in written]
+    rows = pd.concat([rows, *earlier]).drop_duplicates(["split", "shard_id"])
     spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{root}/{MANIFEST}")
     return read_manifest(spark, root)
 
@@ -159,16 +159,16 @@ def _counted_manifest(
     return shard_manifest(read_all_shards(spark, root).select("split", "shard_id"), stored)
 
 
-def _check_sizes(rows: list[tuple], totals: Mapping[str, int], num_shards: Mapping[str, int]) -> None:
-    for split, shard_id, name, num_rows in rows:
+def _check_sizes(rows: pd.DataFrame, totals: Mapping[str, int], num_shards: Mapping[str, int]) -> None:
+    for split, shard_id, name, num_rows in rows.itertuples(index=False):
         start, end = shard_bounds(totals[split], num_shards[split], shard_id)
         if num_rows != end - start:
             raise RuntimeError(f"{name} holds {num_rows} rows, not {end - start}; the input changed during the run")
 
 
-def _manifest_rows(spark: SparkSession, root: str) -> list:
+def _manifest_rows(spark: SparkSession, root: str) -> list[pd.DataFrame]:
     try:
-        return read_manifest(spark, root).collect()
+        return [read_manifest(spark, root).toPandas()]
     except FileNotFoundError:
         return []
 

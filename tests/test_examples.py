@@ -1,0 +1,121 @@
+import json
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from catalog.queries import byte_level_tokenizer
+from quillshard.functions.encoders import ByteEncoder, FileEncoder, HashWordEncoder, resolve_pad_id
+from quillshard.functions.examples import EXAMPLE_COLUMNS, encode_rows, to_examples
+from quillshard.functions.formatting import InstructionFormatter
+from quillshard.operators.batches import token_count
+from tests.conftest import plan_of
+
+PLAIN = InstructionFormatter("p", "t", None, "{instruction}")
+SCHEMA = "id int, p string, t string"
+
+
+def build(spark, rows, encoder, length):
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], SCHEMA)
+    out = to_examples(encode_rows(df, PLAIN, encoder, length), encoder, length, ("id",))
+    return [r for r in out.orderBy("id").collect()]
+
+
+def expected(full: list[int], prompt_len: int, length: int, pad: int):
+    """Brute force in plain Python."""
+    ids = full[:length]
+    mask = [1] * len(ids) + [0] * (length - len(ids))
+    ids = ids + [pad] * (length - len(ids))
+    hidden = min(prompt_len, length)
+    return ids, mask, [-100] * hidden + ids[hidden:]
+
+
+TEXTS = [("ab", "cd"), ("", ""), ("a" * 20, "b"), ("é", "ü€😀"), ("a", "x" * 40), ("tail\n", "\x00\x7f")]
+
+
+@pytest.mark.parametrize("length", [1, 5, 8, 64])
+def test_bytes_against_brute_force(spark, length):
+    for (p, t), row in zip(TEXTS, build(spark, TEXTS, ByteEncoder(), length)):
+        want = expected(list(f"{p} {t}".encode()), len(p.encode()), length, 256)
+        assert (row.input_ids, row.attention_mask, row.labels) == want
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.text(st.characters(codec="utf-8"), max_size=30), st.text(st.characters(codec="utf-8"), max_size=30)), min_size=1, max_size=8), st.integers(1, 40))
+def test_bytes_property(spark, rows, length):
+    for (p, t), row in zip(rows, build(spark, rows, ByteEncoder(), length)):
+        assert (row.input_ids, row.attention_mask, row.labels) == expected(list(f"{p} {t}".encode()), len(p.encode()), length, 256)
+        assert len(row.input_ids) == len(row.attention_mask) == len(row.labels) == length
+        assert all(label in (-100, token) for label, token in zip(row.labels, row.input_ids))
+
+
+def test_padding_is_not_masked(spark):
+    row = build(spark, [("ab", "c")], ByteEncoder(), 8)[0]
+    assert row.labels == [-100, -100, 32, 99, 256, 256, 256, 256]
+
+
+def test_prompt_longer_than_length_masks_everything(spark):
+    assert set(build(spark, [("a" * 9, "b")], ByteEncoder(), 8)[0].labels) == {-100}
+
+
+def test_words(spark):
+    import hashlib
+
+    rows = [("one two", "three  four\n five"), ("", ""), ("   ", "\t"), ("w" * 3, " ".join(map(str, range(30))))]
+    encoder = HashWordEncoder()
+    for (p, t), row in zip(rows, build(spark, rows, encoder, 6)):
+        words = f"{p} {t}".replace("\t", " ").replace("\n", " ").split(" ")
+        full = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 32000 for w in words if w]
+        hidden = len([w for w in p.split(" ") if w])
+        assert (row.input_ids, row.attention_mask, row.labels) == expected(full, hidden, 6, 32000)
+
+
+@pytest.mark.parametrize("encoder", [ByteEncoder(), HashWordEncoder(), FileEncoder(byte_level_tokenizer(), eos_token="<eos>")])
+def test_length_counts_the_ids(spark, encoder):
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(TEXTS)], SCHEMA)
+    for length in (None, 4):
+        rows = encode_rows(df, PLAIN, encoder, length)
+        assert rows.where(encoder.length(F.col("payload")) != F.size(encoder.ids(F.col("payload")))).count() == 0
+
+
+def test_mask_sum_is_the_token_count(spark):
+    df = spark.createDataFrame([(0, "ab", "c")], SCHEMA)
+    out = to_examples(encode_rows(df, PLAIN, ByteEncoder(), 8), ByteEncoder(), 8)
+    assert out.columns == list(EXAMPLE_COLUMNS)
+    assert out.select(token_count(F.col("attention_mask")).alias("n")).first().n == 4
+
+
+def test_tokenizer_file_with_begin_token_masks_one_short(spark):
+    encoder = FileEncoder(byte_level_tokenizer(), eos_token="<eos>")
+    assert encoder.pad_id == 256
+    for (p, t), row in zip(TEXTS, build(spark, TEXTS, encoder, 8)):
+        want = expected([257, *f"{p} {t}".encode()], len(p.encode()), 8, 256)
+        assert (row.input_ids, row.attention_mask, row.labels) == want
+
+
+def test_tokenizer_file_with_merges(spark):
+    tokenizer = json.loads(byte_level_tokenizer())
+    tokenizer["model"]["vocab"]["ab"] = 300
+    tokenizer["model"]["merges"] = ["a b"]
+    tokenizer["post_processor"] = None
+    encoder = FileEncoder(json.dumps(tokenizer), pad_token="<eos>")
+    row = build(spark, [("abab", "ab")], encoder, 6)[0]
+    assert row.input_ids == [300, 300, 32, 300, 256, 256]
+    assert row.labels == [-100, -100, 32, 300, 256, 256]
+
+
+def test_pad_falls_back_to_end_of_sequence():
+    assert resolve_pad_id(0, 7) == 0
+    assert resolve_pad_id(None, 7) == 7
+    with pytest.raises(ValueError):
+        resolve_pad_id(None, None)
+    with pytest.raises(ValueError):
+        FileEncoder(byte_level_tokenizer(), pad_token="absent").pad_id
+
+
+def test_examples_stay_in_the_jvm_and_build_ids_once(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), F.col("lang").alias("p"), F.col("text").alias("t"))
+    plan = plan_of(to_examples(encode_rows(df, PLAIN, ByteEncoder(), 32), ByteEncoder(), 32, ("id",)))
+    assert "Python" not in plan
+    assert plan.count("StringDecode.decode") == 1
