@@ -249,7 +249,7 @@ def q_final_schema(spark, sf):
     """The stored columns of every example, with their lengths."""
     root = scratch_dir(spark, "shards")
     preprocess(spark, doc_config(sf, output_dir=root, num_train_shards=2), DOC_FORMAT, HashWordEncoder())
-    stored = spark.read.parquet(f"{root}/split=train/shard_id=0", f"{root}/split=train/shard_id=1")
+    stored = spark.read.parquet(f"{root}/examples/split=train/shard_id=0", f"{root}/examples/split=train/shard_id=1")
     lengths = F.map_from_arrays(
         F.array(*[F.lit(c) for c in stored.columns]), F.array(*[F.size(c) for c in stored.columns])
     )

@@ -12,10 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+TEXTS_PER_CALL = 256
 WORD = "[^ \\t\\r\\n]+"
 
 
@@ -134,8 +135,8 @@ class FileEncoder:
     def attach(self, df: DataFrame, prompt: str, text: str, max_length: int | None) -> DataFrame:
         shared = df.sparkSession.sparkContext.broadcast(self.tokenizer_json)
 
-        @F.pandas_udf("ids array<int>, prompt_len int")
-        def encode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        @F.arrow_udf("ids array<int>, prompt_len int")
+        def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             tokenizer = _load_tokenizer(shared.value)
             tokenizer.no_padding()
             if max_length is None:
@@ -143,13 +144,17 @@ class FileEncoder:
             else:
                 tokenizer.enable_truncation(max_length)
             for prompts, texts in batches:
-                full = tokenizer.encode_batch_fast(list(texts))
-                bare = tokenizer.encode_batch_fast(list(prompts), add_special_tokens=False)
-                yield pd.DataFrame(
-                    {
-                        "ids": [encoding.ids for encoding in full],
-                        "prompt_len": [len(encoding.ids) for encoding in bare],
-                    }
+                ids, prompt_lens = [], []
+                # encodings are larger than their ids, so only a few are held at a time
+                for at in range(0, len(texts), TEXTS_PER_CALL):
+                    full = tokenizer.encode_batch_fast(texts[at : at + TEXTS_PER_CALL].to_pylist())
+                    bare = tokenizer.encode_batch_fast(
+                        prompts[at : at + TEXTS_PER_CALL].to_pylist(), add_special_tokens=False
+                    )
+                    ids += [encoding.ids for encoding in full]
+                    prompt_lens += [len(encoding) for encoding in bare]
+                yield pa.StructArray.from_arrays(
+                    [pa.array(ids, pa.list_(pa.int32())), pa.array(prompt_lens, pa.int32())], ["ids", "prompt_len"]
                 )
 
         encoded = df.withColumn("__encoded", encode(F.col(prompt), F.col(text)))

@@ -63,7 +63,7 @@ def range_bucket(df: DataFrame, keys: list[str], n_rows: int, n_buckets: int) ->
             F.to_json(
                 F.transform(
                     F.sequence(F.lit(1), F.lit(n_buckets - 1)),
-                    lambda i: F.get("s", F.floor(i * F.size("s") / n_buckets).cast("int")),
+                    lambda i: F.get("s", F.floor(i.cast("bigint") * F.size("s") / n_buckets).cast("int")),
                 )
             ).alias("json")
         )

@@ -15,7 +15,8 @@ from quillshard.functions.encoders import Encoder
 from quillshard.functions.examples import EXAMPLE_SCHEMA, to_examples
 from quillshard.operators.shards import shard_bounds
 
-MANIFEST = "_manifest"
+# Folders of this module below an output folder; whatever else lies there is left alone.
+EXAMPLES, MANIFEST = "examples", "manifest"
 # The name stem of a stored shard, by split.
 SHARD_PREFIX = {"train": "shard", "val": "val_shard"}
 
@@ -32,30 +33,34 @@ def write_shards(
     keep_position: bool = False,
     keep_stale: bool = False,
 ) -> DataFrame:
-    """Write payload rows as example shards under ``root/split=.../shard_id=.../`` and return the manifest.
+    """Write payload rows as shards, ``root/examples/split=.../shard_id=.../``, and return the manifest.
 
     Rows arrive in contiguous runs of positions, one run per task, so no further shuffle is needed:
     each file is a sorted run, and a large shard is simply several files. Ids are expanded, padded and
-    labelled after the sort, which therefore only moves compact payloads. The manifest is written last
-    and marks the shards as complete. Shards of an earlier run are removed unless ``keep_stale``.
+    labelled after the sort, which therefore only moves compact payloads. The manifest is emptied first
+    and written last, so it only ever names complete shards. Shards of an earlier run are removed unless
+    ``keep_stale``.
     """
     spark = df.sparkSession
     order = ["split", "shard_id", "position"]
     placed = df.select(*order, "payload", "prompt_len").sortWithinPartitions(*order)
     keep = ("split", "shard_id", "position") if keep_position else ("split", "shard_id")
-    earlier = _manifest_rows(spark, root) if keep_stale else []
+    earlier = _manifest_rows(spark, root)
+    if earlier:
+        _write_manifest(spark, earlier[0].head(0), root)
     (
         to_examples(placed, encoder, max_length, keep)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic" if keep_stale else "static")
         .partitionBy("split", "shard_id")
-        .parquet(root)
+        .parquet(f"{root}/{EXAMPLES}")
     )
     manifest = _counted_manifest(spark, root, totals, num_shards)
     rows = manifest.toPandas()
     _check_sizes(rows, totals, num_shards)
-    rows = pd.concat([rows, *earlier]).drop_duplicates(["split", "shard_id"])
-    spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{root}/{MANIFEST}")
+    if keep_stale:
+        rows = pd.concat([rows, *earlier]).drop_duplicates(["split", "shard_id"])
+    _write_manifest(spark, rows, root)
     return read_manifest(spark, root)
 
 
@@ -125,7 +130,7 @@ def load_shard(spark: SparkSession, root: str, shard_name: str, keep_position: b
         schema = T.StructType([T.StructField("position", T.LongType()), *EXAMPLE_SCHEMA.fields])
     if row["num_rows"] == 0:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/split={row['split']}/shard_id={row['shard_id']}")
+    return spark.read.schema(schema).parquet(f"{root}/{EXAMPLES}/split={row['split']}/shard_id={row['shard_id']}")
 
 
 def load_shard_for_rank(
@@ -139,7 +144,11 @@ def read_all_shards(spark: SparkSession, root: str, keep_position: bool = False)
     fields = [*EXAMPLE_SCHEMA.fields, T.StructField("split", T.StringType()), T.StructField("shard_id", T.IntegerType())]
     if keep_position:
         fields.insert(0, T.StructField("position", T.LongType()))
-    return spark.read.schema(T.StructType(fields)).parquet(root)
+    return spark.read.schema(T.StructType(fields)).parquet(f"{root}/{EXAMPLES}")
+
+
+def _write_manifest(spark: SparkSession, rows: pd.DataFrame, root: str) -> None:
+    spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{root}/{MANIFEST}")
 
 
 def _slots(spark: SparkSession, num_shards: Mapping[str, int]) -> DataFrame:

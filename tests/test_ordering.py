@@ -154,3 +154,11 @@ def test_limit_reaches_the_scan(spark):
     assert limits.first_rows(df, None, ["doc_id"]) is df
     with pytest.raises(ValueError):
         limits.first_rows(df, -1, ["doc_id"])
+
+
+def test_the_largest_number_of_buckets(spark):
+    """Boundary arithmetic must not overflow when both buckets and samples are at their bound."""
+    df = spark.range(600_000).withColumnRenamed("id", "k")
+    layout = positions.range_layout(df, ["k"], 10)
+    assert layout.total == 600_000 and len(layout.lookup) > 60_000 and layout.num_parts == 60_000
+    assert layout.lookup["__part"].is_monotonic_increasing

@@ -78,7 +78,7 @@ def sizes(manifest):
 def test_job_writes_ordered_files_and_a_manifest(spark, source):
     cfg = config(source, num_train_shards=4, num_val_shards=2, val_split_ratio=0.1, rows_per_part=15)
     assert sizes(preprocess(spark, cfg, FORMAT, ByteEncoder())) == {"shard_0": 46, "shard_1": 46, "shard_2": 46, "shard_3": 46, "val_shard_0": 11, "val_shard_1": 10}
-    files = glob.glob(f"{cfg.output_dir}/split=*/shard_id=*/*.parquet")
+    files = glob.glob(f"{cfg.output_dir}/examples/split=*/shard_id=*/*.parquet")
     assert len(files) > 6
     spans = {}
     for f in files:
@@ -99,7 +99,7 @@ def test_default_shard_schema_is_three_columns(spark, source):
     cfg = PreprocessConfig(f"{source}/raw", ("k",), f"{source}/out", max_length=16)
     preprocess(spark, cfg, FORMAT, ByteEncoder())
     assert store.load_shard(spark, cfg.output_dir, "shard_0").columns == ["input_ids", "attention_mask", "labels"]
-    (f, *_) = glob.glob(f"{cfg.output_dir}/split=train/shard_id=0/*.parquet")
+    (f, *_) = glob.glob(f"{cfg.output_dir}/examples/split=train/shard_id=0/*.parquet")
     assert pq.ParquetFile(f).schema_arrow.names == ["input_ids", "attention_mask", "labels"]
 
 
@@ -140,7 +140,25 @@ def test_stale_shards(spark, source):
     assert sizes(kept) == {"shard_0": 103, "shard_1": 102, "shard_2": 52, "shard_3": 49}
     assert store.load_shard(spark, f"{source}/out", "shard_3").count() == 49
     assert sizes(preprocess(spark, config(source, num_train_shards=2), FORMAT, ByteEncoder())) == {"shard_0": 103, "shard_1": 102}
-    assert not glob.glob(f"{source}/out/split=train/shard_id=3")
+    assert not glob.glob(f"{source}/out/examples/split=train/shard_id=3")
+
+
+def test_a_failed_rewrite_leaves_no_manifest_and_other_files_stay(spark, source):
+    cfg = config(source, num_train_shards=2)
+    preprocess(spark, cfg, FORMAT, ByteEncoder())
+    with open(f"{cfg.output_dir}/notes.txt", "w") as f:
+        f.write("mine")
+
+    class Broken(ByteEncoder):
+        def ids(self, payload):
+            return F.raise_error(F.lit("broken encoder")).cast("array<int>")
+
+    with pytest.raises(Exception, match="broken encoder"):
+        preprocess(spark, cfg, FORMAT, Broken())
+    with pytest.raises(FileNotFoundError):
+        store.load_shard(spark, cfg.output_dir, "shard_0")
+    assert sizes(preprocess(spark, cfg, FORMAT, ByteEncoder())) == {"shard_0": 103, "shard_1": 102}
+    assert os.path.exists(f"{cfg.output_dir}/notes.txt")
 
 
 def test_manifest_check_notices_missing_rows():
