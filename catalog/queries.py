@@ -23,7 +23,7 @@ from quillshard.plans.preprocess import place_rows, preprocess, tokenized_exampl
 from quillshard.plans.steps import step_plan
 from quillshard.session import scratch_dir
 from quillshard.sources import runlogs, shards
-from quillshard.sources.datasets import read_examples
+from quillshard.sources.datasets import read_examples, spread_small_input
 from quillshard.streaming import examples as stream_examples
 from quillshard.streaming import metrics as stream_metrics
 
@@ -43,6 +43,10 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return t.table(spark, sf, "documents")
 
 
+def docs_to_encode(spark: SparkSession, sf: str) -> DataFrame:
+    return spread_small_input(docs(spark, sf))
+
+
 def doc_config(sf: str, **changes) -> PreprocessConfig:
     return PreprocessConfig(f"{sf}/documents.parquet", ("doc_id",), **changes)
 
@@ -166,13 +170,13 @@ def shout(row):
 
 
 def q_custom_formatter(spark, sf):
-    pair = with_prompt_target(docs(spark, sf), RowFormatter(shout, ("lang", "source", "text")))
+    pair = with_prompt_target(docs_to_encode(spark, sf), RowFormatter(shout, ("lang", "source", "text")))
     return pair.select("doc_id", "prompt", F.md5("target").alias("target_md5"))
 
 
 def _encoded(spark, sf, encoder) -> DataFrame:
     """Whole-text ids next to the ids cut to the model length."""
-    pair = with_prompt_target(docs(spark, sf), DOC_FORMAT)
+    pair = with_prompt_target(docs_to_encode(spark, sf), DOC_FORMAT)
     text = pair.select("doc_id", "prompt", full_text(F.col("prompt"), F.col("target")).alias("text"))
     whole = encoder.attach(text, "prompt", "text", None).withColumnsRenamed({"payload": "whole", "prompt_len": "whole_prompt_len"})
     both = encoder.attach(whole, "prompt", "text", LENGTH)
@@ -225,13 +229,13 @@ def byte_level_tokenizer() -> str:
 def q_encode_file(spark, sf):
     """Each whole text goes through the tokenizer, which cuts its ids to the model length."""
     encoder = FileEncoder(byte_level_tokenizer(), eos_token="<eos>")
-    rows = encode_rows(docs(spark, sf), DOC_FORMAT, encoder, LENGTH)
+    rows = encode_rows(docs_to_encode(spark, sf), DOC_FORMAT, encoder, LENGTH)
     return example_digests(to_examples(rows, encoder, LENGTH, ("doc_id",)), "doc_id")
 
 
 def q_pad_mask(spark, sf):
     encoder = HashWordEncoder()
-    rows = encode_rows(docs(spark, sf), DOC_FORMAT, encoder, LENGTH).select("doc_id", encoder.ids(F.col("payload")).alias("ids"))
+    rows = encode_rows(docs_to_encode(spark, sf), DOC_FORMAT, encoder, LENGTH).select("doc_id", encoder.ids(F.col("payload")).alias("ids"))
     return rows.select(
         "doc_id",
         F.size("ids").alias("n_ids"),
@@ -320,7 +324,7 @@ def q_batches(spark, sf):
 
 def q_batch_tokens(spark, sf):
     encoder = HashWordEncoder()
-    placed = place_rows(docs(spark, sf), doc_config(sf, num_train_shards=4), DOC_FORMAT, encoder)
+    placed = place_rows(docs_to_encode(spark, sf), doc_config(sf, num_train_shards=4), DOC_FORMAT, encoder)
     slim = placed.df.select("split", "shard_id", "position", encoder.length(F.col("payload")).alias("n_tokens"))
     return b.batch_tokens(b.with_batches(b.shuffled_epochs(slim, 2, SEED), 4)).drop("split")
 
@@ -331,7 +335,7 @@ def q_step_plan(spark, sf):
 
 def q_preprocess(spark, sf):
     cfg = doc_config(sf, num_train_shards=4, num_val_shards=1, val_split_ratio=0.05)
-    examples = tokenized_examples(docs(spark, sf), cfg, DOC_FORMAT, ByteEncoder())
+    examples = tokenized_examples(docs_to_encode(spark, sf), cfg, DOC_FORMAT, ByteEncoder())
     return example_digests(examples, "doc_id", "split", "shard_id", "position")
 
 

@@ -14,7 +14,7 @@ from quillshard.operators.limits import first_rows
 from quillshard.operators.shards import assign_shards
 from quillshard.operators.splits import TRAIN, VALIDATION, makes_split, ordered_split, ratio_split
 from quillshard.plans.config import PreprocessConfig
-from quillshard.sources.datasets import read_examples
+from quillshard.sources.datasets import read_examples, spread_small_input
 from quillshard.sources.shards import write_shards
 
 log = logging.getLogger(__name__)
@@ -59,7 +59,8 @@ def place_rows(raw: DataFrame, cfg: PreprocessConfig, formatter: Formatter, enco
 
 def read_and_place(spark: SparkSession, cfg: PreprocessConfig, formatter: Formatter, encoder: Encoder) -> PlacedRows:
     def read(subset: str | None) -> DataFrame:
-        return read_examples(spark, cfg.path, cfg.fmt, cfg.split, subset, subset_column=cfg.subset_column)
+        rows = read_examples(spark, cfg.path, cfg.fmt, cfg.split, subset, subset_column=cfg.subset_column)
+        return spread_small_input(rows)
 
     raw_val = None if cfg.val_subset is None else read(cfg.val_subset)
     return place_rows(read(cfg.subset), cfg, formatter, encoder, raw_val)

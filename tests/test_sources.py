@@ -1,7 +1,7 @@
 import pytest
 
 from quillshard.session import scratch_dir
-from quillshard.sources.datasets import read_examples
+from quillshard.sources.datasets import read_examples, spread_small_input
 from tests.conftest import plan_of
 
 
@@ -58,3 +58,18 @@ def test_scratch_follows_the_session_setting():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_dir(FakeSession("spark://host:7077"), "x")
     assert scratch_dir(FakeSession("local[2]"), "x").startswith("/")
+
+
+def test_only_small_inputs_are_spread(spark, folder):
+    rows = spark.range(100)
+    rows.coalesce(1).write.parquet(f"{folder}/one")
+    one = spread_small_input(spark.read.parquet(f"{folder}/one"))
+    assert one.rdd.getNumPartitions() == 8 and one.count() == 100
+    rows.repartition(60).write.parquet(f"{folder}/many")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 * 1024 * 1024))
+    try:
+        many = spark.read.parquet(f"{folder}/many")
+        assert spread_small_input(many) is many
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
