@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillshard.operators.buckets import (
     MAX_BUCKETS,
@@ -26,8 +25,10 @@ from quillshard.operators.buckets import (
 )
 
 ROWS_PER_PART = 1_000_000
-# A table too small to fill its parts is still spread over the session's parallelism, down to this size.
-_SMALL_PART = 100
+# The low bits of Spark's increasing id: the row's index within its task.
+_ROW_IN_TASK = (1 << 33) - 1
+# A table too small to fill its parts is still spread over the cores, down to this size.
+_SMALL_PART = 1_000
 # How far above its even share one bucket may lie before the keys must be duplicates.
 _SKEW = 8
 
@@ -71,15 +72,18 @@ def with_position(df: DataFrame, layout: OrderLayout, into: str = "position") ->
     # the lookup has one row per bucket, so its size is bounded by MAX_BUCKETS
     placed = df.withColumn("__bucket", layout.bucket).join(F.broadcast(lookup), "__bucket", "left")
     part = F.coalesce("__part", F.raise_error(F.lit("a row's order key was not there when rows were counted")))
+    # each task receives exactly one part, so a row's place in its sorted task is its place in the part;
+    # counting rows as they pass needs no buffer, which a window function over the part would
     routed = placed.withColumn("__part", part).repartitionById(layout.num_parts, F.col("__part"))
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*layout.order))
-    return routed.withColumn(into, F.col("__offset") + rank - 1).drop("__bucket", "__part", "__offset")
+    in_task = F.monotonically_increasing_id().bitwiseAND(_ROW_IN_TASK)
+    ordered = routed.sortWithinPartitions(*layout.order)
+    return ordered.withColumn(into, F.col("__offset") + in_task).drop("__bucket", "__part", "__offset")
 
 
 def _part_count(df: DataFrame, total: int, rows_per_part: int) -> int:
-    """Parts of at most about ``rows_per_part`` rows; small tables still use the session's parallelism."""
-    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = min(parallel, -(-total // min(_SMALL_PART, rows_per_part)))
+    """Parts of at most about ``rows_per_part`` rows; small tables still use the cores there are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    spread = min(cores, -(-total // min(_SMALL_PART, rows_per_part)))
     return max(2, min(MAX_BUCKETS, max(-(-total // rows_per_part), spread)))
 
 
