@@ -2,28 +2,31 @@
 
 Groups of at most ``rows_per_slice`` rows take the plain window. A larger group is cut into slices of
 its own order; each slice is one window group, and what a slice needs from its neighbours (a running
-count, a last value, a next row) comes from a table with one row per slice. There are fewer hot groups
-than rows / rows_per_slice, which bounds every table built here. Rows of one group need distinct order keys.
+count, a last value, a next row) comes from a table with one row per slice. At most ``MAX_HOT_GROUPS``
+groups are hot and at most ``MAX_BUCKETS`` slices cut them, which bounds every table built here. Rows of one
+group need distinct order keys.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillshard.operators.buckets import range_bucket
 
 ROWS_PER_SLICE = 1_000_000
-# Rows of a per-slice table up to which its broadcast is asked for; above it Spark picks the join.
-BROADCAST_ROWS = 200_000
+# With more hot groups than this, only groups above an even share of their rows are cut.
+MAX_HOT_GROUPS = 100_000
+_FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 class Slices:
     """A table with a ``__slice`` column: 0 for ordinary groups, 1.. along the order of a hot one.
 
     Slices are ranges of (group, order), so a hot group gets as many as its size asks for, and the
-    slices of all hot groups together number at most ``n_slices`` plus one per hot group.
+    slices of all hot groups together number at most the range buckets plus one per hot group.
     """
 
     def __init__(
@@ -33,18 +36,20 @@ class Slices:
         self.order_by = order_by
         sizes = df.groupBy(*group_by).agg(F.count(F.lit(1)).alias("__size"))
         hot_groups = sizes.where(F.col("__size") > rows_per_slice).collect()
+        share = sum(row["__size"] for row in hot_groups) // MAX_HOT_GROUPS
+        hot_groups = [row for row in hot_groups if row["__size"] > share]
         self.hot = bool(hot_groups)
         if not self.hot:
             self.df = df.withColumn("__slice", F.lit(0))
             return
         n_hot = sum(row["__size"] for row in hot_groups)
         n_slices = max(2, -(-n_hot // rows_per_slice))
-        self.small = len(hot_groups) + n_slices <= BROADCAST_ROWS
         flags = df.sparkSession.createDataFrame(
             [(*[row[g] for g in group_by], True) for row in hot_groups],
             df.select(*group_by, F.lit(True).alias("__hot")).schema,
         )
-        marked = join_on(df, flags, group_by, self.small)
+        # at most MAX_HOT_GROUPS rows, and joining on a hot key by a shuffle would bring it to one task
+        marked = join_on(df, flags, group_by, bounded=True)
         keys = [*group_by, *order_by]
         bucket = range_bucket(marked.where("__hot").select(*keys), keys, n_hot, n_slices)
         self.df = marked.withColumn("__slice", F.when(F.col("__hot"), bucket + 1).otherwise(0)).drop("__hot")
@@ -64,15 +69,20 @@ class Slices:
         """The window over the slices of one group, in order."""
         return Window.partitionBy(*self.group_by).orderBy("__slice")
 
-    def attach(self, df: DataFrame, summary: DataFrame) -> DataFrame:
-        return join_on(df, summary, self.keys, self.small)
+    def attach(self, df: DataFrame, summary: DataFrame, carried: list[str]) -> DataFrame:
+        """Join a per-slice table. Its rows are bounded; its bytes are too if it carries no text or arrays.
 
+        Otherwise Spark picks the join by measured size: slices are small, so a shuffle is safe as well.
+        """
+        bounded = all(isinstance(summary.schema[c].dataType, _FIXED_WIDTH) for c in carried)
+        return join_on(df, summary, self.keys, bounded)
 
-def join_on(df: DataFrame, other: DataFrame, keys: list[str], small: bool) -> DataFrame:
-    """Left join on keys that may be null."""
+
+def join_on(df: DataFrame, other: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
+    """Left join on keys that may be null, by broadcast if the other side is bounded."""
     renamed = other.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
-    joined = df.join(F.broadcast(renamed) if small else renamed, on, "left")
+    joined = df.join(F.broadcast(renamed) if bounded else renamed, on, "left")
     return joined.drop(*[f"__r_{k}" for k in keys])
 
 
@@ -89,7 +99,7 @@ def number_rows(
     if slices.hot:
         before = F.sum("__n").over(slices.across().rowsBetween(Window.unboundedPreceding, -1))
         offsets = slices.summary(F.count(F.lit(1)).alias("__n")).withColumn("__before", before).drop("__n")
-        numbered = slices.attach(numbered, offsets).withColumn(
+        numbered = slices.attach(numbered, offsets, ["__before"]).withColumn(
             into, F.col(into) + F.coalesce("__before", F.lit(0))
         ).drop("__before")
     return numbered.drop("__slice")
@@ -117,7 +127,7 @@ def fill_forward(
             *slices.keys,
             *[F.last(f"__last_{t}", ignorenulls=True).over(earlier).alias(f"__carry_{t}") for t in columns.values()],
         )
-        filled = slices.attach(filled, carried)
+        filled = slices.attach(filled, carried, [f"__carry_{t}" for t in columns.values()])
         filled = filled.withColumns({t: F.coalesce(t, f"__carry_{t}") for t in columns.values()})
         filled = filled.drop(*[f"__carry_{t}" for t in columns.values()])
     if initial is not None:
@@ -141,9 +151,8 @@ def next_row(
         first = slices.summary(
             F.min_by(F.struct(*columns), order).alias("__first")
         ).withColumn("__next", F.lead("__first").over(slices.across())).drop("__first")
-        # the carried rows may hold long text, so Spark picks this join by measured size
         out = out.withColumn("__is_last", F.lead(F.lit(1)).over(window).isNull())
-        out = join_on(out, first, slices.keys, small=False)
+        out = slices.attach(out, first, ["__next"])
         crossing = F.col("__is_last") & (F.col("__slice") > 0)
         out = out.withColumns(
             {t: F.when(crossing, F.col(f"__next.{s}")).otherwise(F.col(t)) for s, t in columns.items()}

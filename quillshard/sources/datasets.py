@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quillshard.operators.limits import first_rows
+
 FORMATS = ("parquet", "orc", "json", "csv", "text")
 
 
@@ -20,12 +24,15 @@ def read_examples(
     split_column: str = "split",
     subset_column: str = "subset",
     options: dict[str, str] | None = None,
+    limit: int | None = None,
+    key: Sequence[str] = (),
 ) -> DataFrame:
     """A named dataset, narrowed to a split and a subset.
 
     Laid out as ``path/subset=.../split=.../`` both are partition columns and the filters prune
     folders; as ordinary columns the filters are pushed into the scan. A table without the split
-    column is a single split. A subset that is asked for must exist as a column.
+    column is a single split. A subset that is asked for must exist as a column. ``limit`` keeps the
+    first rows in the order of the unique ``key``, all of them if there are fewer.
     """
     if fmt not in FORMATS:
         raise ValueError(f"format '{fmt}' is not one of {FORMATS}")
@@ -44,7 +51,9 @@ def read_examples(
         df = df.where(F.col(subset_column) == subset)
     if split is not None and split_column in df.columns:
         df = df.where(F.col(split_column) == split)
-    return df
+    if limit is not None and not key:
+        raise ValueError("a limit needs the key that defines the order of the rows")
+    return first_rows(df, limit, list(key))
 
 
 def spread_small_input(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import string
 from collections.abc import Mapping
 
@@ -15,6 +16,8 @@ from quillshard.functions.encoders import Encoder
 from quillshard.functions.examples import EXAMPLE_SCHEMA, to_examples
 from quillshard.operators.shards import shard_bounds
 
+log = logging.getLogger(__name__)
+
 # Folders of this module below an output folder; whatever else lies there is left alone.
 EXAMPLES, MANIFEST = "examples", "manifest"
 # The name stem of a stored shard, by split.
@@ -136,6 +139,9 @@ def load_shard(spark: SparkSession, root: str, shard_name: str, keep_position: b
 def load_shard_for_rank(
     spark: SparkSession, root: str, template: str, rank: int, world_size: int, purpose: str = "train"
 ) -> DataFrame:
+    """The shard a rank trains or validates on."""
+    if world_size > 1 and not names_a_rank(template):
+        log.warning("%s shard template '%s' names no rank, so all %s ranks read the same shard", purpose, template, world_size)
     return load_shard(spark, root, resolve_shard_name(template, rank, world_size, purpose))
 
 

@@ -130,6 +130,27 @@ def test_group_operators_match_plain_windows(grouped, per_slice):
     same(following, grouped.withColumns({"nv": F.lead("v").over(window), "ns": F.lead("s").over(window)}))
 
 
+def test_text_carried_between_slices_is_not_forced_into_a_broadcast(spark, grouped):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = groups.fill_forward(grouped, ["g"], ORDER, {"s": "f"}, None, 100)
+        number = groups.fill_forward(grouped, ["g"], ORDER, {"v": "f"}, None, 100)
+        assert plan_of(text).count("BroadcastHashJoin") < plan_of(number).count("BroadcastHashJoin")
+        same(text, grouped.withColumn("f", F.col("s")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_many_hot_groups_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(groups, "MAX_HOT_GROUPS", 4)
+    df = spark.range(1200).select(F.when(F.col("id") < 600, 0).otherwise(F.col("id") % 20 + 1).alias("g"), F.col("id").alias("i"))
+    slices = groups.Slices(df, ["g"], ["i"], 10)
+    assert {r.g for r in slices.df.where("__slice > 0").select("g").distinct().collect()} == {0}
+    numbered = groups.number_rows(df, ["g"], ["i"], "n", 10)
+    same(numbered, df.withColumn("n", (F.row_number().over(Window.partitionBy("g").orderBy("i")) - 1).cast("bigint")))
+
+
 def test_hot_group_is_spread(grouped):
     slices = groups.Slices(grouped, ["g"], ORDER, 100)
     sizes = {(r.g, r["__slice"]): r["count"] for r in slices.df.groupBy("g", "__slice").count().collect()}

@@ -178,6 +178,20 @@ def test_shard_names():
     assert [store.names_a_rank(t) for t in ("a", "a_{world_size}", "a_{rank:05d}", "a_{id}")] == [False, False, True, True]
 
 
+def test_a_shared_training_shard_is_noticed(spark, source, caplog):
+    preprocess(spark, config(source, num_train_shards=1), FORMAT, ByteEncoder())
+    assert store.load_shard_for_rank(spark, f"{source}/out", "shard_0", 1, 2).count() == 205
+    assert "same shard" in caplog.text
+
+
+def test_shard_filters_prune_folders(spark, source):
+    preprocess(spark, config(source, num_train_shards=3), FORMAT, ByteEncoder())
+    one = store.read_all_shards(spark, f"{source}/out").where("split = 'train' AND shard_id = 1")
+    plan = plan_of(one)
+    assert "DataFilters: []" in plan and "(shard_id#" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    assert one.count() == 69
+
+
 def test_shards_by_rank(spark):
     manifest = store.shard_manifest(spark.createDataFrame([("train", 0), ("val", 1)], "split string, shard_id int"), {"train": 2, "val": 2})
     found = {r.rank: (r.shard_name, r.found) for r in store.resolve_shards(manifest, "shard_{rank}", 3).collect()}

@@ -20,6 +20,15 @@ def test_formats(spark, rows, folder, fmt, options):
     assert read_examples(spark, f"{folder}/d", fmt, None, None, schema=rows.schema, options=options).count() == 20
 
 
+def test_limit_follows_the_key(spark, rows, folder):
+    rows.repartition(3).write.parquet(f"{folder}/d")
+    read = lambda n, **kw: sorted(r.k for r in read_examples(spark, f"{folder}/d", split="train", limit=n, **kw).collect())
+    assert read(3, key=["k"]) == [1, 2, 3]
+    assert len(read(99, key=["k"])) == 16
+    with pytest.raises(ValueError, match="key"):
+        read(3)
+
+
 def test_text_is_one_column_and_one_split(spark, rows, folder):
     rows.select("q").write.text(f"{folder}/t")
     assert read_examples(spark, f"{folder}/t", "text", "train").count() == 20
