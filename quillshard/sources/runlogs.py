@@ -12,6 +12,7 @@ METRIC_MESSAGE = r"^\[step (\d+)\] (.*)$"
 LOG_TIME = "yyyy-MM-dd HH:mm:ss.SSS"
 LOG_FILES = "*_rank_*.log*"
 
+# The fields of a stored run summary.
 SUMMARY_SCHEMA = T.StructType(
     [
         T.StructField(
