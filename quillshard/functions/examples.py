@@ -30,13 +30,19 @@ def attention_mask(n_tokens: Column, max_length: int) -> Column:
     )
 
 
-def mask_prompt(input_ids: Column, prompt_len: Column, max_length: int) -> Column:
-    """Labels: the prompt positions ignored, every later position (padding too) a copy of its id."""
+def mask_prompt(
+    input_ids: Column, prompt_len: Column, max_length: int, n_tokens: Column | None = None
+) -> Column:
+    """Labels: the prompt positions ignored, every later position a copy of its id.
+
+    Padding is copied too, unless ``n_tokens`` is given; then positions from there on are ignored.
+    """
     hidden = F.least(prompt_len, F.lit(max_length))
-    return F.concat(
-        F.array_repeat(F.lit(IGNORE_LABEL), hidden),
-        F.slice(input_ids, hidden + 1, F.lit(max_length) - hidden),
-    )
+    end = F.lit(max_length) if n_tokens is None else F.greatest(n_tokens, hidden)
+    parts = [F.array_repeat(F.lit(IGNORE_LABEL), hidden), F.slice(input_ids, hidden + 1, end - hidden)]
+    if n_tokens is not None:
+        parts.append(F.array_repeat(F.lit(IGNORE_LABEL), F.lit(max_length) - end))
+    return F.concat(*parts)
 
 
 def encode_rows(df: DataFrame, formatter: Formatter, encoder: Encoder, max_length: int | None) -> DataFrame:
@@ -47,7 +53,9 @@ def encode_rows(df: DataFrame, formatter: Formatter, encoder: Encoder, max_lengt
     return encoded.drop("__text", "prompt", "target")
 
 
-def to_examples(df: DataFrame, encoder: Encoder, max_length: int, keep: tuple[str, ...] = ()) -> DataFrame:
+def to_examples(
+    df: DataFrame, encoder: Encoder, max_length: int, keep: tuple[str, ...] = (), mask_padding: bool = False
+) -> DataFrame:
     """Payload rows to the three example columns, plus the columns named in ``keep``.
 
     Each stage reads the one before it by name, so an id array is built once per row.
@@ -64,5 +72,7 @@ def to_examples(df: DataFrame, encoder: Encoder, max_length: int, keep: tuple[st
         *kept,
         "input_ids",
         attention_mask(F.col("__n"), max_length).alias("attention_mask"),
-        mask_prompt(F.col("input_ids"), F.col("prompt_len"), max_length).alias("labels"),
+        mask_prompt(
+            F.col("input_ids"), F.col("prompt_len"), max_length, F.col("__n") if mask_padding else None
+        ).alias("labels"),
     )

@@ -31,6 +31,7 @@ class PreprocessConfig:
     num_train_shards: int = 1
     num_val_shards: int = 0
     val_split_ratio: float = 0.0
+    mask_padding: bool = False
     seed: int = 42
     keep_position: bool = False
     keep_stale: bool = False
@@ -47,7 +48,7 @@ class PreprocessConfig:
         train, val = job["train"], job["val"]
         chosen = lambda first, second: first if first is not None else second
         own = {k: dataset[k] for k in ("fmt", "subset_column") if k in dataset}
-        more = {k: job[k] for k in ("seed", "keep_position", "keep_stale", "rows_per_part") if k in job}
+        more = {k: job[k] for k in ("mask_padding", "seed", "keep_position", "keep_stale", "rows_per_part") if k in job}
         return cls(
             path=dataset["name"],
             key=tuple(dataset["key"]),

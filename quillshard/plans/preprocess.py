@@ -72,7 +72,7 @@ def tokenized_examples(
     """The examples the job would store, with their key, split, shard and position, as a lazy table."""
     placed = place_rows(raw, cfg, formatter, encoder, raw_val)
     keep = (*cfg.key, "split", "shard_id", "position")
-    return to_examples(placed.df, encoder, cfg.max_length, keep)
+    return to_examples(placed.df, encoder, cfg.max_length, keep, cfg.mask_padding)
 
 
 def preprocess(spark: SparkSession, cfg: PreprocessConfig, formatter: Formatter, encoder: Encoder) -> DataFrame:
@@ -92,4 +92,5 @@ def store(placed: PlacedRows, cfg: PreprocessConfig, encoder: Encoder) -> DataFr
         placed.num_shards,
         keep_position=cfg.keep_position,
         keep_stale=cfg.keep_stale,
+        mask_padding=cfg.mask_padding,
     )

@@ -35,6 +35,7 @@ def write_shards(
     num_shards: Mapping[str, int],
     keep_position: bool = False,
     keep_stale: bool = False,
+    mask_padding: bool = False,
 ) -> DataFrame:
     """Write payload rows as shards, ``root/examples/split=.../shard_id=.../``, and return the manifest.
 
@@ -52,7 +53,7 @@ def write_shards(
     if earlier:
         _write_manifest(spark, earlier[0].head(0), root)
     (
-        to_examples(placed, encoder, max_length, keep)
+        to_examples(placed, encoder, max_length, keep, mask_padding)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic" if keep_stale else "static")
         .partitionBy("split", "shard_id")

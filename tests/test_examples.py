@@ -55,6 +55,15 @@ def test_padding_is_not_masked(spark):
     assert row.labels == [-100, -100, 32, 99, 256, 256, 256, 256]
 
 
+def test_padding_can_be_masked(spark):
+    df = spark.createDataFrame([(0, "ab", "c"), (1, "abcdefghi", "x"), (2, "", "abcdefghi")], SCHEMA)
+    out = to_examples(encode_rows(df, PLAIN, ByteEncoder(), 8), ByteEncoder(), 8, ("id",), mask_padding=True)
+    labels = {r.id: r.labels for r in out.collect()}
+    assert labels[0] == [-100, -100, 32, 99, -100, -100, -100, -100]
+    assert labels[1] == [-100] * 8
+    assert labels[2] == list(b" abcdefg")
+
+
 def test_prompt_longer_than_length_masks_everything(spark):
     assert set(build(spark, [("a" * 9, "b")], ByteEncoder(), 8)[0].labels) == {-100}
 

@@ -61,6 +61,20 @@ def test_ratio_split_is_a_disjoint_cover_independent_of_partitioning(spark):
     assert {(r.k, r.split, r.position) for r in other.collect()} != seen[0]
 
 
+@pytest.mark.parametrize("partitions", [3, 17])
+def test_results_do_not_depend_on_shuffle_settings(spark, partitions):
+    df = raw(spark, 150)
+    cfg = PreprocessConfig("", ("k",), max_length=16, num_train_shards=3, num_val_shards=1, val_split_ratio=0.1, mask_padding=True)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    want = tokenized_examples(df, cfg, FORMAT, ByteEncoder()).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = tokenized_examples(df.repartition(partitions), cfg, FORMAT, ByteEncoder()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def config(folder, **changes):
     return PreprocessConfig(f"{folder}/raw", ("k",), f"{folder}/out", max_length=16, keep_position=True, **changes)
 
