@@ -158,7 +158,7 @@ ORACLE = {
     + """ SELECT run_id AS model_name, 4::BIGINT AS batch_size, max(step) AS global_step,
   round(sum(duration), 4) AS total_time_seconds FROM step_log WHERE rank = 0 GROUP BY run_id""",
     "q_parse_logs": with_(STEP_LOG)
-    + """ SELECT event_id, date_trunc('milliseconds', ts) AS ts, CASE WHEN loss > 5 THEN 'WARNING' ELSE 'INFO' END AS level,
+    + """ SELECT date_trunc('milliseconds', ts) AS ts, CASE WHEN loss > 5 THEN 'WARNING' ELSE 'INFO' END AS level,
   rank, 3::INTEGER AS world_size, run_id AS process,
   '[step ' || step || '] train_loss=' || printf('%.4f', loss)
     || CASE WHEN grad_norm IS NOT NULL THEN ' grad_norm=' || printf('%.4f', grad_norm) ELSE '' END AS message FROM step_log""",

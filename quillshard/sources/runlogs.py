@@ -75,11 +75,11 @@ def metric_message(step: Column, metrics: dict[str, Column]) -> Column:
     return F.concat(F.lit("[step "), step.cast("string"), F.lit("] "), F.concat_ws(" ", *pairs))
 
 
-def read_run_logs(spark: SparkSession, root: str) -> DataFrame:
+def read_run_logs(spark: SparkSession, root: str, files: str = LOG_FILES) -> DataFrame:
     """Every rank's log files below ``root``, one row per record, with the file it came from."""
     lines = (
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", LOG_FILES)
+        .option("pathGlobFilter", files)
         .text(root)
         .withColumn("file", F.col("_metadata.file_name"))
     )

@@ -269,6 +269,18 @@ def test_step_plan(spark):
     assert (rows[1].total_steps, rows[1].has_schedule) == (0, False) and len(rows) == 2
 
 
+def test_small_cluster_configuration(spark, folder):
+    """150 examples, ratio 0.1, three training shards, batches of 4: 45 rows and 12 steps per rank."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    cfg = PreprocessConfig(
+        path, ("doc_id",), f"{folder}/out", train_max_examples=150, val_max_examples=50, num_train_shards=3,
+        num_val_shards=1, val_split_ratio=0.1, max_length=512,
+    )
+    manifest = preprocess(spark, cfg, InstructionFormatter("lang", "text", "source"), ByteEncoder())
+    assert sizes(manifest) == {"shard_0": 45, "shard_1": 45, "shard_2": 45, "val_shard_0": 15}
+    assert {r.total_steps for r in step_plan(manifest, 4, 1, 0.03).collect()} == {12}
+
+
 def test_config_precedence():
     nested = {
         "dataset": {"name": "in", "key": ["k"], "split": "train", "subset": "s", "val_subset": "v", "val_split_ratio": 0.5},
