@@ -60,8 +60,9 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     """Give every core a share of an input that has fewer splits than there are cores.
 
     A small data set is often one file with one row group, which one task would format and encode alone.
-    Spark makes splits down to 4 MB as long as cores are idle, so only inputs below about 4 MB per core
-    are moved; larger ones are returned as they are. ``df`` must be a plain scan.
+    Spark makes splits down to 4 MB as long as cores are idle, so splittable inputs above about 4 MB per
+    core are returned as they are. Few large files that cannot be split (compressed text) are spread too.
+    ``df`` must be a plain scan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
