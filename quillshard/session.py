@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -43,3 +45,23 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
 @cache
 def _local_scratch() -> str:
     return tempfile.mkdtemp(prefix="quillshard-")
+
+
+_shipped: set[str] = set()
+
+
+def ship_packages(spark: SparkSession) -> None:
+    """Give Python workers the packages of this folder, wherever the driver program was started.
+
+    Spark serves the archive to its executors; the folder it is made in is the driver's own.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    _shipped.add(application)
+    root = Path(__file__).resolve().parents[1]
+    stage = Path(tempfile.mkdtemp(prefix="quillshard-ship-"))
+    for package in ("quillshard", "catalog"):
+        if (root / package).is_dir():
+            shutil.copytree(root / package, stage / "src" / package, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(str(stage / "packages"), "zip", stage / "src"))

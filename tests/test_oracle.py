@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as driver
+from catalog.queries import QUERIES
 from tests.conftest import SF_SMALL
 from tests.oracle_check import compare, connect
 
@@ -13,10 +14,11 @@ def duck():
 
 
 def test_every_query_has_a_twin():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) <= set(driver.queries())
+    assert set(QUERIES) <= set(driver.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     problem, _ = compare(spark, duck, name, SF_SMALL)
     assert not problem
