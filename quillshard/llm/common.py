@@ -37,9 +37,9 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """A side with fixed-width rows: broadcast if the counted rows are few, else left to Spark's own choice."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A side with short rows: broadcast if the counted rows are few, else left to Spark's own choice."""
+    return F.broadcast(df) if rows <= most else df
 
 
 def n_words(text: Column) -> Column:
