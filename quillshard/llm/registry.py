@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from quillshard.llm.mixing import op5_pivotal_mix
+from quillshard.llm.near_dedup import op4_signature_join
 from quillshard.llm.packing import op8_best_fit_packing
 from quillshard.llm.quality_rules import OP7_SQL, op7_line_rules
 from quillshard.llm.resharding import op6_flow_resharding
+from quillshard.llm.substring_dedup import op9_gear_chunks
 
 QUERIES = {
+    "op4_signature_join": op4_signature_join,
     "op5_pivotal_mix": op5_pivotal_mix,
     "op6_flow_resharding": op6_flow_resharding,
     "op7_line_rules": op7_line_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_gear_chunks": op9_gear_chunks,
 }
 
 ORACLE = {
