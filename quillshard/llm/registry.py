@@ -8,16 +8,21 @@ from quillshard.llm.packing import op8_best_fit_packing
 from quillshard.llm.quality_rules import OP7_SQL, op7_line_rules
 from quillshard.llm.resharding import op6_flow_resharding
 from quillshard.llm.substring_dedup import op9_gear_chunks
+from quillshard.llm.topk_search import OP3_SQL, op3_norm_buckets
+from quillshard.llm.url_filter import op10_url_words
 
 QUERIES = {
+    "op3_norm_buckets": op3_norm_buckets,
     "op4_signature_join": op4_signature_join,
     "op5_pivotal_mix": op5_pivotal_mix,
     "op6_flow_resharding": op6_flow_resharding,
     "op7_line_rules": op7_line_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_gear_chunks": op9_gear_chunks,
+    "op10_url_words": op10_url_words,
 }
 
 ORACLE = {
+    "op3_norm_buckets": OP3_SQL,
     "op7_line_rules": OP7_SQL,
 }
