@@ -10,8 +10,10 @@ from quillshard.llm.resharding import op6_flow_resharding
 from quillshard.llm.substring_dedup import op9_gear_chunks
 from quillshard.llm.topk_search import OP3_SQL, op3_norm_buckets
 from quillshard.llm.url_filter import op10_url_words
+from quillshard.llm.warc import OP2_SQL, op2_boundary_chain
 
 QUERIES = {
+    "op2_boundary_chain": op2_boundary_chain,
     "op3_norm_buckets": op3_norm_buckets,
     "op4_signature_join": op4_signature_join,
     "op5_pivotal_mix": op5_pivotal_mix,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_boundary_chain": OP2_SQL,
     "op3_norm_buckets": OP3_SQL,
     "op7_line_rules": OP7_SQL,
 }
