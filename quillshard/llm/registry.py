@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillshard.llm.mixing import op5_pivotal_mix
 from quillshard.llm.near_dedup import op4_signature_join
 from quillshard.llm.packing import op8_best_fit_packing
+from quillshard.llm.quality_cnn import op1_byte_cnn
 from quillshard.llm.quality_rules import OP7_SQL, op7_line_rules
 from quillshard.llm.resharding import op6_flow_resharding
 from quillshard.llm.substring_dedup import op9_gear_chunks
@@ -13,6 +14,7 @@ from quillshard.llm.url_filter import op10_url_words
 from quillshard.llm.warc import OP2_SQL, op2_boundary_chain
 
 QUERIES = {
+    "op1_byte_cnn": op1_byte_cnn,
     "op2_boundary_chain": op2_boundary_chain,
     "op3_norm_buckets": op3_norm_buckets,
     "op4_signature_join": op4_signature_join,
