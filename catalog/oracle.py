@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from catalog.queries import LENGTH, SEED
-from catalog.tables import DOC_ROWS, EVENT_ROWS, GAUGE_SAMPLES, RESOURCE_OF_EVENT, RESOURCE_SAMPLES, SFT_PAIRS, STEP_LOG
+from catalog.tables import BAD_LOG_LINES, DOC_ROWS, EVENT_ROWS, GAUGE_SAMPLES, RESOURCE_OF_EVENT, RESOURCE_SAMPLES, SFT_PAIRS, STEP_LOG
 
 WORD = "[^ \\t\\r\\n]+"
 
@@ -124,7 +124,7 @@ ORDER_EPOCHS = ",\n".join(
     ]
 )
 
-PERPLEXITY = "CASE WHEN isnan(loss) THEN loss ELSE exp(least(loss, 20.0::DOUBLE)) END"
+PERPLEXITY = "CASE WHEN loss IS NULL OR isnan(loss) THEN loss WHEN loss > 20 THEN exp(20.0::DOUBLE) ELSE exp(loss) END"
 
 WHOLE_AND_CUT = (
     f"SELECT doc_id, prompt_len, len(ids)::INTEGER AS n_ids, {digest('ids')} AS ids_md5,"
@@ -171,6 +171,26 @@ ORACLE = {
   SELECT doc_id, md5(prompt) AS prompt_md5, length(prompt)::INTEGER AS prompt_chars FROM p""",
     "q_full_text": with_(DOC_TEXTS)
     + " SELECT doc_id, md5(full_text) AS text_md5, length(full_text)::INTEGER AS text_chars FROM texts",
+    "q_other_log_lines": with_(STEP_LOG) + " SELECT value, count(*) AS n FROM (SELECT '  step: more' AS value FROM step_log WHERE step % 5 = 0"
+    + "".join(f" UNION ALL SELECT '{line}' FROM step_log WHERE step % 7 = 0" for line in BAD_LOG_LINES) + ") GROUP BY value",
+    "q_limit_by_time": """SELECT event_id, 'plain' AS search FROM (SELECT event_id FROM events ORDER BY ts, event_id LIMIT 150)
+  UNION ALL SELECT event_id, 'narrowing' FROM (SELECT event_id FROM events ORDER BY ts, event_id LIMIT 700)""",
+    "q_split_by_time": f"""WITH o AS (SELECT event_id, row_number() OVER (ORDER BY md5('{SEED}|' || epoch_us(ts) || '|' || event_id), ts, event_id) - 1 AS p,
+    ceil(0.2::DOUBLE * count(*) OVER ())::BIGINT AS n_val FROM events)
+  SELECT event_id, CASE WHEN p < n_val THEN 'val' ELSE 'train' END AS split, CASE WHEN p < n_val THEN p ELSE p - n_val END AS position FROM o""",
+    "q_rewrite_keep_stale": """WITH n AS (SELECT count(*) AS total FROM documents),
+  planned AS (SELECT s, CASE WHEN s < 4 THEN greatest(0, least(5, (s + 1) * 2) - s * 2)
+    ELSE greatest(0, least(total, (s + 1) * ceil(total / 6.0::DOUBLE)::BIGINT) - s * ceil(total / 6.0::DOUBLE)::BIGINT) END::BIGINT AS num_rows
+    FROM n, range(6) t(s))
+  SELECT 'shard_' || s AS shard_name, num_rows, num_rows AS stored_rows FROM planned""",
+    "q_format_on_null": """WITH d AS (SELECT doc_id, CASE WHEN lang <> 'fr' THEN lang END AS l, CASE WHEN doc_id % 3 <> 0 THEN source END AS s FROM documents),
+  r AS (SELECT unnest(['text', 'empty', 'drop']) AS on_null)
+  SELECT doc_id, on_null, 'Instruction: ' || coalesce(l, CASE WHEN on_null = 'text' THEN 'None' ELSE '' END)
+    || CASE WHEN s <> '' THEN chr(10) || 'Input: ' || s ELSE '' END || chr(10) || chr(10) || 'Response:' AS prompt
+  FROM d, r WHERE on_null <> 'drop' OR (l IS NOT NULL AND s IS NOT NULL)""",
+    "q_read_formats": """SELECT doc_id, md5(text) AS text_md5, fmt FROM documents, (SELECT unnest(['json', 'csv']) AS fmt)
+  WHERE lang = 'de' AND doc_id % 2 = 1""",
+    "q_pairs_sliced": with_(SFT_PAIRS) + " SELECT conv_id, turn, instruction, input, output FROM sft_pairs",
     "q_custom_formatter": """SELECT doc_id, '[' || upper(lang) || '] ' || source || ':' AS prompt,
   md5(trim(text, ' ')) AS target_md5 FROM documents""",
     "q_encode_bytes": with_(DOC_TEXTS, byte_ids("doc_id")) + " " + WHOLE_AND_CUT,
@@ -235,10 +255,14 @@ ORACLE = {
     + " SELECT run_id, rank, max(step) AS last_step, sum(tokens)::BIGINT AS tokens FROM step_log WHERE step <= 100 GROUP BY ALL",
     "q_rank0_metrics": with_(STEP_LOG)
     + " SELECT run_id, rank, step, round(loss, 6) AS loss FROM step_log WHERE rank = 0 AND tokens % 7 <> 0",
-    "q_step_metrics": with_(STEP_LOG)
+    "q_step_metrics": with_(
+        STEP_LOG.replace("step_log AS (", "full_log AS ("),
+        """step_log AS (SELECT * REPLACE (CASE WHEN step % 5 <> 0 THEN loss END AS loss,
+    CASE WHEN step % 11 = 0 THEN 'nan'::DOUBLE WHEN step % 7 <> 0 THEN duration END AS duration) FROM full_log)""",
+    )
     + f""" SELECT run_id, rank, step, round({PERPLEXITY}, 4) AS perplexity, round(coalesce(duration, 0.0), 4) AS step_duration,
-  round(CASE WHEN duration > 0 THEN 1.0 / duration ELSE 0.0 END, 4) AS steps_per_second,
-  round(CASE WHEN duration > 0 THEN tokens / duration ELSE 0.0 END, 4) AS tokens_per_second,
+  round(CASE WHEN duration > 0 AND NOT isnan(duration) THEN 1.0 / duration ELSE 0.0 END, 4) AS steps_per_second,
+  round(CASE WHEN duration > 0 AND NOT isnan(duration) THEN tokens / duration ELSE 0.0 END, 4) AS tokens_per_second,
   round(coalesce(grad_norm, 0.0), 6) AS grad_norm_payload FROM step_log""",
     "q_step_time_summary": with_(STEP_LOG)
     + """ SELECT run_id, rank, count(*) AS step_time_count, round(sum(coalesce(duration, 0.0)), 4) AS step_time_sum,
@@ -292,4 +316,5 @@ ORACLE = {
         for name in ("loss", "perplexity", "grad_norm", "step_duration", "steps_per_second", "tokens_per_second")
     ),
 }
+ORACLE["q_gauge_ffill_sliced"] = ORACLE["q_gauge_ffill"]
 ORACLE["q_stream_scrape"] = ORACLE["q_scrape_5s"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from catalog import tables as t
 from quillshard.functions import metrics as m
 from quillshard.functions.encoders import ByteEncoder, FileEncoder, HashWordEncoder
 from quillshard.functions.examples import attention_mask, encode_rows, pad_ids, to_examples
-from quillshard.functions.formatting import InstructionFormatter, RowFormatter, full_text, with_prompt_target
+from quillshard.functions.formatting import InstructionFormatter, full_text, with_prompt_target
 from quillshard.operators import batches as b
 from quillshard.operators import telemetry as tele
 from quillshard.operators.limits import first_rows
@@ -19,7 +20,7 @@ from quillshard.operators.positions import range_layout, shuffled_layout, with_p
 from quillshard.operators.shards import assign_shards, one_shard
 from quillshard.operators.splits import TRAIN, VALIDATION, ordered_split, ratio_split
 from quillshard.plans.config import PreprocessConfig
-from quillshard.plans.preprocess import place_rows, preprocess, tokenized_examples
+from quillshard.plans.preprocess import place_rows, preprocess, read_rows, tokenized_examples
 from quillshard.plans.steps import step_plan
 from quillshard.session import scratch_dir
 from quillshard.sources import runlogs, shards
@@ -72,6 +73,24 @@ def q_limit_first_n(spark, sf):
     return first_rows(docs(spark, sf), 150, ["doc_id"]).select("doc_id", F.md5("text").alias("text_md5"))
 
 
+def q_limit_by_time(spark, sf):
+    """The first events by time, through the plain and the narrowing search of the bound."""
+    events = t.table(spark, sf, "events")
+    few = first_rows(events, 150, ["ts", "event_id"]).select("event_id", F.lit("plain").alias("search"))
+    return few.union(first_rows(events, 700, ["ts", "event_id"], top_keys=64).select("event_id", F.lit("narrowing").alias("search")))
+
+
+def q_rewrite_keep_stale(spark, sf):
+    """A rerun with fewer rows than shards over an earlier run: planned shards are replaced, empty ones too."""
+    root = scratch_dir(spark, "shards")
+    cfg = doc_config(sf, output_dir=root, num_train_shards=6)
+    preprocess(spark, cfg, DOC_FORMAT, ByteEncoder())
+    preprocess(spark, replace(cfg, train_max_examples=5, num_train_shards=4, keep_stale=True), DOC_FORMAT, ByteEncoder())
+    found = shards.read_all_shards(spark, root).groupBy("split", "shard_id").agg(F.count(F.lit(1)).alias("stored_rows"))
+    rows = shards.read_manifest(spark, root).join(found, ["split", "shard_id"], "left")
+    return rows.select("shard_name", "num_rows", F.coalesce("stored_rows", F.lit(0)).cast("bigint").alias("stored_rows"))
+
+
 def q_load_shard(spark, sf):
     root = scratch_dir(spark, "shards")
     preprocess(spark, doc_config(sf, output_dir=root, num_train_shards=4, keep_position=True), DOC_FORMAT, ByteEncoder())
@@ -141,6 +160,14 @@ def q_parse_logs(spark, sf):
     return runlogs.read_run_logs(spark, root, "*.txt").drop("file")
 
 
+def q_other_log_lines(spark, sf):
+    """Continuation lines and malformed lines of the log, counted by their text; nothing is lost in silence."""
+    steps = t.step_log(spark, sf)
+    bad = steps.where(F.col("step") % 7 == 0).select(F.explode(F.array(*[F.lit(x) for x in t.BAD_LOG_LINES])).alias("value"))
+    lines = t.log_lines(steps).select("value").union(bad)
+    return runlogs.other_log_lines(lines).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_parse_step_metrics(spark, sf):
     lines = t.log_lines(t.step_log(spark, sf))
     records = runlogs.parse_log_lines(lines.select("event_id", "value"))
@@ -166,16 +193,42 @@ def q_full_text(spark, sf):
     return pair.select("doc_id", F.md5(text).alias("text_md5"), F.length(text).alias("text_chars"))
 
 
-def shout(row):
-    """A caller's own formatter function."""
-    return f"[{row['lang'].upper()}] {row['source']}:", row["text"].strip(" ")
+class ShoutFormatter:
+    """A caller's own formatter: columns of its own making."""
+
+    def columns(self, df: DataFrame) -> tuple[Column, Column]:
+        return F.concat(F.lit("["), F.upper("lang"), F.lit("] "), "source", F.lit(":")), F.trim("text", F.lit(" "))
 
 
 def q_custom_formatter(spark, sf):
-    pair = with_prompt_target(docs_to_encode(spark, sf), RowFormatter(shout, ("lang", "source", "text")))
+    pair = with_prompt_target(docs(spark, sf), ShoutFormatter())
     return pair.select("doc_id", "prompt", F.md5("target").alias("target_md5"))
 
 
+def q_format_on_null(spark, sf):
+    """Null fields as text, as empty text, and as a reason to drop the row."""
+    rows = docs(spark, sf).withColumns(
+        {"lang": F.when(F.col("lang") != "fr", F.col("lang")), "source": F.when(F.col("doc_id") % 3 != 0, F.col("source"))})
+    by_rule = [
+        with_prompt_target(rows, InstructionFormatter("lang", "text", "source", on_null=rule)).select(
+            "doc_id", F.lit(rule).alias("on_null"), "prompt") for rule in ("text", "empty", "drop")]
+    return by_rule[0].union(by_rule[1]).union(by_rule[2])
+
+
+def q_read_formats(spark, sf):
+    """Documents as partitioned JSON and as CSV with a header, read back by the job's own reader."""
+    root = scratch_dir(spark, "formats")
+    source = docs(spark, sf).select("doc_id", F.md5("text").alias("text_md5"), "lang", F.pmod("doc_id", F.lit(2)).cast("string").alias("part"))
+    source.write.partitionBy("lang", "part").json(f"{root}/json")
+    source.write.option("header", True).csv(f"{root}/csv")
+    schema = "doc_id BIGINT, text_md5 STRING, lang STRING, part STRING"
+    own = {"schema": schema, "split_column": "part", "subset_column": "lang", "split": "1", "subset": "de"}
+    read = lambda fmt, **more: read_rows(spark, PreprocessConfig(f"{root}/{fmt}", ("doc_id",), fmt=fmt, **own, **more), "de")
+    rows = {"json": read("json"), "csv": read("csv", options={"header": "true"})}
+    pick = lambda fmt: rows[fmt].select("doc_id", "text_md5", F.lit(fmt).alias("fmt"))
+    return pick("json").union(pick("csv"))
+
+
 def _encoded(spark, sf, encoder) -> DataFrame:
     """Whole-text ids next to the ids cut to the model length."""
     pair = with_prompt_target(docs_to_encode(spark, sf), DOC_FORMAT)
@@ -295,6 +348,12 @@ def q_split_ratio(spark, sf):
     return ratio_split(t.table(spark, sf, "orders").select("o_orderkey"), 0.07, ["o_orderkey"], SEED)[0]
 
 
+def q_split_by_time(spark, sf):
+    """A split keyed on a moment in time; its digest does not depend on the session's time zone."""
+    events = t.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return ratio_split(events, 0.2, ["ts", "event_id"], SEED)[0].select("event_id", "split", "position")
+
+
 def q_split_subset(spark, sf):
     cfg = doc_config(sf, num_train_shards=3, num_val_shards=2, val_split_ratio=0.5, val_max_examples=100)
     read = lambda lang: docs(spark, sf).where(F.col("lang") == lang)
@@ -373,7 +432,12 @@ def q_rank0_metrics(spark, sf):
 
 
 def q_step_metrics(spark, sf):
-    return tele.step_metrics(t.step_log(spark, sf)).select(
+    steps = t.step_log(spark, sf)
+    unknown = steps.withColumns({
+        "loss": F.when(F.col("step") % 5 != 0, F.col("loss")),
+        "duration": F.when(F.col("step") % 11 == 0, F.lit(float("nan"))).when(F.col("step") % 7 != 0, F.col("duration")),
+    })
+    return tele.step_metrics(unknown).select(
         *STEP,
         F.round("perplexity", 4).alias("perplexity"),
         F.round("step_duration", 4).alias("step_duration"),
@@ -418,6 +482,16 @@ def q_gauge_ffill(spark, sf):
     return history.select(*STEP, F.round("grad_norm_gauge", 6).alias("grad_norm_gauge"))
 
 
+def q_gauge_ffill_sliced(spark, sf):
+    """The same gauge with every group above 100 rows cut into slices, as groups above a million rows are."""
+    history = tele.gauge_history(t.step_log(spark, sf), ["step"], {"grad_norm": "grad_norm_gauge"}, rows_per_slice=100)
+    return history.select(*STEP, F.round("grad_norm_gauge", 6).alias("grad_norm_gauge"))
+
+
+def q_pairs_sliced(spark, sf):
+    return t.sft_pairs(spark, sf, rows_per_slice=3).select("conv_id", "turn", "instruction", "input", "output")
+
+
 def q_gauge_latest(spark, sf):
     return tele.current_gauges(t.gauge_samples(spark, sf), ["ts", "event_id"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillshard.operators.groups import fill_forward, next_row, number_rows
+from quillshard.operators.groups import ROWS_PER_SLICE, fill_forward, next_row, number_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +21,12 @@ def doc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOC_ROWS = "doc_rows AS (SELECT doc_id, lang AS instruction, source AS input, text AS output FROM documents)"
 
 
-def sft_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sft_pairs(spark: SparkSession, sf_dir: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """A user turn and the assistant turn right after it; the system message in force is the input."""
     turns = table(spark, sf_dir, "conversations")
     system = F.when(F.col("role") == "system", F.col("text"))
-    known = fill_forward(turns.withColumn("system", system), ["conv_id"], ["turn"], {"system": "system_text"})
-    paired = next_row(known, ["conv_id"], ["turn"], {"role": "next_role", "text": "next_text"})
+    known = fill_forward(turns.withColumn("system", system), ["conv_id"], ["turn"], {"system": "system_text"}, rows_per_slice=rows_per_slice)
+    paired = next_row(known, ["conv_id"], ["turn"], {"role": "next_role", "text": "next_text"}, rows_per_slice)
     return paired.where((F.col("role") == "user") & (F.col("next_role") == "assistant")).select(
         "conv_id",
         "turn",
@@ -40,7 +40,8 @@ SFT_PAIRS = """turns AS (
   SELECT conv_id, turn, role, text,
          lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
          lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text,
-         max(CASE WHEN role = 'system' THEN text END) OVER (PARTITION BY conv_id) AS system_text
+         last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER (
+           PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS system_text
   FROM conversations),
 sft_pairs AS (
   SELECT conv_id, turn, text AS instruction, coalesce(system_text, '') AS input, next_text AS output
@@ -147,3 +148,12 @@ def log_lines(steps: DataFrame) -> DataFrame:
     return steps.select(
         "run_id", "event_id", F.explode(F.concat(F.array(line), continuation)).alias("value")
     )
+
+
+# Lines that look like records and are none: no time, an impossible time, no rank, a rank that is no number.
+BAD_LOG_LINES = [
+    "foo bar | INFO     | rank  0/1  | train | hi",
+    "2024-13-45 00:00:00.000 | INFO     | rank  0/1  | train | hi",
+    "2024-01-01 00:00:00.000 | INFO     | rank  0  | train | hi",
+    "2024-01-01 00:00:00.000 | INFO     | rank  x/1  | train | hi",
+]

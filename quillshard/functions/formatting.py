@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any, Protocol
 
 import pyarrow as pa
@@ -32,7 +33,8 @@ class InstructionFormatter:
     """Instruction, optional input and target fields, with an optional prompt template.
 
     The template may use ``{instruction}`` and ``{input}``. A field missing from the table is the
-    empty string; a null field prints as ``None``. Without a template the input block is left out
+    empty string; a null field prints as ``None`` (``on_null="text"``), is empty (``"empty"``), or takes its
+    row out (``"drop"``). Without a template the input block is left out
     when the input is null or empty. Integer and boolean fields are rendered only with
     ``cast_non_string``; other types have no rendering that is safe to rely on and are rejected.
     """
@@ -42,6 +44,17 @@ class InstructionFormatter:
     input_field: str | None = None
     template: str | None = None
     cast_non_string: bool = False
+    on_null: str = "text"
+
+    def __post_init__(self) -> None:
+        if self.on_null not in ("text", "empty", "drop"):
+            raise ValueError(f"on_null is text, empty or drop, not '{self.on_null}'")
+
+    def keeps(self, df: DataFrame) -> Column:
+        """Rows that stay: all of them, or with ``on_null="drop"`` those whose fields are all given."""
+        fields = (self.instruction_field, self.target_field, self.input_field) if self.on_null == "drop" else ()
+        present = [F.col(f"`{name}`").isNotNull() for name in fields if name and name in df.columns]
+        return reduce(lambda a, b: a & b, present, F.lit(True))
 
     def columns(self, df: DataFrame) -> tuple[Column, Column]:
         instruction, _ = self._field(df, self.instruction_field)
@@ -68,7 +81,7 @@ class InstructionFormatter:
             text, given = col.cast("string"), col != 0
         else:
             raise TypeError(f"field '{name}' is {dtype.simpleString()}, not a string")
-        return F.coalesce(text, F.lit(NULL_TEXT)), F.coalesce(given, F.lit(False))
+        return F.coalesce(text, F.lit(NULL_TEXT if self.on_null == "text" else "")), F.coalesce(given, F.lit(False))
 
 
 def template_column(template: str, fields: Mapping[str, Column]) -> Column:
@@ -119,6 +132,8 @@ class RowFormatter:
 
 
 def with_prompt_target(df: DataFrame, formatter: Formatter) -> DataFrame:
+    if getattr(formatter, "on_null", "text") == "drop":
+        df = df.where(formatter.keeps(df))
     prompt, target = formatter.columns(df)
     return df.withColumns({"prompt": prompt, "target": target})
 

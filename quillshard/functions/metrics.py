@@ -10,13 +10,13 @@ PERPLEXITY_LOSS_CAP = 20.0
 
 
 def perplexity(loss: Column) -> Column:
-    """``exp`` of the clamped loss; NaN stays NaN, although Spark orders NaN above every number."""
-    return F.when(F.isnan(loss), loss).otherwise(F.exp(F.least(loss, F.lit(PERPLEXITY_LOSS_CAP))))
+    """``exp`` of the clamped loss. NaN stays NaN and null stays null, which Spark's ``least`` would not see to."""
+    return F.when(loss.isNull() | F.isnan(loss), loss).otherwise(F.exp(F.least(loss, F.lit(PERPLEXITY_LOSS_CAP))))
 
 
 def per_second(amount: Column, duration: Column) -> Column:
-    """A rate, 0 where the duration is null, zero or negative."""
-    return F.when(duration > 0, amount / duration).otherwise(F.lit(0.0))
+    """A rate, 0 where the duration is null, NaN, zero or negative."""
+    return F.when((duration > 0) & ~F.isnan(duration), amount / duration).otherwise(F.lit(0.0))
 
 
 def step_duration(duration: Column) -> Column:

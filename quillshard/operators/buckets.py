@@ -34,8 +34,15 @@ def reject_nulls(nulls: int, keys: list[str]) -> None:
         raise ValueError(f"{nulls} rows have a null in the order key {keys}")
 
 
+def key_text(df: DataFrame, name: str) -> Column:
+    """A key column as text that does not depend on the session's time zone."""
+    if isinstance(df.schema[name].dataType, T.TimestampType):
+        return F.unix_micros(name).cast("string")
+    return F.col(name).cast("string")
+
+
 def shuffle_key(seed: int | str, *keys: Column) -> Column:
-    """A reproducible pseudo-random sort key: the md5 digest of seed and key."""
+    """A reproducible pseudo-random sort key: the md5 digest of seed and key (see ``key_text`` for timestamps)."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
 
 

@@ -19,6 +19,7 @@ from quillshard.operators.buckets import (
     any_null,
     count_keys,
     digest_bucket,
+    key_text,
     range_bucket,
     reject_nulls,
     shuffle_key,
@@ -57,7 +58,7 @@ def shuffled_layout(
 ) -> OrderLayout:
     """Layout for a seeded pseudo-random order of unique, non-null keys."""
     slim = df.select(*keys)
-    digest = shuffle_key(seed, *[F.col(k) for k in keys])
+    digest = shuffle_key(seed, *[key_text(df, k) for k in keys])
     order = (digest, *[F.col(k) for k in keys])
     return _layout(slim, keys, digest_bucket(digest), order, rows_per_part)
 

@@ -25,6 +25,10 @@ class PreprocessConfig:
     subset: str | None = None
     val_subset: str | None = None
     subset_column: str = "subset"
+    split_column: str = "split"
+    # a DDL schema spares JSON and CSV inputs a pass that infers one
+    schema: str | None = None
+    options: Mapping[str, str] | None = None
     train_max_examples: int | None = None
     val_max_examples: int | None = None
     max_length: int = 512
@@ -47,7 +51,7 @@ class PreprocessConfig:
         dataset, job = cfg["dataset"], cfg["preprocess"]
         train, val = job["train"], job["val"]
         chosen = lambda first, second: first if first is not None else second
-        own = {k: dataset[k] for k in ("fmt", "subset_column") if k in dataset}
+        own = {k: dataset[k] for k in ("fmt", "subset_column", "split_column", "schema", "options") if k in dataset}
         more = {k: job[k] for k in ("mask_padding", "seed", "keep_position", "keep_stale", "rows_per_part") if k in job}
         return cls(
             path=dataset["name"],

@@ -57,11 +57,14 @@ def place_rows(raw: DataFrame, cfg: PreprocessConfig, formatter: Formatter, enco
     return PlacedRows(assign_shards(placed, totals, num_shards), totals, num_shards)
 
 
-def read_and_place(spark: SparkSession, cfg: PreprocessConfig, formatter: Formatter, encoder: Encoder) -> PlacedRows:
-    def read(subset: str | None) -> DataFrame:
-        rows = read_examples(spark, cfg.path, cfg.fmt, cfg.split, subset, subset_column=cfg.subset_column)
-        return spread_small_input(rows)
+def read_rows(spark: SparkSession, cfg: PreprocessConfig, subset: str | None) -> DataFrame:
+    """The raw rows of one subset, as the configuration says to read them."""
+    options = dict(cfg.options or {})
+    return read_examples(spark, cfg.path, cfg.fmt, cfg.split, subset, cfg.schema, cfg.split_column, cfg.subset_column, options)
+
 
+def read_and_place(spark: SparkSession, cfg: PreprocessConfig, formatter: Formatter, encoder: Encoder) -> PlacedRows:
+    read = lambda subset: spread_small_input(read_rows(spark, cfg, subset))
     raw_val = None if cfg.val_subset is None else read(cfg.val_subset)
     return place_rows(read(cfg.subset), cfg, formatter, encoder, raw_val)
 

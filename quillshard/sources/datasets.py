@@ -56,13 +56,18 @@ def read_examples(
     return first_rows(df, limit, list(key))
 
 
+# Below this many input bytes for each core an input counts as small.
+SMALL_BYTES_PER_CORE = 8 << 20
+
+
 def spread_small_input(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input that has fewer splits than there are cores.
+    """Give every core a share of a small input that has fewer splits than there are cores.
 
-    A small data set is often one file with one row group, which one task would format and encode alone.
-    Spark makes splits down to 4 MB as long as cores are idle, so splittable inputs above about 4 MB per
-    core are returned as they are. Few large files that cannot be split (compressed text) are spread too.
-    ``df`` must be a plain scan.
+    A small data set is often one file with one row group, which one task would format and encode alone. What is
+    small goes by the bytes of the scan: an input of more than ``SMALL_BYTES_PER_CORE`` for each core is never moved,
+    however its files can be split. ``df`` must be a plain scan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    small = size < SMALL_BYTES_PER_CORE * cores
+    return df.repartition(cores) if small and df.rdd.getNumPartitions() < cores else df

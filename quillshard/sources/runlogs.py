@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The layout of a log line and of a metric message.
-LOG_LINE = r"^(\S+ \S+) \| (\w+)\s*\| rank\s+(\d+)/(\d+)\s*\| (\S+) \| (.*)$"
-METRIC_MESSAGE = r"^\[step (\d+)\] (.*)$"
+LOG_SEPARATOR = r" \| "
+METRIC_STEP = r"^\[step [0-9]{1,18}\] "
 LOG_TIME = "yyyy-MM-dd HH:mm:ss.SSS"
 LOG_FILES = "*_rank_*.log*"
 
@@ -87,33 +87,48 @@ def read_run_logs(spark: SparkSession, root: str, files: str = LOG_FILES) -> Dat
 
 
 def parse_log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Log lines as typed columns. Lines that continue an earlier record do not match and are dropped."""
-    part = lambda i: F.regexp_extract(F.col(column), LOG_LINE, i)
+    """Log lines as typed columns. Lines that are no record are in ``other_log_lines``."""
     other = [F.col(c) for c in lines.columns if c != column]
-    return lines.where(F.col(column).rlike(LOG_LINE)).select(
-        *other,
-        F.to_timestamp_ntz(part(1), F.lit(LOG_TIME)).alias("ts"),
-        part(2).alias("level"),
-        part(3).cast("int").alias("rank"),
-        part(4).cast("int").alias("world_size"),
-        part(5).alias("process"),
-        part(6).alias("message"),
+    fields = ("ts", "level", "rank", "world_size", "process", "message")
+    found = _log_fields(lines, column).where(F.col("__log.message").isNotNull())
+    return found.select(*other, *[F.col(f"__log.{f}").alias(f) for f in fields])
+
+
+def other_log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The lines that are no record: continuations of the record before them, and malformed lines, as they are."""
+    return _log_fields(lines, column).where(F.col("__log.message").isNull()).select(*lines.columns)
+
+
+def _log_fields(lines: DataFrame, column: str) -> DataFrame:
+    """Adds ``__log``, the fields of a record: one split of the line, null where a part does not fit."""
+    parts = lines.withColumn("__parts", F.split(F.col(column), LOG_SEPARATOR, 5))
+    part = lambda i: F.get("__parts", F.lit(i))
+    ranks = F.split(F.trim(F.substring(part(2), 6, 40)), "/", -1)
+    ts, rank, size = part(0).try_cast("timestamp_ntz"), F.get(ranks, F.lit(0)).try_cast("int"), F.get(ranks, F.lit(1)).try_cast("int")
+    level = F.rtrim(part(1))
+    fits = (
+        (F.size("__parts") == 5) & ts.isNotNull() & part(0).contains(" ") & part(2).startswith("rank ")
+        & (F.size(ranks) == 2) & (rank >= 0) & (size >= 0) & level.rlike(r"^\w+$") & part(3).rlike(r"^\S+$")
     )
+    return parts.withColumn("__log", F.when(fits, F.struct(
+        ts.alias("ts"), level.alias("level"), rank.alias("rank"), size.alias("world_size"),
+        part(3).alias("process"), part(4).alias("message")))).drop("__parts")
 
 
 def parse_metric_messages(records: DataFrame, column: str = "message") -> DataFrame:
     """Metric messages as a long table: one row per (record, metric)."""
     other = [F.col(c) for c in records.columns if c != column]
-    found = records.where(F.col(column).rlike(METRIC_MESSAGE))
-    step = F.regexp_extract(F.col(column), METRIC_MESSAGE, 1).cast("bigint")
-    body = F.regexp_extract(F.col(column), METRIC_MESSAGE, 2)
-    pairs = found.select(*other, step.alias("step"), F.explode(F.split(body, " ")).alias("__pair"))
+    found = records.where(F.col(column).rlike(METRIC_STEP))
+    words = found.select(*other, F.split(F.col(column), " ").alias("__words"))
+    step = F.rtrim(F.get("__words", F.lit(1)), F.lit("]")).cast("bigint")
+    pairs = words.select(*other, step.alias("step"), F.explode(F.slice("__words", F.lit(3), F.size("__words"))).alias("__pair"))
     # a name may itself hold '=', so the value is what follows the last one
+    value = F.substring_index("__pair", "=", -1)
     return pairs.where(F.col("__pair").contains("=")).select(
         *other,
         "step",
-        F.regexp_extract("__pair", r"^(.*)=([^=]*)$", 1).alias("metric"),
-        F.regexp_extract("__pair", r"^(.*)=([^=]*)$", 2).try_cast("double").alias("value"),
+        F.substring(F.col("__pair"), F.lit(1), F.length("__pair") - F.length(value) - 1).alias("metric"),
+        value.try_cast("double").alias("value"),
     )
 
 

@@ -50,6 +50,9 @@ def write_shards(
     placed = df.select(*order, "payload", "prompt_len").sortWithinPartitions(*order)
     keep = ("split", "shard_id", "position") if keep_position else ("split", "shard_id")
     earlier = _manifest_rows(spark, root)
+    if keep_stale:
+        # an overwrite by partition does not touch the folder of a planned shard that gets no rows
+        _clear_empty_shards(spark, root, totals, num_shards)
     if earlier:
         _write_manifest(spark, earlier[0].head(0), root)
     (
@@ -182,6 +185,16 @@ def _check_sizes(rows: pd.DataFrame, totals: Mapping[str, int], num_shards: Mapp
             raise RuntimeError(f"{name} holds {num_rows} rows, not {end - start}; the input changed during the run")
 
 
+def _clear_empty_shards(spark: SparkSession, root: str, totals: Mapping[str, int], num_shards: Mapping[str, int]) -> None:
+    """Remove what an earlier run stored under planned shards that are empty now."""
+    for split, total in totals.items():
+        for shard_id in range(num_shards.get(split, 0)):
+            start, end = shard_bounds(total, num_shards[split], shard_id)
+            if start == end:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{EXAMPLES}/split={split}/shard_id={shard_id}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _manifest_rows(spark: SparkSession, root: str) -> list[pd.DataFrame]:
     try:
         return [read_manifest(spark, root).toPandas()]

@@ -59,7 +59,7 @@ if __name__ == "__main__":
     from quillshard.session import build_session
 
     sf = sys.argv[1]
-    session, con = build_session("local[8]", 8), connect(sf)
+    session, con = build_session("local[4]", 8), connect(sf)
     bad = 0
     for query in sys.argv[2:] or driver.queries():
         start = time.time()

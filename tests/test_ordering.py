@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillshard.operators import groups, limits, positions
+from quillshard.operators import groups, limits, positions, splits
 from tests.conftest import SF_SMALL, plan_of
 
 
@@ -183,3 +183,30 @@ def test_the_largest_number_of_buckets(spark):
     layout = positions.range_layout(df, ["k"], 10)
     assert layout.total == 600_000 and len(layout.lookup) > 60_000 and layout.num_parts == 60_000
     assert layout.lookup["__part"].is_monotonic_increasing
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles", "Asia/Tokyo"])
+def test_limits_and_splits_do_not_depend_on_the_session_time_zone(spark, zone):
+    """Keys of every type, through the plain and the narrowing search, give the same rows in any zone."""
+    base = spark.range(300).select(
+        "id",
+        F.expr("timestamp_micros(1700000000000000 + id * 3600000007)").alias("ltz"),
+        F.expr("CAST('2024-03-10 00:00:00.000001' AS TIMESTAMP_NTZ) + make_dt_interval(0, CAST(id AS INT))").alias("ntz"),
+        F.expr("date_add(DATE '2024-01-01', CAST(id AS INT))").alias("day"),
+        F.expr("CAST(id AS DECIMAL(20, 4)) / 7").alias("dec"),
+        F.expr("CAST(id AS DOUBLE) / 3").alias("dbl"),
+        F.expr("CAST(lpad(CAST(id AS STRING), 5, '0') AS BINARY)").alias("bin"),
+    )
+    before = spark.conf.get("spark.sql.session.timeZone")
+    rows = base.collect()
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        for key in ("ltz", "ntz", "day", "dec", "dbl", "bin"):
+            for top in (100_000, 16):
+                got = {r["id"] for r in limits.first_rows(base, 120, [key], top_keys=top).select("id").collect()}
+                assert got == set(range(120)), (key, top)
+        split = {r["id"] for r in splits.ratio_split(base.select("ltz", "id"), 0.2, ["ltz"], 1)[0].where("split = 'val'").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert len(rows) == 300
+    assert split == {r["id"] for r in splits.ratio_split(base.select("ltz", "id"), 0.2, ["ltz"], 1)[0].where("split = 'val'").collect()}
