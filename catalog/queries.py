@@ -17,7 +17,7 @@ from quillshard.operators import batches as b
 from quillshard.operators import telemetry as tele
 from quillshard.operators.limits import first_rows
 from quillshard.operators.positions import range_layout, shuffled_layout, with_position
-from quillshard.operators.shards import assign_shards, one_shard
+from quillshard.operators.shards import assign_shards, one_shard, shard_bounds
 from quillshard.operators.splits import TRAIN, VALIDATION, ordered_split, ratio_split
 from quillshard.plans.config import PreprocessConfig
 from quillshard.plans.preprocess import place_rows, preprocess, read_rows, tokenized_examples
@@ -341,7 +341,8 @@ def q_shard_assign(spark, sf):
 def q_shard_one(spark, sf):
     orders = t.table(spark, sf, "orders").select("o_orderkey")
     layout = range_layout(orders, ["o_orderkey"])
-    return one_shard(with_position(orders, layout), layout.total, 7, 6)
+    wanted = layout.between(*shard_bounds(layout.total, 7, 6))
+    return one_shard(with_position(orders, wanted), layout.total, 7, 6)
 
 
 def q_split_ratio(spark, sf):

@@ -2,9 +2,10 @@
 
 Groups of at most ``rows_per_slice`` rows take the plain window. A larger group is cut into slices of
 its own order; each slice is one window group, and what a slice needs from its neighbours (a running
-count, a last value, a next row) comes from a table with one row per slice. At most ``MAX_HOT_GROUPS``
-groups are hot and at most ``MAX_BUCKETS`` slices cut them, which bounds every table built here. Rows of one
-group need distinct order keys.
+count, a last value, a next row) comes from a table with one row per slice. Every group above the slice size is
+cut. The table of hot groups is collected and broadcast only if it was found to be small, in rows and bytes;
+a larger one stays a table and is joined by Spark, which splits the partition of a hot key. Rows of one group
+need distinct order keys.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql.window import Window
 from quillshard.operators.buckets import range_bucket
 
 ROWS_PER_SLICE = 1_000_000
-# With more hot groups than this, only groups above an even share of their rows are cut.
+# More hot groups than this, or more bytes of their keys, are neither collected nor broadcast.
 MAX_HOT_GROUPS = 100_000
+MAX_HOT_BYTES = 32 << 20
 _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -35,21 +37,22 @@ class Slices:
         self.group_by = group_by
         self.order_by = order_by
         sizes = df.groupBy(*group_by).agg(F.count(F.lit(1)).alias("__size"))
-        hot_groups = sizes.where(F.col("__size") > rows_per_slice).collect()
-        share = sum(row["__size"] for row in hot_groups) // MAX_HOT_GROUPS
-        hot_groups = [row for row in hot_groups if row["__size"] > share]
-        self.hot = bool(hot_groups)
+        large = sizes.where(F.col("__size") > rows_per_slice)
+        width = sum((F.coalesce(F.octet_length(F.col(g).cast("string")), F.lit(0)) for g in group_by), F.lit(0))
+        found = large.agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("rows"), F.sum(width).alias("bytes")).first()
+        self.hot = found["n"] > 0
         if not self.hot:
             self.df = df.withColumn("__slice", F.lit(0))
             return
-        n_hot = sum(row["__size"] for row in hot_groups)
+        n_hot = found["rows"]
         n_slices = max(2, -(-n_hot // rows_per_slice))
-        flags = df.sparkSession.createDataFrame(
-            [(*[row[g] for g in group_by], True) for row in hot_groups],
-            df.select(*group_by, F.lit(True).alias("__hot")).schema,
-        )
-        # at most MAX_HOT_GROUPS rows, and joining on a hot key by a shuffle would bring it to one task
-        marked = join_on(df, flags, group_by, bounded=True)
+        flags = large.select(*group_by, F.lit(True).alias("__hot"))
+        small = found["n"] <= MAX_HOT_GROUPS and found["bytes"] <= MAX_HOT_BYTES
+        if small:
+            # a table of its own, so that the groups are not counted again
+            flags = df.sparkSession.createDataFrame(flags.toArrow()) if _plain(flags) else flags
+        # by broadcast where it can be, since a shuffle on a hot key would bring it to one task first
+        marked = join_on(df, flags, group_by, bounded=small)
         keys = [*group_by, *order_by]
         bucket = range_bucket(marked.where("__hot").select(*keys), keys, n_hot, n_slices)
         self.df = marked.withColumn("__slice", F.when(F.col("__hot"), bucket + 1).otherwise(0)).drop("__hot")
@@ -70,14 +73,20 @@ class Slices:
         return Window.partitionBy(*self.group_by).orderBy("__slice")
 
     def attach(self, df: DataFrame, summary: DataFrame, carried: list[str]) -> DataFrame:
-        """Join a per-slice table. Its rows are bounded; its bytes are too if it carries no text or arrays.
+        """Join a per-slice table. Its rows are bounded; its bytes are too if keys and values have no text or arrays.
 
         Otherwise Spark picks the join by measured size: slices are small, so a shuffle is safe as well.
         """
-        bounded = all(isinstance(summary.schema[c].dataType, _FIXED_WIDTH) for c in carried)
+        bounded = all(isinstance(summary.schema[c].dataType, _FIXED_WIDTH) for c in [*self.group_by, *carried])
         return join_on(df, summary, self.keys, bounded)
 
 
+def _plain(df: DataFrame) -> bool:
+    """Whether Arrow brings a table to the driver and back with the same types and values."""
+    kept = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampNTZType)
+    return all(isinstance(f.dataType, kept) for f in df.schema)
+
+
 def join_on(df: DataFrame, other: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
     """Left join on keys that may be null, by broadcast if the other side is bounded."""
     renamed = other.withColumnsRenamed({k: f"__r_{k}" for k in keys})

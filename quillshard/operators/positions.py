@@ -7,7 +7,7 @@ offset each. The second shuffles every row once, to the task of its part, and nu
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -43,6 +43,17 @@ class OrderLayout:
     lookup: pd.DataFrame
     total: int
     num_parts: int
+    partial: bool = False
+
+    def between(self, first: int, end: int) -> OrderLayout:
+        """The layout of the buckets that hold positions ``first`` to ``end - 1``; other rows are not moved at all.
+
+        Neighbours in the same buckets come along, so the caller still filters on the position.
+        """
+        kept = self.lookup[(self.lookup["__start"] < end) & (self.lookup["__start"] + self.lookup["__n"] > first)].copy()
+        # what is kept of a part is one run of buckets, so its rows count from the first of them
+        kept["__offset"] = kept.groupby("__part")["__start"].transform("min")
+        return replace(self, lookup=kept, partial=True)
 
 
 def range_layout(df: DataFrame, keys: list[str], rows_per_part: int = ROWS_PER_PART) -> OrderLayout:
@@ -67,11 +78,11 @@ def with_position(df: DataFrame, layout: OrderLayout, into: str = "position") ->
     """Add the 0-based position. Each output task holds one contiguous run of positions."""
     if layout.total == 0:
         return df.withColumn(into, F.lit(0).cast("bigint"))
-    lookup = df.sparkSession.createDataFrame(
-        layout.lookup, "__bucket int, __part int, __offset bigint"
-    )
+    columns = ["__bucket", "__part", "__offset"]
+    lookup = df.sparkSession.createDataFrame(layout.lookup[columns], "__bucket int, __part int, __offset bigint")
     # the lookup has one row per bucket, so its size is bounded by MAX_BUCKETS
-    placed = df.withColumn("__bucket", layout.bucket).join(F.broadcast(lookup), "__bucket", "left")
+    how = "inner" if layout.partial else "left"
+    placed = df.withColumn("__bucket", layout.bucket).join(F.broadcast(lookup), "__bucket", how)
     part = F.coalesce("__part", F.raise_error(F.lit("a row's order key was not there when rows were counted")))
     # each task receives exactly one part, so a row's place in its sorted task is its place in the part;
     # counting rows as they pass needs no buffer, which a window function over the part would
@@ -113,6 +124,8 @@ def _layout(
             "__bucket": counts["bucket"].to_numpy(dtype=np.int32),
             "__part": np.asarray(part, dtype=np.int32),
             "__offset": np.asarray(offset, dtype=np.int64),
+            "__start": start,
+            "__n": n,
         }
     )
     return OrderLayout(bucket, order, lookup, total, wanted)

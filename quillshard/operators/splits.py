@@ -28,15 +28,23 @@ def ordered_split(df: DataFrame, split: str, keys: list[str], rows_per_part: int
 
 
 def ratio_split(
-    df: DataFrame, ratio: float, keys: list[str], seed: int, rows_per_part: int = ROWS_PER_PART
+    df: DataFrame,
+    ratio: float,
+    keys: list[str],
+    seed: int,
+    rows_per_part: int = ROWS_PER_PART,
+    train_only: bool = False,
 ) -> tuple[DataFrame, dict[str, int]]:
     """A seeded random split: the front of the permutation is validation, the rest train.
 
-    Both splits come from one shuffle; positions count from 0 inside each.
+    Both splits come from one shuffle; positions count from 0 inside each. With ``train_only`` validation rows are
+    counted but left out before that shuffle, save those that share a bucket with train rows.
     """
     layout = shuffled_layout(df, keys, seed, rows_per_part)
     n_val = validation_size(ratio, layout.total)
-    placed = with_position(df, layout)
+    placed = with_position(df, layout.between(n_val, layout.total) if train_only else layout)
+    if train_only:
+        placed = placed.where(F.col("position") >= n_val)
     in_val = F.col("position") < n_val
     split = placed.withColumns(
         {

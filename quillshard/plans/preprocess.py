@@ -47,7 +47,8 @@ def place_rows(raw: DataFrame, cfg: PreprocessConfig, formatter: Formatter, enco
             placed_val, val_totals = ordered_split(encoded(val), VALIDATION, keys, cfg.rows_per_part)
             placed, totals = placed.unionByName(placed_val), {**totals, **val_totals}
     elif makes_split(cfg.val_split_ratio):
-        placed, totals = ratio_split(encoded(train), cfg.val_split_ratio, keys, cfg.seed, cfg.rows_per_part)
+        unwritten = cfg.num_val_shards == 0
+        placed, totals = ratio_split(encoded(train), cfg.val_split_ratio, keys, cfg.seed, cfg.rows_per_part, unwritten)
         if cfg.num_val_shards == 0:
             log.warning("%s validation rows are split off but written nowhere: num_val_shards is 0", totals[VALIDATION])
     else:

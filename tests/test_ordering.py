@@ -134,19 +134,22 @@ def test_text_carried_between_slices_is_not_forced_into_a_broadcast(spark, group
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = groups.fill_forward(grouped, ["g"], ORDER, {"s": "f"}, None, 100)
-        number = groups.fill_forward(grouped, ["g"], ORDER, {"v": "f"}, None, 100)
+        fixed = grouped.withColumn("g", F.xxhash64("g"))
+        text = groups.fill_forward(fixed, ["g"], ORDER, {"s": "f"}, None, 100)
+        number = groups.fill_forward(fixed, ["g"], ORDER, {"v": "f"}, None, 100)
+        text_key = groups.fill_forward(grouped, ["g"], ORDER, {"v": "f"}, None, 100)
         assert plan_of(text).count("BroadcastHashJoin") < plan_of(number).count("BroadcastHashJoin")
-        same(text, grouped.withColumn("f", F.col("s")))
+        assert plan_of(text_key).count("BroadcastHashJoin") < plan_of(number).count("BroadcastHashJoin")
+        same(text, fixed.withColumn("f", F.col("s")))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_many_hot_groups_stay_bounded(spark, monkeypatch):
+def test_every_hot_group_is_cut_beyond_the_cap_too(spark, monkeypatch):
     monkeypatch.setattr(groups, "MAX_HOT_GROUPS", 4)
     df = spark.range(1200).select(F.when(F.col("id") < 600, 0).otherwise(F.col("id") % 20 + 1).alias("g"), F.col("id").alias("i"))
     slices = groups.Slices(df, ["g"], ["i"], 10)
-    assert {r.g for r in slices.df.where("__slice > 0").select("g").distinct().collect()} == {0}
+    assert {r.g for r in slices.df.where("__slice > 0").select("g").distinct().collect()} == set(range(21))
     numbered = groups.number_rows(df, ["g"], ["i"], "n", 10)
     same(numbered, df.withColumn("n", (F.row_number().over(Window.partitionBy("g").orderBy("i")) - 1).cast("bigint")))
 
@@ -210,3 +213,24 @@ def test_limits_and_splits_do_not_depend_on_the_session_time_zone(spark, zone):
         spark.conf.set("spark.sql.session.timeZone", before)
     assert len(rows) == 300
     assert split == {r["id"] for r in splits.ratio_split(base.select("ltz", "id"), 0.2, ["ltz"], 1)[0].where("split = 'val'").collect()}
+
+
+@pytest.mark.parametrize("first,end", [(0, 10), (95, 260), (999, 1000), (400, 400), (0, 1000)])
+def test_a_range_of_positions_moves_only_its_buckets(spark, first, end):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(4)
+    whole = positions.range_layout(df, ["k"], 50)
+    part = positions.with_position(df, whole.between(first, end))
+    got = {(r["k"], r["position"]) for r in part.collect() if first <= r["position"] < end}
+    assert got == {(i, i) for i in range(first, end)}
+    if end - first < 200:
+        moved = part.count()
+        assert moved <= end - first + 200
+    plan = plan_of(part)
+    assert plan.index("BroadcastHashJoin") > plan.index("Exchange"), "rows are chosen below the exchange"
+
+
+def test_train_only_split_equals_the_train_part(spark):
+    df = spark.range(500).withColumnRenamed("id", "k")
+    both = {(r["k"], r["position"]) for r in splits.ratio_split(df, 0.3, ["k"], 5, 40)[0].where("split = 'train'").collect()}
+    alone, totals = splits.ratio_split(df, 0.3, ["k"], 5, 40, train_only=True)
+    assert {(r["k"], r["position"]) for r in alone.collect()} == both and totals == {"train": 350, "val": 150}
