@@ -316,5 +316,6 @@ ORACLE = {
         for name in ("loss", "perplexity", "grad_norm", "step_duration", "steps_per_second", "tokens_per_second")
     ),
 }
+ORACLE["q_stream_scrape_triggers"] = f"SELECT *, 0::BIGINT AS lost FROM ({ORACLE['q_scrape_5s']})"
 ORACLE["q_gauge_ffill_sliced"] = ORACLE["q_gauge_ffill"]
 ORACLE["q_stream_scrape"] = ORACLE["q_scrape_5s"]

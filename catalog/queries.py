@@ -538,6 +538,23 @@ def q_stream_scrape(spark, sf):
     return latest.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+def q_stream_scrape_triggers(spark, sf):
+    """The scrape over four files in time order, one per trigger, with what the watermark lost (nothing) beside it."""
+    root = scratch_dir(spark, "scrape")
+    samples = t.gauge_samples(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    bounds = samples.select(F.percentile_approx("ts", [0.25, 0.5, 0.75]).alias("q")).first()["q"]
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        part = samples.where((F.lit(low is None) | (F.col("ts") > F.lit(low))) & (F.lit(high is None) | (F.col("ts") <= F.lit(high))))
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    windows = stream_metrics.scrape_stream(stream, "1 minute", ["ts", "event_id"])
+    stream_metrics.upsert_windows(windows, f"{root}/windows", f"{root}/state", available_now=True).awaitTermination()
+    latest = stream_metrics.read_windows(spark, f"{root}/windows")
+    lost = stream_metrics.lost_samples(samples, latest, ["ts", "event_id"]).select(*t.RUN_METRIC, "window_start", "lost")
+    joined = latest.join(lost, [*t.RUN_METRIC, "window_start"], "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
+    return joined.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 def q_stream_preprocess(spark, sf):
     root = scratch_dir(spark, "examples")
     raw = _stream(spark, sf, "documents")

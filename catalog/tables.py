@@ -97,6 +97,8 @@ def gauge_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+RUN_METRIC = ("run_id", "rank", "metric")
+
 GAUGE_SAMPLES = EVENT_ROWS + """,
 gauge_samples AS (SELECT 'run' AS run_id, rank, ts, event_id, run_id AS metric, value FROM event_rows)"""
 

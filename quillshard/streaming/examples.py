@@ -28,8 +28,9 @@ def example_stream(
 
 
 def append_examples(examples: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    # each micro-batch gathers a shard's rows first: one file per shard and batch instead of one per task and shard
     writer = (
-        examples.writeStream.outputMode("append")
+        examples.repartition("shard_id").writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
         .partitionBy("shard_id")
         .format("parquet")

@@ -15,7 +15,7 @@ def scrape_stream(samples: DataFrame, delay: str, order_by: list[str]) -> DataFr
     """Scrape windows over a stream of gauge samples.
 
     ``ts`` must be a timestamp with time zone. Samples later than ``delay`` behind the newest one are
-    dropped, which also lets Spark forget closed windows.
+    dropped, which also lets Spark forget closed windows; ``lost_samples`` counts them.
     """
     return scraped_gauges(samples.withWatermark("ts", delay), order_by)
 
@@ -39,6 +39,19 @@ def read_windows(spark: SparkSession, path: str) -> DataFrame:
     return grouped.select(*RUN, "metric", "window_start", "w.value", "w.samples")
 
 
+def lost_samples(samples: DataFrame, windows: DataFrame, order_by: list[str]) -> DataFrame:
+    """Windows that lack samples which had arrived, with how many (``lost``): what the watermark dropped.
+
+    ``samples`` is the table that the stream has read so far, ``windows`` what ``read_windows`` shows of it.
+    """
+    at = [*RUN, "metric", "window_start"]
+    due = scraped_gauges(samples, order_by).select(*at, F.col("samples").alias("due"))
+    seen = windows.select(*[F.col(c).alias(f"__{c}") for c in at], F.col("samples").alias("seen"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in at]
+    short = due.join(seen, same, "left").withColumn("lost", F.col("due") - F.coalesce("seen", F.lit(0)))
+    return short.where(F.col("lost") > 0).select(*at, "lost")
+
+
 def publish_stream(
     steps: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:

@@ -49,6 +49,9 @@ def test_late_samples_are_dropped(spark, folder):
     run(spark, folder, "10 seconds")
     write(spark, folder, 2, [sample(3, 1, 99), sample(4, 96, 5)])
     assert run(spark, folder, "10 seconds") == {0: (1.0, 1), 95: (5.0, 1), 100: (3.0, 2)}
+    arrived = spark.read.schema(SAMPLES).parquet(f"{folder}/in")
+    lost = sm.lost_samples(arrived, sm.read_windows(spark, f"{folder}/out"), ["ts", "event_id"]).collect()
+    assert [((r.window_start - START).total_seconds(), r.lost) for r in lost] == [(0.0, 1)]
 
 
 def test_published_stream_hands_over_payloads(spark, folder):
