@@ -206,6 +206,12 @@ ORACLE = {
     + f""" SELECT doc_id, n::INTEGER AS n_ids, {digest('input_ids')} AS ids_md5,
   {digest(f'list_transform(range(0, {LENGTH}), lambda i: CASE WHEN i < n THEN 1 ELSE 0 END)')} AS mask_md5 FROM padded""",
     "q_labels": with_(PAIR_EXAMPLES) + " SELECT conv_id, turn, ids_md5, n_tokens, labels_md5 FROM examples",
+    "q_labels_mask_padding": with_(PAIR_EXAMPLES.replace("i <= p THEN", "i <= p OR i > n THEN"))
+    + " SELECT conv_id, turn, ids_md5, n_tokens, labels_md5 FROM examples",
+    "q_val_batches": with_(ORDER_EPOCHS)
+    + """, stored AS (SELECT o_orderkey, shard_id, row_number() OVER (PARTITION BY shard_id ORDER BY position) - 1 AS rn FROM sharded)
+  SELECT shard_id, rn // 12 AS batch_id, count(*)::INTEGER AS examples, string_agg(o_orderkey::VARCHAR, ',' ORDER BY rn) AS order_keys
+  FROM stored GROUP BY shard_id, rn // 12""",
     "q_final_schema": f"""SELECT c AS "column", {LENGTH}::INTEGER AS length, count(*) AS examples
   FROM documents, (VALUES ('input_ids'), ('attention_mask'), ('labels')) v(c) GROUP BY c""",
     "q_global_position": """SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS position,

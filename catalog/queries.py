@@ -17,7 +17,7 @@ from quillshard.operators import batches as b
 from quillshard.operators import telemetry as tele
 from quillshard.operators.limits import first_rows
 from quillshard.operators.positions import range_layout, shuffled_layout, with_position
-from quillshard.operators.shards import assign_shards, one_shard, shard_bounds
+from quillshard.operators.shards import assign_shards, one_shard, shard_bounds, shard_size
 from quillshard.operators.splits import TRAIN, VALIDATION, ordered_split, ratio_split
 from quillshard.plans.config import PreprocessConfig
 from quillshard.plans.preprocess import place_rows, preprocess, read_rows, tokenized_examples
@@ -304,6 +304,12 @@ def q_labels(spark, sf):
     return example_digests(to_examples(rows, ByteEncoder(), LENGTH, ("conv_id", "turn")), "conv_id", "turn")
 
 
+def q_labels_mask_padding(spark, sf):
+    rows = encode_rows(t.sft_pairs(spark, sf), PAIR_FORMAT, ByteEncoder(), LENGTH)
+    masked = to_examples(rows, ByteEncoder(), LENGTH, ("conv_id", "turn"), mask_padding=True)
+    return example_digests(masked, "conv_id", "turn")
+
+
 def q_final_schema(spark, sf):
     """The stored columns of every example, with their lengths."""
     root = scratch_dir(spark, "shards")
@@ -369,7 +375,8 @@ def q_split_val_unwritten(spark, sf):
 
 
 def _order_epochs(spark, sf):
-    return b.shuffled_epochs(_sharded_orders(spark, sf, 4)[0], 2, SEED)
+    rows, total = _sharded_orders(spark, sf, 4)
+    return b.shuffled_epochs(rows, 2, SEED, largest_shard=shard_size(total, 4))
 
 
 def q_epoch_shuffle(spark, sf):
@@ -384,11 +391,23 @@ def q_batches(spark, sf):
     )
 
 
+def q_val_batches(spark, sf):
+    """Validation batches: the stored order, and the training batch size where none is given."""
+    rows, total = _sharded_orders(spark, sf, 4)
+    ordered = b.stored_order(rows, F.col("shard_id") * shard_size(total, 4))
+    batches = b.assemble_batches(b.with_batches(ordered, b.validation_batch_size(None, 12)), ["o_orderkey"])
+    return batches.select(
+        "shard_id", "batch_id", F.size("o_orderkey").alias("examples"),
+        F.array_join(F.col("o_orderkey").cast("array<string>"), ",").alias("order_keys"),
+    )
+
+
 def q_batch_tokens(spark, sf):
     encoder = HashWordEncoder()
     placed = place_rows(docs_to_encode(spark, sf), doc_config(sf, num_train_shards=4), DOC_FORMAT, encoder)
     slim = placed.df.select("split", "shard_id", "position", encoder.length(F.col("payload")).alias("n_tokens"))
-    return b.batch_tokens(b.with_batches(b.shuffled_epochs(slim, 2, SEED), 4)).drop("split")
+    largest = shard_size(placed.totals[TRAIN], 4)
+    return b.batch_tokens(b.with_batches(b.shuffled_epochs(slim, 2, SEED, largest_shard=largest), 4)).drop("split")
 
 
 def q_step_plan(spark, sf):

@@ -17,9 +17,12 @@ def validation_batch_size(val_batch_size: int | None, batch_size: int) -> int:
 
 
 def shuffled_epochs(
-    df: DataFrame, epochs: int, seed: int, rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, epochs: int, seed: int, rows_per_slice: int = ROWS_PER_SLICE, largest_shard: int | None = None
 ) -> DataFrame:
-    """Every shard once per epoch, each time in its own seeded order (``rn``, from 0)."""
+    """Every shard once per epoch, each time in its own seeded order (``rn``, from 0).
+
+    With ``largest_shard`` (known from the totals) no job runs to count the rows of shards that fit a slice.
+    """
     repeated = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     digest = shuffle_key(seed, F.col("epoch"), F.col("position"))
     return number_rows(
@@ -28,6 +31,7 @@ def shuffled_epochs(
         ["__digest", "position"],
         "rn",
         rows_per_slice,
+        largest_shard,
     ).drop("__digest")
 
 

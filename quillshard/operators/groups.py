@@ -32,10 +32,20 @@ class Slices:
     """
 
     def __init__(
-        self, df: DataFrame, group_by: list[str], order_by: list[str], rows_per_slice: int = ROWS_PER_SLICE
+        self,
+        df: DataFrame,
+        group_by: list[str],
+        order_by: list[str],
+        rows_per_slice: int = ROWS_PER_SLICE,
+        largest: int | None = None,
     ) -> None:
+        """``largest`` is the size of the largest group where the caller knows it; it spares the count."""
         self.group_by = group_by
         self.order_by = order_by
+        if largest is not None and largest <= rows_per_slice:
+            self.hot = False
+            self.df = df.withColumn("__slice", F.lit(0))
+            return
         sizes = df.groupBy(*group_by).agg(F.count(F.lit(1)).alias("__size"))
         large = sizes.where(F.col("__size") > rows_per_slice)
         width = sum((F.coalesce(F.octet_length(F.col(g).cast("string")), F.lit(0)) for g in group_by), F.lit(0))
@@ -101,9 +111,10 @@ def number_rows(
     order_by: list[str],
     into: str,
     rows_per_slice: int = ROWS_PER_SLICE,
+    largest: int | None = None,
 ) -> DataFrame:
-    """0-based row number inside each group."""
-    slices = Slices(df, group_by, order_by, rows_per_slice)
+    """0-based row number inside each group; ``largest`` bounds the group sizes where they are known."""
+    slices = Slices(df, group_by, order_by, rows_per_slice, largest)
     numbered = slices.df.withColumn(into, (F.row_number().over(slices.window()) - 1).cast("bigint"))
     if slices.hot:
         before = F.sum("__n").over(slices.across().rowsBetween(Window.unboundedPreceding, -1))
