@@ -322,6 +322,15 @@ ORACLE = {
         for name in ("loss", "perplexity", "grad_norm", "step_duration", "steps_per_second", "tokens_per_second")
     ),
 }
+ORACLE["q_scrape_standing"] = with_(GAUGE_SAMPLES) + """, w AS (
+  SELECT run_id, rank, metric, time_bucket(INTERVAL 6 HOUR, ts) AS window_start, arg_max(value, (ts, event_id)) AS value, count(*) AS samples
+  FROM gauge_samples GROUP BY ALL),
+ends AS (SELECT run_id, rank, max(window_start) AS last FROM w GROUP BY ALL),
+ticks AS (SELECT run_id, rank, metric, unnest(generate_series(first, last, INTERVAL 6 HOUR)) AS window_start
+  FROM (SELECT run_id, rank, metric, min(window_start) AS first FROM w GROUP BY ALL) JOIN ends USING (run_id, rank))
+SELECT run_id, rank, metric, window_start,
+  last_value(value IGNORE NULLS) OVER (PARTITION BY run_id, rank, metric ORDER BY window_start) AS value, coalesce(samples, 0) AS samples
+FROM ticks LEFT JOIN w USING (run_id, rank, metric, window_start)"""
 ORACLE["q_stream_scrape_triggers"] = f"SELECT *, 0::BIGINT AS lost FROM ({ORACLE['q_scrape_5s']})"
 ORACLE["q_gauge_ffill_sliced"] = ORACLE["q_gauge_ffill"]
 ORACLE["q_stream_scrape"] = ORACLE["q_scrape_5s"]

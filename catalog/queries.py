@@ -520,6 +520,11 @@ def q_scrape_5s(spark, sf):
     return tele.scraped_gauges(t.gauge_samples(spark, sf), ["ts", "event_id"])
 
 
+def q_scrape_standing(spark, sf):
+    """A row for every six-hourly scrape of every gauge, whether or not it was set since the scrape before."""
+    return tele.standing_gauges(t.gauge_samples(spark, sf), ["ts", "event_id"], 6 * 3600)
+
+
 def q_resource_ffill(spark, sf):
     names = list(t.RESOURCE_OF_EVENT.values())
     return tele.resource_history(t.resource_samples(spark, sf), ["ts", "event_id"], names).select("event_id", "rank", *names)

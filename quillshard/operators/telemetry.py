@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillshard.functions.metrics import per_second, perplexity, step_duration
-from quillshard.operators.groups import ROWS_PER_SLICE, fill_forward
+from quillshard.operators.groups import ROWS_PER_SLICE, fill_forward, join_on
 
 # Fixed value: seconds between two reads of the gauges.
 SCRAPE_SECONDS = 5
@@ -134,6 +134,25 @@ def scraped_gauges(samples: DataFrame, order_by: list[str], seconds: int = SCRAP
     ).select(*RUN, "metric", F.col("w.start").alias("window_start"), "value", "samples")
 
 
+def standing_gauges(
+    samples: DataFrame, order_by: list[str], seconds: int = SCRAPE_SECONDS, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """What every scrape of a run and rank reads, from a gauge's first sample on: a gauge keeps its value between sets.
+
+    ``samples`` is 0 in an interval without a new sample. The scrapes end with the last interval in which the run and rank
+    set any gauge.
+    """
+    scraped = scraped_gauges(samples, order_by, seconds)
+    first = scraped.groupBy(*RUN, "metric").agg(F.min("window_start").alias("__first"))
+    last = scraped.groupBy(*RUN).agg(F.max("window_start").alias("__last"))
+    spans = join_on(first, last, RUN, bounded=False)
+    step = F.make_dt_interval(secs=F.lit(seconds))
+    ticks = spans.select(*RUN, "metric", F.explode(F.sequence("__first", "__last", step)).alias("window_start"))
+    read = join_on(ticks, scraped, [*RUN, "metric", "window_start"], bounded=False)
+    standing = fill_forward(read, [*RUN, "metric"], ["window_start"], {"value": "value"}, rows_per_slice=rows_per_slice)
+    return standing.withColumn("samples", F.coalesce("samples", F.lit(0).cast("bigint")))
+
+
 def resource_history(
     samples: DataFrame, order_by: list[str], columns: list[str], rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
