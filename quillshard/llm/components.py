@@ -15,7 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     jumping), so rounds grow with the logarithm of a component's diameter. A node with many links only
     adds rows to joins and to a minimum, which combines before its shuffle.
     """
-    edges = staged(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other"), "component-edges")
+    edges = staged(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct(), "component-edges")
     labels = staged(edges.groupBy("node").agg(F.least("node", F.min("other")).alias("comp")), "component-labels")
     while True:
         near = edges.join(labels.select(F.col("node").alias("other"), F.col("comp").alias("theirs")), "other")
@@ -28,3 +28,14 @@ def components(links: DataFrame) -> DataFrame:
         if moved.where(F.col("comp") != F.col("was")).isEmpty():
             return moved.drop("was")
         labels = moved.drop("was")
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links. Only the components that these links tie together are worked on again."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    alone = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("comp"))
+    known = staged(labels.select("node", "comp").union(alone), "component-known")
+    tied = links.join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b").where(F.col("ca") != F.col("cb"))
+    pairs = tied.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    merged = components(pairs).toDF("comp", "into")
+    return staged(known.join(merged, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), "component-labels")
