@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from quillshard.llm.mixing import op5_pivotal_mix
-from quillshard.llm.near_dedup import op4_signature_join
+from quillshard.llm.near_dedup import OP4_SQL, op4_signature_join
 from quillshard.llm.packing import op8_best_fit_packing
 from quillshard.llm.quality_cnn import op1_byte_cnn
 from quillshard.llm.quality_rules import OP7_SQL, op7_line_rules
 from quillshard.llm.resharding import op6_flow_resharding
 from quillshard.llm.substring_dedup import op9_gear_chunks
 from quillshard.llm.topk_search import OP3_SQL, op3_norm_buckets
-from quillshard.llm.url_filter import op10_url_words
+from quillshard.llm.url_filter import OP10_SQL, op10_url_words
 from quillshard.llm.warc import OP2_SQL, op2_boundary_chain
 
 QUERIES = {
@@ -29,5 +29,7 @@ QUERIES = {
 ORACLE = {
     "op2_boundary_chain": OP2_SQL,
     "op3_norm_buckets": OP3_SQL,
+    "op4_signature_join": OP4_SQL,
     "op7_line_rules": OP7_SQL,
+    "op10_url_words": OP10_SQL,
 }

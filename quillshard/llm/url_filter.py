@@ -170,4 +170,63 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def op10_url_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"))
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP10_SQL = f"""
+WITH RECURSIVE cut AS (
+  SELECT row_number() OVER () AS r, page_id,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+parts AS (
+  SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules(verdict, h, p) AS (VALUES {", ".join(f"('{x.verdict}', '{x.host}', '{x.path}')" for x in RULES)}),
+ruled AS (
+  SELECT r, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS decided
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r),
+words AS (
+  SELECT word, count(*) AS n FROM (
+    SELECT unnest(regexp_extract_all(lower(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g')), '[a-z]+')) AS word FROM pages)
+  WHERE length(word) <= {MAX_WORD} GROUP BY word),
+total AS (SELECT greatest(coalesce(sum(n), 0), 1)::DOUBLE AS t FROM words),
+runs AS (
+  SELECT host, unnest(range(1, len(list) + 1)) AS at, unnest(list) AS name
+  FROM (SELECT host, regexp_extract_all(host, '[a-z]+|[0-9]+') AS list FROM (SELECT DISTINCT host FROM parts))),
+names AS (SELECT DISTINCT name FROM runs WHERE name >= 'a'),
+starts AS (SELECT name, unnest(range(0, length(name))) AS s FROM names),
+pieces AS (SELECT name, substr(name, s + 1, l) AS word FROM (SELECT name, s, unnest(range(1, least({MAX_WORD}, length(name) - s) + 1)) AS l FROM starts)),
+known AS (SELECT name, map(list(word), list(n)) AS m FROM (SELECT DISTINCT name, word, n FROM pieces JOIN words USING (word)) GROUP BY name),
+best AS (
+  SELECT name, m, 0 AS pos, [0.0::DOUBLE] AS scores, [0] AS backs FROM names LEFT JOIN known USING (name)
+  UNION ALL
+  SELECT name, m, pos + 1, list_append(scores, list_max(c)), list_append(backs, (greatest(0, pos - {MAX_WORD - 1}) + list_position(c, list_max(c)) - 1)::INTEGER)
+  FROM (
+    SELECT best.*, list_transform(range(greatest(0, pos - {MAX_WORD - 1}), pos + 1), lambda s: scores[s + 1]
+      + coalesce(ln(m[substr(name, s + 1, pos + 1 - s)] / t), ln(10.0 / t) - (pos + 1 - s) * ln(10.0))) AS c
+    FROM best, total WHERE pos < length(name))),
+back AS (
+  SELECT name, backs, pos AS stop, []::VARCHAR[] AS split FROM best WHERE pos = length(name)
+  UNION ALL
+  SELECT name, backs, backs[stop + 1], list_prepend(substr(name, backs[stop + 1] + 1, stop - backs[stop + 1]), split)
+  FROM back WHERE stop > 0),
+host_words AS (
+  SELECT host, unnest(split) AS word FROM runs JOIN back ON back.name = runs.name AND back.stop = 0
+  UNION ALL SELECT host, 'digits ' || length(name) FROM runs WHERE name < 'a'),
+tokens AS (
+  SELECT r, 'host ' || word AS token FROM parts JOIN host_words USING (host)
+  UNION ALL
+  SELECT r, 'path ' || CASE WHEN x < 'a' THEN 'digits ' || length(x) ELSE x END
+  FROM (SELECT r, unnest(regexp_extract_all(lower(path), '[a-z]+|[0-9]+')) AS x FROM parts)),
+model AS (
+  SELECT token, count(*) FILTER (decided = 'block') AS b, count(*) FILTER (decided = 'allow') AS a
+  FROM tokens JOIN ruled USING (r) GROUP BY token),
+sums AS (SELECT coalesce(sum(b), 0) + count(*) AS b, coalesce(sum(a), 0) + count(*) AS a FROM model),
+classes AS (SELECT count(*) FILTER (decided = 'block') + 1.0 AS b, count(*) FILTER (decided = 'allow') + 1.0 AS a FROM ruled),
+odds AS (
+  SELECT r, sum(ln((model.b + 1.0) / sums.b) - ln((model.a + 1.0) / sums.a)) AS w
+  FROM tokens JOIN model USING (token), sums GROUP BY r)
+SELECT page_id, host, path, rule,
+       coalesce(decided, CASE WHEN round(ln(classes.b / classes.a) + coalesce(w, 0), 9) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN ruled USING (r) LEFT JOIN odds USING (r), classes
+"""
