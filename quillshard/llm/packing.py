@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into training sequences.
 
-Two documents conflict if they have the same source or the same duplicate cluster; no sequence holds a
-conflicting pair. A document longer than a sequence is cut into full pieces and a rest, and no words are lost.
+Two documents conflict if they have the same source (unless ``spread_sources`` is off) or the same duplicate cluster; no
+sequence holds a conflicting pair. A document longer than a sequence is cut into full pieces and a rest, and no words are lost.
 
 Pieces are dealt by a hash into groups of about ``GROUP_ROWS`` and packed by one task each, largest first.
 Open bins stand in the order of their residual room, and each carries a bitmap of its sources and one of its
@@ -62,15 +62,22 @@ def _bits(values: list) -> list[int]:
     return [0 if v is None else 1 << index.setdefault(v, len(index)) for v in values]
 
 
-def _pack_group(capacity: int, rows: pa.Table) -> pa.Table:
+def _pack_group(capacity: int, spread_sources: bool, rows: pa.Table) -> pa.Table:
     rows = rows.sort_by([("n_words", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("tie", "ascending")])
-    items = zip(rows["n_words"].to_pylist(), _bits(rows["source"].to_pylist()), _bits(rows["cluster"].to_pylist()), strict=True)
+    sources = rows["source"].to_pylist() if spread_sources else [None] * len(rows)
+    items = zip(rows["n_words"].to_pylist(), _bits(sources), _bits(rows["cluster"].to_pylist()), strict=True)
     placed = best_fit(list(items), capacity)
     rows = rows.set_column(rows.schema.get_field_index("bin"), "bin", pa.array([b for b, _ in placed], pa.int64()))
     return rows.set_column(rows.schema.get_field_index("bin_start"), "bin_start", pa.array([o for _, o in placed], pa.int64()))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    capacity: int = CAPACITY,
+    cluster: str | None = None,
+    group_rows: int = GROUP_ROWS,
+    spread_sources: bool = True,
+) -> DataFrame:
     """One row per piece: ``doc_id, source, cluster, piece, doc_start, n_words, pack_id, bin_start``.
 
     ``cluster`` names the column of duplicate clusters; by default equal texts are a cluster. ``doc_start`` is the
@@ -96,7 +103,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None,
         F.lit(None).cast("bigint").alias("bin"),
         F.lit(None).cast("bigint").alias("bin_start"),
     )
-    packed = rows.groupBy("group").applyInArrow(lambda t: _pack_group(capacity, t), rows.schema)
+    packed = rows.groupBy("group").applyInArrow(lambda t: _pack_group(capacity, spread_sources, t), rows.schema)
     return packed.select(
         "doc_id", "source", "cluster", "tie", "piece", "doc_start", "n_words",
         F.shiftleft("group", 24).bitwiseOR(F.col("bin")).alias("pack_id"), "bin_start")

@@ -72,3 +72,9 @@ def test_columns_that_clash_and_a_given_cluster(spark):
 def test_registered_query_keeps_every_document(spark, folder):
     sf = folder_of(documents(spark, odd_rows(7)), folder)
     assert op8_best_fit_packing(spark, sf).where("piece = 0").count() == len(odd_rows(7))
+
+
+def test_sources_may_share_a_sequence_if_asked(spark):
+    docs = documents(spark, [(i, f"a{i} b{i} c{i}", "en", "same", 1) for i in range(9)])
+    alone, shared = (pack(docs, capacity=9, spread_sources=s).select("pack_id").distinct().count() for s in (True, False))
+    assert (alone, shared) == (9, 3)
