@@ -38,7 +38,9 @@ CUT_BITS = 2
 MAX_CHUNK_WORDS = 64
 GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, dtype=np.uint16)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-UNIT_SCHEMA = "d1 bigint, d2 int, doc_id bigint, tie int, start int, end int"
+# A unit's place: its first word times this, plus its words, of which there are at most UNIT_WORDS + MAX_CHUNK_WORDS.
+PLACE = 1 << 8
+UNIT_SCHEMA = "d1 bigint, d2 int, doc_id bigint, tie int, place bigint"
 
 
 def gear_hashes(data: bytes) -> np.ndarray:
@@ -99,10 +101,9 @@ def _unit_batches(batches):
                 pa.array((d[:, 1] >> 32).astype(np.int32)),
                 batch.column("doc_id").take(row),
                 batch.column("tie").take(row),
-                pa.array(np.concatenate(first).astype(np.int32)),
-                pa.array(np.concatenate(end).astype(np.int32)),
+                pa.array(np.concatenate(first) * PLACE + (np.concatenate(end) - np.concatenate(first))),
             ],
-            names=["d1", "d2", "doc_id", "tie", "start", "end"],
+            names=["d1", "d2", "doc_id", "tie", "place"],
         )
 
 
@@ -122,6 +123,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     counted = all_units.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("kept_doc_id"))
     repeated = counted.where(F.col("n") > 1).select("d1", "d2", "kept_doc_id")
     met = staged(all_units.join(repeated, ["d1", "d2"]), "substring-repeats")
+    start = F.shiftright("place", 8)
+    met = met.withColumns({"start": start.cast("int"), "end": (start + F.col("place") % PLACE).cast("int")})
     elsewhere = met.where(F.col("doc_id") != F.col("kept_doc_id")).select("doc_id", "tie", "start", "end", "kept_doc_id")
     # in the document that keeps the digest the first unit stays; a group here is one document's
     own = Window.partitionBy("d1", "d2").orderBy("tie", "start")
