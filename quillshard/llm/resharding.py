@@ -31,7 +31,7 @@ OLD_SHARDS = 16
 NEW_SHARDS = 24
 ROW_BYTES = 8
 BLOCK_BYTES = 64 << 20
-MIN_BLOCKS = 4
+MIN_BLOCKS = 8
 # Fixed-width rows of the table of blocks (one row per block) up to which it is broadcast.
 FATE_ROWS = 4_000_000
 
@@ -106,10 +106,9 @@ def write_sharded(docs: DataFrame, root: str, n_shards: int = OLD_SHARDS, block_
     """
     total = docs.agg(F.sum(row_size())).first()[0] or 0
     blocks = max(MIN_BLOCKS, -(-total // (n_shards * block_bytes)))
-    digest = F.xxhash64("doc_id", "__tie")
     placed = docs.withColumns({"__size": row_size(), "__tie": F.xxhash64("text")}).withColumns({
-        "shard": F.pmod(digest, F.lit(n_shards)).cast("int"),
-        "block": F.pmod(F.floor(digest / n_shards), F.lit(blocks)).cast("int"),
+        "shard": F.pmod(F.xxhash64("doc_id", "__tie"), F.lit(n_shards)).cast("int"),
+        "block": F.pmod(F.xxhash64(F.lit("block"), "doc_id", "__tie"), F.lit(blocks)).cast("int"),
     })
     placed.repartition("shard", "block").write.partitionBy("shard", "block").option("compression", "zstd").parquet(root)
     return docs.sparkSession.read.schema(placed.schema).parquet(root)
