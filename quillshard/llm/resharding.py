@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillshard.llm.common import sized, table
+from quillshard.llm.common import sized, staged, table
 from quillshard.session import scratch_dir
 
 OLD_SHARDS = 16
@@ -135,7 +135,7 @@ def reshard(old: DataFrame, moved_root: str, n_new: int = NEW_SHARDS) -> DataFra
     shard; ``old_shard`` and ``block`` name where a row was, ``moved`` whether it left.
     """
     spark = old.sparkSession
-    sizes = old.groupBy("shard", "block").agg(F.sum("__size").alias("bytes"))
+    sizes = staged(old.groupBy("shard", "block").agg(F.sum("__size").alias("bytes")), "shards-sizes")
     by_shard = {
         r["shard"]: r for r in sizes.groupBy("shard").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).collect()
     }
@@ -148,7 +148,7 @@ def reshard(old: DataFrame, moved_root: str, n_new: int = NEW_SHARDS) -> DataFra
     last = _interval(F.col("shard"), F.col("end") - 1, runs)
     fate = blocks.select(
         "shard", "block", (F.col("end") - F.col("bytes")).alias("__start"), first.alias("__first"), last.alias("__last"))
-    rows = old.join(sized(fate, n_blocks, FATE_ROWS), ["shard", "block"])
+    rows = old.join(sized(staged(fate, "shards-fate"), n_blocks, FATE_ROWS), ["shard", "block"])
     whole = rows.where(F.col("__first") == F.col("__last")).withColumn("__to", F.col("__first"))
     # a block that a cut crosses: the row's middle byte decides
     inside = Window.partitionBy("shard", "block").orderBy("__tie", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -185,4 +185,5 @@ def op6_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "moved", "old_shard", "block", "__tie",
     )
-    return with_slots(rows).drop("__tie")
+    # the slots need two passes over these short rows, not over the resharding
+    return with_slots(staged(rows, "shards-light")).drop("__tie")
