@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from quillshard.llm.hard_negatives import OP12_SQL, op12_hilbert_negatives
 from quillshard.llm.mixing import op5_pivotal_mix
 from quillshard.llm.near_dedup import OP4_SQL, op4_signature_join
 from quillshard.llm.packing import op8_best_fit_packing
 from quillshard.llm.quality_cnn import op1_byte_cnn
 from quillshard.llm.quality_rules import OP7_SQL, op7_line_rules
 from quillshard.llm.resharding import op6_flow_resharding
+from quillshard.llm.source_divergence import OP13_SQL, op13_source_divergence
 from quillshard.llm.substring_dedup import op9_gear_chunks
 from quillshard.llm.topk_search import OP3_SQL, op3_norm_buckets
 from quillshard.llm.url_filter import OP10_SQL, op10_url_words
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_gear_chunks": op9_gear_chunks,
     "op10_url_words": op10_url_words,
+    "op12_hilbert_negatives": op12_hilbert_negatives,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE = {
@@ -32,4 +36,6 @@ ORACLE = {
     "op4_signature_join": OP4_SQL,
     "op7_line_rules": OP7_SQL,
     "op10_url_words": OP10_SQL,
+    "op12_hilbert_negatives": OP12_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
