@@ -11,6 +11,7 @@ from quillshard.llm.quality_rules import OP7_SQL, op7_line_rules
 from quillshard.llm.resharding import op6_flow_resharding
 from quillshard.llm.source_divergence import OP13_SQL, op13_source_divergence
 from quillshard.llm.substring_dedup import op9_gear_chunks
+from quillshard.llm.token_groups import OP11_SQL, op11_token_groups
 from quillshard.llm.topk_search import OP3_SQL, op3_norm_buckets
 from quillshard.llm.url_filter import OP10_SQL, op10_url_words
 from quillshard.llm.warc import OP2_SQL, op2_boundary_chain
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_gear_chunks": op9_gear_chunks,
     "op10_url_words": op10_url_words,
+    "op11_token_groups": op11_token_groups,
     "op12_hilbert_negatives": op12_hilbert_negatives,
     "op13_source_divergence": op13_source_divergence,
 }
@@ -36,6 +38,7 @@ ORACLE = {
     "op4_signature_join": OP4_SQL,
     "op7_line_rules": OP7_SQL,
     "op10_url_words": OP10_SQL,
+    "op11_token_groups": OP11_SQL,
     "op12_hilbert_negatives": OP12_SQL,
     "op13_source_divergence": OP13_SQL,
 }
