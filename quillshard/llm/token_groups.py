@@ -6,7 +6,8 @@ form a class, and only classes go on. Shingles are ordered by their hash. A set
 the first ``n - ceil(0.9 n) + c`` of either set: this prefix, a fifth of the set, is all that is posted.
 
 1. **Shared prefixes.** Prefix shingles that no other class has in its prefix are dropped. A class that keeps too few of its own can have no
-   partner and leaves.
+   partner and leaves. The same is then asked of whole sets: how many of a set's shingles occur in another one (its reach) bounds every
+   overlap it can have.
 2. **Groups.** What is left is sorted by the smallest of its shared shingles under a hash, so that similar sets stand side by side, and cut
    into groups of at most ``GROUP_ROWS`` sets and ``GROUP_TOKENS`` shingles. A group opens for its own members, whose similarities are
    one matrix product. With another hash in each of ``ROUNDS`` rounds, the members of a family meet in ever different groups and
@@ -14,7 +15,8 @@ the first ``n - ceil(0.9 n) + c`` of either set: this prefix, a fifth of the set
 3. **Matrix.** Between components, each group stores the union of its members' shared prefix shingles, which is the
    token-group matrix. Only shingles that two components hold count. A class probes it with its rarest shingles, one more than it may miss;
    the groups it meets are bounded by how many of its shingles their union holds, and only those that reach what a pair must
-   share open: their members of other components and of a fitting size are compared on full sets.
+   share open. Their members of other components are passed over where the sizes, the smaller reach or the prefixes rule a pair
+   out, and are compared on full sets else.
 
 No pair of different components that could link is left out, pairs of one component are never compared again, and nothing is
 collected to the driver. A shingle that a third of all classes share is met rarely: it is among the last that a class
@@ -103,6 +105,17 @@ def _near_sizes(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= SIMILAR_PERCENT * F.greatest(a, b)
 
 
+def _enough(common: Column, a: Column, b: Column) -> Column:
+    """Whether sets of sizes ``a`` and ``b`` with that much in common are similar."""
+    return (100 + SIMILAR_PERCENT) * common >= SIMILAR_PERCENT * (a + b)
+
+
+def _behind(n: Column) -> Column:
+    """By how much a prefix falls short of its set."""
+    least = F.ceil(n * SIMILAR_PERCENT / 100)
+    return least - F.least(least, F.floor(n / 10) + SURE)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.empty(0, np.uint64)]).view(np.int64)))
@@ -153,6 +166,14 @@ def _sets_of(docs: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFram
     return staged(named.select("node", "shingles").dropDuplicates(["node"]), "groups-sets")
 
 
+def _reaching(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """The classes, with ``reach``, whose sets share with others what a partner takes."""
+    posted = sets.select("node", F.explode("shingles").alias("token"))
+    twice = posted.groupBy("token").agg(F.count(F.lit(1)).alias("listed")).where(F.col("listed") > 1).select("token")
+    reach = posted.join(twice, "token").groupBy("node").agg(F.count(F.lit(1)).alias("reach"))
+    return staged(shared.join(reach, "node").where(100 * F.col("reach") >= SIMILAR_PERCENT * F.col("n")), "groups-reaching")
+
+
 def tied_members(sets: list[np.ndarray]) -> list[int]:
     """For each set of a group, the first one of its component within the group."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -225,15 +246,20 @@ def _open(shared: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFrame:
         F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.min("n").alias("least"), F.max("n").alias("most"),
         F.min("comp").alias("low"), F.max("comp").alias("high"))
     held = staged(held, "groups-matrix")
-    rarest = asking.select("node", "comp", "n", F.explode(F.slice("tokens", F.lit(1), (F.size("tokens") - F.col("need") + 1).cast("int"))).alias("token"))
+    rarest = asking.select("node", "comp", "n", "reach", F.explode(F.slice("tokens", F.lit(1), (F.size("tokens") - F.col("need") + 1).cast("int"))).alias("token"))
     cells = held.select("cluster", "least", "most", "low", "high", F.explode("union").alias("token"))
     fits = (100 * F.col("most") >= SIMILAR_PERCENT * F.col("n")) & (100 * F.col("n") >= SIMILAR_PERCENT * F.col("least"))
+    fits &= _enough(F.col("reach"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * SIMILAR_PERCENT / 100)))
     other = (F.col("low") < F.col("high")) | (F.col("low") != F.col("comp"))
     met = rarest.join(cells, "token").where(fits & other).select("node", "cluster").distinct()
-    bounded = met.join(asking.select("node", "tokens", "need", "n", "comp"), "node").join(held.select("cluster", "union"), "cluster").where(
-        F.size(F.array_intersect("tokens", "union")) >= F.col("need")).select("cluster", "node", "n", "comp")
-    partners = asking.select("cluster", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
-    opened = bounded.join(partners, "cluster").where((F.col("comp") != F.col("other_comp")) & _near_sizes(F.col("n"), F.col("other_n")))
+    bounded = met.join(asking.select("node", "tokens", "need", "n", "reach", "comp"), "node").join(held.select("cluster", "union"), "cluster").where(
+        F.size(F.array_intersect("tokens", "union")) >= F.col("need")).select("cluster", "node", "n", "reach", "comp", "tokens")
+    partners = asking.select(F.col("cluster").alias("of"), *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "reach", "comp", "tokens")])
+    n, m = F.col("n"), F.col("other_n")
+    cheap = (F.col("comp") != F.col("other_comp")) & _near_sizes(n, m) & _enough(F.least("reach", "other_reach"), n, m)
+    # of what they share, both prefixes hold all but what the prefix that falls shorter may leave out
+    prefixes = _enough(F.size(F.array_intersect("tokens", "other_tokens")) + F.greatest(_behind(n), _behind(m)), n, m)
+    opened = bounded.join(partners, (F.col("cluster") == F.col("of")) & F.when(cheap, prefixes).otherwise(False)).withColumnRenamed("other_node", "other")
     return opened.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
@@ -251,6 +277,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     classes = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "groups-classes")
     shared = _shared(classes)
     sets = _sets_of(docs, classes, shared)
+    shared = _reaching(shared, sets)
     rounds = [_groups(shared, sets, turn) for turn in range(ROUNDS)]
     ties = rounds[0]
     for r in rounds[1:]:
