@@ -12,8 +12,12 @@ the words of all others are removed, but for words that overlap the unit that st
 document count as well. Passages under ``UNIT_WORDS`` words are never removed; a passage of 50 words or more is
 found up to a few words at its ends.
 
-Digests are counted with map-side combining, then units meet the repeated digests in a join that Spark may split
-where one digest is frequent; nothing is gathered per digest. What is gathered is per document.
+Two passes. The first shuffles 32 bits of each unit's digest and counts them. What is found more than once becomes a bitmap
+of ``BITS_EACH`` bits for each, at most ``MOST_BITS`` (16 MB) however many there are. The second pass
+sends on only units whose bit is set, so what it shuffles follows the repeats and not the input; units that share bits by
+chance are counted apart there by whole digests. Beyond the most bits the bitmap lets more through, and the result is the same.
+Units then meet the repeated digests in a join that Spark may split where one digest is frequent; nothing is gathered per
+digest. What is gathered is per document.
 
 Null texts and texts under ``UNIT_WORDS`` words have no units. Rows without an id take no part and stay as they
 are. Equal rows count as one document; rows that share an id but not the text are told apart by a hash of the
@@ -40,6 +44,8 @@ GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, dtype=np.uint16)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 # A unit's place: its first word times this, plus its words, of which there are at most UNIT_WORDS + MAX_CHUNK_WORDS.
 PLACE = 1 << 8
+# Bits of the bitmap for a repeated digest, and all it may have: the size of what is broadcast.
+BITS_EACH, MOST_BITS = 16, 1 << 27
 UNIT_SCHEMA = "d1 bigint, d2 int, doc_id bigint, tie int, place bigint"
 
 
@@ -82,36 +88,70 @@ def units_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(digests, np.int64).reshape(-1, 2), first, end
 
 
-def _unit_batches(batches):
+def _slot_batches(batches):
+    """32 bits of each unit's digest."""
     for batch in batches:
-        digests, first, end, rows = [], [], [], []
-        for row, text in enumerate(batch.column("text").to_pylist()):
-            d, a, b = units_of(text or b"")
-            if len(a):
-                digests.append(d)
-                first.append(a)
-                end.append(b)
-                rows.append(np.full(len(a), row))
-        if not rows:
-            continue
-        d, row = np.concatenate(digests), pa.array(np.concatenate(rows))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(d[:, 0]),
-                pa.array((d[:, 1] >> 32).astype(np.int32)),
-                batch.column("doc_id").take(row),
-                batch.column("tie").take(row),
-                pa.array(np.concatenate(first) * PLACE + (np.concatenate(end) - np.concatenate(first))),
-            ],
-            names=["d1", "d2", "doc_id", "tie", "place"],
-        )
+        found = [units_of(t or b"")[0][:, 0] for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.int64)]).astype(np.int32))], names=["slot"])
+
+
+def _unit_batches(bitmap):
+    """The units whose bit is set."""
+
+    def kept(batches):
+        bits, mask = bitmap.value
+        for batch in batches:
+            digests, first, end, rows = [], [], [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                d, a, b = units_of(text or b"")
+                slot = d[:, 0].astype(np.int32).astype(np.int64) & mask
+                hit = (bits[slot >> 6] >> (slot & 63)) & 1 == 1
+                if hit.any():
+                    digests.append(d[hit])
+                    first.append(a[hit])
+                    end.append(b[hit])
+                    rows.append(np.full(int(hit.sum()), row))
+            if not rows:
+                continue
+            d, row = np.concatenate(digests), pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(d[:, 0]),
+                    pa.array((d[:, 1] >> 32).astype(np.int32)),
+                    batch.column("doc_id").take(row),
+                    batch.column("tie").take(row),
+                    pa.array(np.concatenate(first) * PLACE + (np.concatenate(end) - np.concatenate(first))),
+                ],
+                names=["d1", "d2", "doc_id", "tie", "place"],
+            )
+
+    return kept
+
+
+def _bitmap(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """Words of the bitmap of digest slots that occur more than once, and the mask that gives a slot's bit."""
+    slots = rows.select("text").mapInArrow(_slot_batches, "slot int").groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    repeated = staged(slots.where(F.col("n") > 1).select("slot"), "substring-slots")
+    size = 1 << 12
+    wanted = repeated.count() * BITS_EACH
+    while size < min(wanted, MOST_BITS):
+        size *= 2
+    bit = F.col("slot").cast("bigint").bitwiseAND(F.lit(size - 1))
+    words = repeated.groupBy(F.shiftright(bit, 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    found = words.toArrow()
+    bits = np.zeros(size >> 6, np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return bits, size - 1
 
 
 def units(docs: DataFrame) -> DataFrame:
+    """The units whose digest may occur more than once."""
     text_batches(docs.sparkSession)
     rows = docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.hash("text").alias("tie"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_unit_batches, UNIT_SCHEMA)
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(rows))
+    return rows.mapInArrow(_unit_batches(bitmap), UNIT_SCHEMA)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -119,7 +159,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     ``kept_doc_id`` is the document in which the span's first unit stays; ``start`` and ``end`` count words from 0.
     """
-    all_units = units(docs)
+    all_units = staged(units(docs), "substring-units")
     counted = all_units.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("kept_doc_id"))
     repeated = counted.where(F.col("n") > 1).select("d1", "d2", "kept_doc_id")
     met = staged(all_units.join(repeated, ["d1", "d2"]), "substring-repeats")
