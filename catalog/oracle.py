@@ -323,14 +323,51 @@ ORACLE = {
     ),
 }
 ORACLE["q_scrape_standing"] = with_(GAUGE_SAMPLES) + """, w AS (
-  SELECT run_id, rank, metric, time_bucket(INTERVAL 6 HOUR, ts) AS window_start, arg_max(value, (ts, event_id)) AS value, count(*) AS samples
+  SELECT run_id, rank, metric, time_bucket(INTERVAL 5 SECOND, ts) AS window_start, arg_max(value, (ts, event_id)) AS value, count(*) AS samples
   FROM gauge_samples GROUP BY ALL),
 ends AS (SELECT run_id, rank, max(window_start) AS last FROM w GROUP BY ALL),
-ticks AS (SELECT run_id, rank, metric, unnest(generate_series(first, last, INTERVAL 6 HOUR)) AS window_start
-  FROM (SELECT run_id, rank, metric, min(window_start) AS first FROM w GROUP BY ALL) JOIN ends USING (run_id, rank))
-SELECT run_id, rank, metric, window_start,
+ticks AS (SELECT run_id, rank, metric, unnest(generate_series(first, last, INTERVAL 5 SECOND)) AS window_start
+  FROM (SELECT run_id, rank, metric, min(window_start) AS first FROM w GROUP BY ALL) JOIN ends USING (run_id, rank)),
+read AS (SELECT run_id, rank, metric, window_start,
   last_value(value IGNORE NULLS) OVER (PARTITION BY run_id, rank, metric ORDER BY window_start) AS value, coalesce(samples, 0) AS samples
-FROM ticks LEFT JOIN w USING (run_id, rank, metric, window_start)"""
+FROM ticks LEFT JOIN w USING (run_id, rank, metric, window_start))
+SELECT run_id, rank, metric, date_trunc('hour', window_start)::TIMESTAMP AS hour, count(*) AS scrapes, sum(samples)::BIGINT AS samples,
+  min(value) AS least, max(value) AS most, arg_max(value, window_start) AS last FROM read GROUP BY ALL"""
+ORACLE["q_log_records"] = with_(STEP_LOG) + """ SELECT date_trunc('milliseconds', ts) AS ts,
+  CASE WHEN loss > 5 THEN 'WARNING' ELSE 'INFO' END AS level, rank, 3::INTEGER AS world_size, run_id AS process,
+  '[step ' || step || '] train_loss=' || printf('%.4f', loss)
+    || CASE WHEN grad_norm IS NOT NULL THEN ' grad_norm=' || printf('%.4f', grad_norm) ELSE '' END AS message,
+  CASE WHEN step % 5 = 0 THEN '  step: more' END AS body FROM step_log"""
+
+
+def _mixed(half: str, key: str, size: str) -> str:
+    y = f"(({half} % 2147483647 * 1103515245 + {key}) % 2147483647)"
+    return f"((({y} * {y} + {key}) % 2147483647) * 268435456 // 2147483647 % {size})"
+
+
+# The network step by step; a row that leaves its shard's places starts over from where it stands.
+EPOCH_PERMUTATION = f"""RECURSIVE n AS (SELECT count(*) AS total, ceil(count(*) / 4.0::DOUBLE)::BIGINT AS size FROM documents),
+counts AS (SELECT s AS shard_id, greatest(0, least(total, (s + 1) * size) - s * size) AS m FROM n, range(4) t(s)),
+roots AS (SELECT shard_id, m, floor(sqrt(m - 1))::BIGINT + 1 AS r FROM counts WHERE m > 0),
+grids AS (SELECT shard_id, m, arg_min(w, ((m + w - 1) // w * w - m, w)) AS width
+  FROM (SELECT shard_id, m, unnest(range(r, r + least(65536, r))) AS w FROM roots) GROUP BY ALL),
+sides AS (SELECT shard_id, m, width, (m + width - 1) // width AS height FROM grids),
+keys AS (SELECT epoch, turn, ('0x' || substr(md5('{SEED}|' || epoch || '|' || turn), 1, 7))::BIGINT AS key FROM range(3) e(epoch), range(6) t(turn)),
+walk AS (
+  SELECT epoch, (doc_id // size)::INTEGER AS shard_id, doc_id, 0::BIGINT AS turn,
+    (doc_id % size) // width AS a, (doc_id % size) % width AS b
+  FROM documents, n, range(3) e(epoch) JOIN sides ON sides.shard_id = doc_id // size
+  UNION ALL
+  SELECT w.epoch, w.shard_id, doc_id, w.turn % 6 + 1,
+    CASE WHEN w.turn % 2 = 0 THEN (a + {_mixed("b", "key", "height")}) % height ELSE a END,
+    CASE WHEN w.turn % 2 = 1 THEN (b + {_mixed("a", "key", "width")}) % width ELSE b END
+  FROM walk w JOIN sides USING (shard_id) JOIN keys k ON k.epoch = w.epoch AND k.turn = w.turn % 6
+  WHERE w.turn < 6 OR a * width + b >= m),
+placed AS (SELECT epoch::INTEGER AS epoch, shard_id, doc_id, a * width + b AS rn
+  FROM walk JOIN sides USING (shard_id) WHERE turn = 6 AND a * width + b < m)"""
+ORACLE["q_epoch_permutation"] = f"WITH {EPOCH_PERMUTATION} SELECT epoch, shard_id, doc_id, rn, rn // 12 AS batch_id FROM placed"
+ORACLE["q_epoch_batch"] = f"""WITH {EPOCH_PERMUTATION} SELECT epoch, (rn % 12)::INTEGER AS row_in_batch, doc_id FROM placed
+  WHERE shard_id = 1 AND rn // 12 = 2"""
 ORACLE["q_stream_scrape_triggers"] = f"SELECT *, 0::BIGINT AS lost FROM ({ORACLE['q_scrape_5s']})"
 ORACLE["q_gauge_ffill_sliced"] = ORACLE["q_gauge_ffill"]
 ORACLE["q_stream_scrape"] = ORACLE["q_scrape_5s"]

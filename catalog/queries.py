@@ -16,6 +16,7 @@ from quillshard.functions.formatting import InstructionFormatter, full_text, wit
 from quillshard.operators import batches as b
 from quillshard.operators import telemetry as tele
 from quillshard.operators.limits import first_rows
+from quillshard.operators.permutation import Permutation, permuted_epochs
 from quillshard.operators.positions import range_layout, shuffled_layout, with_position
 from quillshard.operators.shards import assign_shards, one_shard, shard_bounds, shard_size
 from quillshard.operators.splits import TRAIN, VALIDATION, ordered_split, ratio_split
@@ -160,6 +161,18 @@ def q_parse_logs(spark, sf):
     return runlogs.read_run_logs(spark, root, "*.txt").drop("file")
 
 
+def q_log_records(spark, sf):
+    """The step log as text files, a file for each run and rank, scanned back into whole records with their continuation lines."""
+    root = scratch_dir(spark, "records")
+    steps = t.step_log(spark, sf)
+    more = t.log_lines(steps).withColumns({"nth": F.when(F.col("value").startswith("  "), 1).otherwise(0)})
+    placed = more.join(steps.select("event_id", "rank", "step"), "event_id").repartition("run_id", "rank")
+    ordered = placed.sortWithinPartitions("run_id", "rank", "step", "nth")
+    ordered.select("value", "run_id", "rank").write.partitionBy("run_id", "rank").text(root)
+    folder = F.regexp_extract("_metadata.file_path", "run_id=(.*)/rank=([0-9]+)", 0)
+    return runlogs.read_log_records(spark, root, "*.txt", log=folder, turn=F.col("_metadata.file_name")).drop("log")
+
+
 def q_other_log_lines(spark, sf):
     """Continuation lines and malformed lines of the log, counted by their text; nothing is lost in silence."""
     steps = t.step_log(spark, sf)
@@ -383,6 +396,31 @@ def q_epoch_shuffle(spark, sf):
     return _order_epochs(spark, sf).select("epoch", "shard_id", "o_orderkey", "rn")
 
 
+def _document_shards(spark, sf, shards_wanted=4):
+    """Documents as stored shards: the id is the position. The counts are the manifest's."""
+    d = docs(spark, sf).select("doc_id")
+    total = d.count()
+    size = shard_size(total, shards_wanted)
+    rows = d.withColumns({"shard_id": F.floor(F.col("doc_id") / size).cast("int"), "row_in_shard": F.col("doc_id") % size})
+    return rows, [end - first for first, end in (shard_bounds(total, shards_wanted, s) for s in range(shards_wanted))]
+
+
+def q_epoch_permutation(spark, sf):
+    rows, counts = _document_shards(spark, sf)
+    placed = permuted_epochs(rows, counts, 3, SEED)
+    return b.with_batches(placed, 12).select("epoch", "shard_id", "doc_id", "rn", "batch_id")
+
+
+def q_epoch_batch(spark, sf):
+    """One batch of each epoch of a shard, read by its computed positions alone."""
+    rows, counts = _document_shards(spark, sf)
+    wanted = [(e, p) for e in range(3) for p in Permutation(counts[1], SEED, e).batch(2, 12)]
+    nth = F.array(*[F.struct(F.lit(e).alias("epoch"), F.lit(p).cast("bigint").alias("p"), F.lit(i % 12).alias("row_in_batch")) for i, (e, p) in enumerate(wanted)])
+    own = rows.where((F.col("shard_id") == 1) & F.col("row_in_shard").isin(sorted({p for _, p in wanted})))
+    hits = own.withColumn("hit", F.explode(F.filter(nth, lambda x: x["p"] == F.col("row_in_shard"))))
+    return hits.select("hit.epoch", "hit.row_in_batch", "doc_id")
+
+
 def q_batches(spark, sf):
     batches = b.assemble_batches(b.with_batches(_order_epochs(spark, sf), 12), ["o_orderkey"])
     return batches.select(
@@ -521,8 +559,11 @@ def q_scrape_5s(spark, sf):
 
 
 def q_scrape_standing(spark, sf):
-    """A row for every six-hourly scrape of every gauge, whether or not it was set since the scrape before."""
-    return tele.standing_gauges(t.gauge_samples(spark, sf), ["ts", "event_id"], 6 * 3600)
+    """Every five-second scrape of every gauge, whether or not it was set since the scrape before, told by the hour."""
+    ticks = tele.standing_gauges(t.gauge_samples(spark, sf), ["ts", "event_id"])
+    return ticks.groupBy("run_id", "rank", "metric", F.date_trunc("hour", "window_start").cast("timestamp_ntz").alias("hour")).agg(
+        F.count(F.lit(1)).alias("scrapes"), F.sum("samples").alias("samples"), F.min("value").alias("least"), F.max("value").alias("most"),
+        F.max_by("value", "window_start").alias("last"))
 
 
 def q_resource_ffill(spark, sf):

@@ -60,7 +60,8 @@ def main(argv: Sequence[str]) -> None:
         raise ValueError(f"unknown mode '{mode}'")
     encoder = build_encoder(spark, config["encoder"])
     manifest = preprocess(spark, PreprocessConfig.from_mapping(config), build(config["formatter"]), encoder)
-    manifest.orderBy("split", "shard_id").show(1000, truncate=False)
+    ordered = manifest.orderBy("split", "shard_id")
+    ordered.show(ordered.count(), truncate=False)
 
 
 if __name__ == "__main__":

@@ -76,14 +76,15 @@ def shuffled_layout(
 
 def with_position(df: DataFrame, layout: OrderLayout, into: str = "position") -> DataFrame:
     """Add the 0-based position. Each output task holds one contiguous run of positions."""
+    uncounted = F.raise_error(F.lit("a row's order key was not there when rows were counted"))
     if layout.total == 0:
-        return df.withColumn(into, F.lit(0).cast("bigint"))
+        return df.withColumn(into, uncounted.cast("bigint"))
     columns = ["__bucket", "__part", "__offset"]
     lookup = df.sparkSession.createDataFrame(layout.lookup[columns], "__bucket int, __part int, __offset bigint")
     # the lookup has one row per bucket, so its size is bounded by MAX_BUCKETS
     how = "inner" if layout.partial else "left"
     placed = df.withColumn("__bucket", layout.bucket).join(F.broadcast(lookup), "__bucket", how)
-    part = F.coalesce("__part", F.raise_error(F.lit("a row's order key was not there when rows were counted")))
+    part = F.coalesce("__part", uncounted)
     # each task receives exactly one part, so a row's place in its sorted task is its place in the part;
     # counting rows as they pass needs no buffer, which a window function over the part would
     routed = placed.withColumn("__part", part).repartitionById(layout.num_parts, F.col("__part"))

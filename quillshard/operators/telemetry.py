@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillshard.functions.metrics import per_second, perplexity, step_duration
-from quillshard.operators.groups import ROWS_PER_SLICE, fill_forward, join_on
+from quillshard.operators.groups import ROWS_PER_SLICE, fill_forward, join_on, next_row
 
 # Fixed value: seconds between two reads of the gauges.
 SCRAPE_SECONDS = 5
 RUN = ["run_id", "rank"]
+# An interval is cut into at most this many pieces at a time, and as many times as 170 years of scrapes take.
+_PIECE, _LEVELS = 1024, 3
 
 
 def step_metrics(steps: DataFrame) -> DataFrame:
@@ -139,18 +141,31 @@ def standing_gauges(
 ) -> DataFrame:
     """What every scrape of a run and rank reads, from a gauge's first sample on: a gauge keeps its value between sets.
 
-    ``samples`` is 0 in an interval without a new sample. The scrapes end with the last interval in which the run and rank
-    set any gauge.
+    A scraped value is an interval, up to the gauge's next one or through the last scrape in which the run and rank set any
+    gauge; ``samples`` is 0 at its ticks without a new sample. An interval is cut into up to
+    a thousand pieces, and these again, until the pieces are single ticks, so no array grows with time, and the pieces of a long one are dealt out to all tasks.
     """
     scraped = scraped_gauges(samples, order_by, seconds)
-    first = scraped.groupBy(*RUN, "metric").agg(F.min("window_start").alias("__first"))
-    last = scraped.groupBy(*RUN).agg(F.max("window_start").alias("__last"))
-    spans = join_on(first, last, RUN, bounded=False)
-    step = F.make_dt_interval(secs=F.lit(seconds))
-    ticks = spans.select(*RUN, "metric", F.explode(F.sequence("__first", "__last", step)).alias("window_start"))
-    read = join_on(ticks, scraped, [*RUN, "metric", "window_start"], bounded=False)
-    standing = fill_forward(read, [*RUN, "metric"], ["window_start"], {"value": "value"}, rows_per_slice=rows_per_slice)
-    return standing.withColumn("samples", F.coalesce("samples", F.lit(0).cast("bigint")))
+    ends = scraped.groupBy(*RUN).agg(F.max("window_start").alias("__end"))
+    followed = next_row(scraped, [*RUN, "metric"], ["window_start"], {"window_start": "__next"}, rows_per_slice)
+    spans = join_on(followed, ends, RUN, bounded=False)
+    until = F.coalesce(F.col("__next"), F.col("__end") + F.make_dt_interval(secs=F.lit(seconds)))
+    # a difference of wall-clock times, whatever the session's time zone
+    lasts = (until - F.col("window_start")).cast("interval second").cast("decimal(18,6)")
+    pieces = spans.withColumns({"__from": F.lit(0).cast("bigint"), "__ticks": (lasts / seconds).cast("bigint")}).drop("__next", "__end")
+    for level in range(_LEVELS - 1, -1, -1):
+        width = _PIECE**level
+        cut = F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("__ticks") - 1, F.lit(width).cast("bigint")))
+        cut = pieces.withColumn("__at", F.explode(cut))
+        left = F.least(F.lit(width).cast("bigint"), F.col("__ticks") - F.col("__at") * width)
+        pieces = cut.withColumns({"__from": F.col("__from") + F.col("__at") * width, "__ticks": left}).drop("__at")
+        if level == 1:
+            # an interval without end is pieces by now; even ones go to all tasks
+            pieces = pieces.hint("rebalance")
+    step = F.make_dt_interval(secs=F.col("__from") * seconds)
+    return pieces.select(
+        *RUN, "metric", (F.col("window_start") + step).alias("window_start"), "value",
+        F.when(F.col("__from") == 0, F.col("samples")).otherwise(F.lit(0).cast("bigint")).alias("samples"))
 
 
 def resource_history(
