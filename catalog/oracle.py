@@ -322,6 +322,17 @@ ORACLE = {
         for name in ("loss", "perplexity", "grad_norm", "step_duration", "steps_per_second", "tokens_per_second")
     ),
 }
+ORACLE["q_split_slices"] = """WITH d AS (SELECT doc_id, lang, md5(text) AS text_md5, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p,
+    count(*) OVER (PARTITION BY lang) AS n FROM documents),
+  k AS (SELECT *, CASE lang WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS part FROM d
+    WHERE (lang = 'fr' AND p < round_even(10 * n / 100.0::DOUBLE, 0)) OR (lang = 'de' AND p >= 5 AND p < 15) OR (lang = 'en' AND p >= n - 20))
+  SELECT row_number() OVER (ORDER BY part, p) - 1 AS position, lang, doc_id, text_md5 FROM k"""
+ORACLE["q_val_hook"] = with_(DOC_EXAMPLES, ratio_split("doc_id", "documents", 0.1, 3, 2)) + f""",
+  val_rows AS (SELECT shard_id, (position - shard_id * ceil(total / 2.0::DOUBLE)::BIGINT) // 16 AS batch, n, p
+    FROM padded JOIN sharded USING (doc_id), (SELECT count(*) AS total FROM sharded WHERE split = 'val') WHERE split = 'val'),
+  batches AS (SELECT shard_id, batch, sum(n)::DOUBLE AS tokens, sum({LENGTH} - p)::DOUBLE AS unmasked FROM val_rows GROUP BY ALL HAVING count(*) = 16),
+  means AS (SELECT shard_id, avg(tokens) AS tokens, avg(unmasked) AS unmasked, count(*) AS num_batches FROM batches GROUP BY ALL)
+  SELECT shard_id, 'tokens' AS metric, tokens AS mean, num_batches FROM means UNION ALL SELECT shard_id, 'unmasked', unmasked, num_batches FROM means"""
 ORACLE["q_scrape_standing"] = with_(GAUGE_SAMPLES) + """, w AS (
   SELECT run_id, rank, metric, time_bucket(INTERVAL 5 SECOND, ts) AS window_start, arg_max(value, (ts, event_id)) AS value, count(*) AS samples
   FROM gauge_samples GROUP BY ALL),

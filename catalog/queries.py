@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from dataclasses import replace
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +22,14 @@ from quillshard.operators.permutation import Permutation, permuted_epochs
 from quillshard.operators.positions import range_layout, shuffled_layout, with_position
 from quillshard.operators.shards import assign_shards, one_shard, shard_bounds, shard_size
 from quillshard.operators.splits import TRAIN, VALIDATION, ordered_split, ratio_split
+from quillshard.operators.validation import validate
 from quillshard.plans.config import PreprocessConfig
 from quillshard.plans.preprocess import place_rows, preprocess, read_rows, tokenized_examples
 from quillshard.plans.steps import step_plan
 from quillshard.session import scratch_dir
 from quillshard.sources import runlogs, shards
 from quillshard.sources.datasets import read_examples, spread_small_input
+from quillshard.sources.slices import read_slices
 from quillshard.streaming import examples as stream_examples
 from quillshard.streaming import metrics as stream_metrics
 
@@ -70,6 +74,12 @@ def q_read_examples(spark, sf):
     return rows.select("doc_id", "lang", F.md5("text").alias("text_md5"))
 
 
+def q_split_slices(spark, sf):
+    """Slices of three languages as one training set, in their order."""
+    rows = read_slices(spark, f"{sf}/documents.parquet", "fr[:10%]+de[5:15]+en[-20:]", ["doc_id"], split_column="lang")
+    return rows.select("position", "lang", "doc_id", F.md5("text").alias("text_md5"))
+
+
 def q_limit_first_n(spark, sf):
     return first_rows(docs(spark, sf), 150, ["doc_id"]).select("doc_id", F.md5("text").alias("text_md5"))
 
@@ -524,6 +534,24 @@ def q_val_mean(spark, sf):
     return means.select("run_id", "step", "metric", F.round("mean", 6).alias("mean"), "num_batches")
 
 
+def token_counts(batch: pa.Table, batch_id: int) -> dict[str, float]:
+    """A validation step: real tokens and unmasked labels of a whole batch; a partial one reports nothing."""
+    if batch.num_rows < 16:
+        return {}
+    labels = pc.list_flatten(batch["labels"])
+    return {"tokens": pc.sum(pc.list_flatten(batch["attention_mask"])).as_py(), "unmasked": pc.sum(pc.not_equal(labels, -100)).as_py()}
+
+
+def q_val_hook(spark, sf):
+    """A validation step over the batches of stored validation shards."""
+    root = scratch_dir(spark, "shards")
+    cfg = doc_config(sf, output_dir=root, num_train_shards=3, num_val_shards=2, val_split_ratio=0.1, keep_position=True)
+    total = sum(r["num_rows"] for r in preprocess(spark, cfg, DOC_FORMAT, ByteEncoder()).where(F.col("split") == VALIDATION).collect())
+    rows = shards.read_all_shards(spark, root, keep_position=True).where(F.col("split") == VALIDATION)
+    batches = b.with_batches(b.stored_order(rows, F.col("shard_id") * shard_size(total, 2)), 16)
+    return validate(batches.drop("split", "epoch", "rn", "position"), token_counts, ["shard_id"])
+
+
 def q_cross_rank(spark, sf):
     c = tele.across_ranks(t.step_log(spark, sf))
     return c.select(

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import cache
 from math import isqrt
 
 import numpy as np
@@ -26,13 +27,14 @@ PRIME = 2**31 - 1
 MULTIPLIER = 1_103_515_245
 # How many widths are tried for a grid with few places beyond n; a table of n rows needs at most isqrt(n) of them.
 _TRIED = 1 << 16
-LARGEST = 1 << 60
+LARGEST = 1 << 48
 
 
 def round_key(seed: int, epoch: int, turn: int) -> int:
     return int(hashlib.md5(f"{seed}|{epoch}|{turn}".encode()).hexdigest()[:7], 16)
 
 
+@cache
 def grid(n: int) -> tuple[int, int]:
     """``(height, width)`` of a grid of at least ``n`` places, near a square, with as few beyond ``n`` as a short search finds."""
     root = isqrt(max(n - 1, 0)) + 1
@@ -76,25 +78,24 @@ class Permutation:
                 a = (a + sign * _mixed(b, key, height)) % height
         return a * width + b
 
-    def _walked(self, back: bool) -> list[int]:
+    def _walk(self, x: int, back: bool) -> int:
+        x = self._step(x, back)
+        while x >= self.n:
+            x = self._step(x, back)
+        return x
+
+    def walked(self, back: bool) -> list[int]:
         """For each place beyond ``n``, where a walk through it comes back."""
         height, width = grid(self.n)
-        out = []
-        for x in range(self.n, height * width):
-            while x >= self.n:
-                x = self._step(x, back)
-            out.append(x)
-        return out
+        return [self._walk(x, back) for x in range(self.n, height * width)]
 
     def place(self, position: int) -> int:
         """Where a position stands in the epoch."""
-        x = self._step(position)
-        return x if x < self.n else self._walked(False)[x - self.n]
+        return self._walk(position, False)
 
     def position(self, place: int) -> int:
         """Which position stands there."""
-        x = self._step(place, True)
-        return x if x < self.n else self._walked(True)[x - self.n]
+        return self._walk(place, True)
 
     def batch(self, batch_id: int, batch_size: int) -> list[int]:
         """The positions of one batch, in order; the last one may be partial."""
@@ -107,7 +108,7 @@ def _row(p: Permutation, back: bool) -> Column:
     longs = lambda values: F.array(*[F.lit(v).cast("bigint") for v in values]).cast("array<bigint>")
     return F.struct(
         F.lit(p.epoch).alias("epoch"), F.lit(p.n).cast("bigint").alias("n"), F.lit(height).cast("bigint").alias("height"),
-        F.lit(width).cast("bigint").alias("width"), longs(p.keys).alias("keys"), longs(p._walked(back) if p.n else []).alias("walked"))
+        F.lit(width).cast("bigint").alias("width"), longs(p.keys).alias("keys"), longs(p.walked(back) if p.n else []).alias("walked"))
 
 
 def _int_div(a: Column, b: Column) -> Column:

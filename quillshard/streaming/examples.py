@@ -19,18 +19,25 @@ def hashed_shard(seed: int, num_shards: int, *keys: Column) -> Column:
 
 
 def example_stream(
-    raw: DataFrame, keys: list[str], formatter: Formatter, encoder: Encoder, max_length: int, num_shards: int, seed: int = 42
+    raw: DataFrame, keys: list[str], formatter: Formatter, encoder: Encoder, max_length: int, num_shards: int, seed: int = 42,
+    files_per_shard: int = 4,
 ) -> DataFrame:
-    """Formatted, encoded, padded and labelled rows of a stream; no state is kept."""
+    """Formatted, encoded, padded and labelled rows of a stream; no state is kept.
+
+    Rows of a shard meet in ``files_per_shard`` tasks of each micro-batch, dealt by a hash of the key, so a shard is a few files
+    of each batch and not one for every task. What is shuffled are the encoded payloads; padding comes after.
+    """
     encoded = encode_rows(raw, formatter, encoder, max_length)
-    placed = encoded.withColumn("shard_id", hashed_shard(seed, num_shards, *[F.col(k) for k in keys]))
-    return to_examples(placed, encoder, max_length, (*keys, "shard_id"))
+    key = [F.col(k) for k in keys]
+    placed = encoded.withColumns({
+        "shard_id": hashed_shard(seed, num_shards, *key), "__file": F.pmod(F.xxhash64(*key), F.lit(files_per_shard)).cast("int")})
+    dealt = placed.repartition(num_shards * files_per_shard, "shard_id", "__file").drop("__file")
+    return to_examples(dealt, encoder, max_length, (*keys, "shard_id"))
 
 
 def append_examples(examples: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    # each micro-batch gathers a shard's rows first: one file per shard and batch instead of one per task and shard
     writer = (
-        examples.repartition("shard_id").writeStream.outputMode("append")
+        examples.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
         .partitionBy("shard_id")
         .format("parquet")

@@ -65,14 +65,11 @@ def publish_stream(
 
 
 def publish_each(steps: DataFrame, callback: Callable[[dict[str, float], int], None]) -> None:
-    """Call ``callback(payload, step)`` once per published step, on the executors.
-
-    Within a run and rank calls follow the step order inside each partition.
-    """
+    """Call ``callback(payload, step)`` once per published step, on the executors, in step order for each run and rank."""
     payloads = published(step_metrics(steps)).select(*RUN, "step", metric_payload().alias("payload"))
 
     def call(rows) -> None:
         for row in rows:
             callback(row["payload"], row["step"])
 
-    payloads.sortWithinPartitions(*RUN, "step").foreachPartition(call)
+    payloads.repartition(*RUN).sortWithinPartitions(*RUN, "step").foreachPartition(call)

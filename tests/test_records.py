@@ -1,0 +1,117 @@
+"""Whole log records, standing gauges, split expressions and the validation step."""
+
+import datetime as dt
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillshard.operators import positions
+from quillshard.operators import telemetry as tele
+from quillshard.operators.validation import batch_metrics, validate
+from quillshard.sources import runlogs
+from quillshard.sources.slices import SplitSlice, read_slices, split_slices
+
+
+def head(i, rank=0):
+    return f"2024-05-01 10:{i // 60 % 60:02d}:{i % 60:02d}.000 | INFO     | rank  {rank}/3  | train | message {i}"
+
+
+def write_logs(folder):
+    """A log in three files whose traceback goes on after each rotation, one that starts with loose lines, one without records."""
+    os.makedirs(f"{folder}/logs")
+    want, lines = [], []
+    for i in range(300):
+        body = [f"  Traceback {i}.{j} | with | pipes" for j in range((i * 7) % 11)]
+        if i % 50 == 0:
+            body += [f"  {'x' * 40} {j}" for j in range(60)]
+        want.append(("train_rank_0", f"message {i}", "\n".join(body) or None))
+        lines += [head(i), *body]
+    cuts = [0, len(lines) // 3, 2 * len(lines) // 3, len(lines)]
+    for name, a, b in zip(("train_rank_0.2024-05-01_10-00.log", "train_rank_0.2024-05-01_11-00.log", "train_rank_0.log"), cuts, cuts[1:]):
+        with open(f"{folder}/logs/{name}", "w") as f:
+            f.write("\n".join(lines[a:b]) + "\n")
+    with open(f"{folder}/logs/eval_rank_1.log", "w") as f:
+        f.write("loose\n\n" + head(1, 1) + "\n")
+    with open(f"{folder}/logs/eval_rank_2.log", "w") as f:
+        f.write("only\nthese\n")
+    want += [("eval_rank_1", None, "loose\n"), ("eval_rank_1", "message 1", None), ("eval_rank_2", None, "only\nthese")]
+    return sorted(want, key=str)
+
+
+@pytest.mark.parametrize("split", ["1k", "128m"])
+def test_records_are_whole_over_splits_and_rotation(spark, folder, split):
+    want = write_logs(folder)
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for k, v in zip(keys, (split, "0")):
+            spark.conf.set(k, v)
+        got = runlogs.read_log_records(spark, folder)
+        rows = got.select("log", "message", "body").collect()
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+    assert sorted((tuple(r) for r in rows), key=str) == want
+    assert got.columns == ["log", "body", "ts", "level", "rank", "world_size", "process", "message"]
+
+
+SAMPLES = "run_id string, rank int, metric string, ts timestamp_ntz, event_id bigint, value double"
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_two_samples_a_year_apart_are_read_every_five_seconds(spark, zone):
+    start = dt.datetime(2024, 1, 1)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([("r", 0, "loss", start, 0, 1.0), ("r", 0, "loss", start + dt.timedelta(days=365, seconds=3), 1, 2.0),
+                                    ("r", 0, "rate", start + dt.timedelta(days=365), 2, 9.0)], SAMPLES)
+        ticks = tele.standing_gauges(df, ["ts", "event_id"])
+        got = {tuple(r) for r in ticks.groupBy("metric", "value").agg(
+            F.count(F.lit(1)), F.sum("samples"), F.countDistinct("window_start"), F.min("window_start"), F.max("window_start")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    n, end = 365 * 24 * 720, start + dt.timedelta(days=365)
+    assert got == {("loss", 1.0, n, 1, n, start, end - dt.timedelta(seconds=5)), ("loss", 2.0, 1, 1, 1, end, end), ("rate", 9.0, 1, 1, 1, end, end)}
+
+
+def test_split_expressions():
+    assert split_slices("train[:10%] + val[50:150]+ test") == [SplitSlice("train", None, "10%"), SplitSlice("val", "50", "150"), SplitSlice("test")]
+    assert [SplitSlice("a", f, e).rows(25) for f, e in ((None, None), ("5", "-5"), ("10%", "90%"), ("-10%", None), ("20", "3"))] == [
+        (0, 25), (5, 20), (2, 22), (22, 25), (20, 20)]
+    for bad in ("", "a[", "a[1]", "a[1:2", "a+", "a[x:]"):
+        with pytest.raises(ValueError):
+            split_slices(bad)
+    for f, e in (("30", None), (None, "26"), ("-26", None), ("101%", None)):
+        with pytest.raises(ValueError):
+            SplitSlice("a", f, e).rows(25)
+
+
+def test_slices_are_read_in_order(spark, folder):
+    rows = [(i, "a" if i % 3 else "b") for i in range(60)]
+    spark.createDataFrame(rows, "k int, split string").repartition(4).write.parquet(f"{folder}/d")
+    got = read_slices(spark, f"{folder}/d", "b[-3:]+a[10%:12]+b[:2]+a[5:5]", ["k"], rows_per_part=4).orderBy("position").collect()
+    a, b = ([k for k, s in rows if s == name] for name in "ab")
+    want = b[-3:] + a[4:12] + b[:2]
+    assert [(r["position"], r["k"]) for r in got] == list(enumerate(want))
+
+
+def test_a_validation_step_runs_once_for_each_batch(spark):
+    rows = spark.range(25).selectExpr("id DIV 10 AS batch_id", "CAST(9 - id % 10 AS INT) AS row_in_batch", "CAST(id AS DOUBLE) AS loss", "'r' AS run")
+
+    def step(batch, index):
+        losses = batch["loss"].to_pylist()
+        assert losses == sorted(losses, reverse=True) and batch.column_names == ["loss"]
+        return {"loss": sum(losses) / len(losses), "last": losses[-1]} if index < 2 else None
+
+    each = {r["batch_id"]: r["metrics"] for r in batch_metrics(rows, step, ["run"]).collect()}
+    assert each == {0: {"loss": 4.5, "last": 0.0}, 1: {"loss": 14.5, "last": 10.0}, 2: {}}
+    assert {(r["metric"], r["mean"], r["num_batches"]) for r in validate(rows, step, ["run"]).collect()} == {("loss", 9.5, 2), ("last", 5.0, 2)}
+
+
+def test_a_row_that_no_layout_counted_is_an_error(spark):
+    layout = positions.range_layout(spark.range(0), ["id"])
+    assert positions.with_position(spark.range(0), layout).count() == 0
+    with pytest.raises(Exception, match="was not there"):
+        positions.with_position(spark.range(3), layout).collect()
