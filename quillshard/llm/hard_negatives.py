@@ -17,8 +17,8 @@ half and 95 hundredths of its score. Questions are broadcast ``ASK_BYTES`` at a
 as it takes. A label that a third of all rows hold is many blocks; a block is bounded in bytes.
 
 Rows with a null id, label or vector, an empty vector, or a null or non-finite component take no part; so do
-components that are beyond a double once scaled. Scores are exact at any size and ranked so; one beyond a long is *shown*
-as the nearest long. Scores are taken between vectors of one dimension. An anchor is never its own positive or negative, nor
+components that are beyond a double once scaled. Scores are exact up to 2**125, where they end, and ranked so; one beyond a
+long is *shown* as the nearest long. Scores are taken between vectors of one dimension. An anchor is never its own positive or negative, nor
 is a row that shares its id; anchors that are equal in all columns are asked once, repeated candidates count as often as
 they occur. Ties go to the smaller id. Further columns are not read; an empty table gives an empty result.
 """
@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillshard.llm.common import staged, table, text_batches
+from quillshard.llm.vectors import MOST as LARGEST
+from quillshard.llm.vectors import SCALE, SPLIT, cells, exact_scores, parts, shown, usable
 from quillshard.session import scratch_dir
 
-SCALE = 256
 ANCHOR_EVERY = 50
 POSITIVES, NEGATIVES = 5, 3
 # Share of a positive's score, in hundredths, that a negative must have at least and at most.
@@ -43,25 +44,10 @@ LEAST, MOST = 50, 95
 CURVE_BITS, SPREAD = 3, 2.0
 BLOCK_BYTES = 128 << 10
 ASK_BYTES = 4 << 20
-LONG = (1 << 63) - 1
 BLOCK = ("block bigint, dimension int, label bigint, n int, low array<double>, high array<double>, "
          "ids array<bigint>, cells array<double>")
 READ = "ask bigint, block bigint, upper double, lower double, sure int"
 FOUND = "ask bigint, vec_id bigint, high bigint, low bigint"
-# Scores of any size travel as two longs: the part from this bit on and the rest.
-SPLIT = 62
-
-
-def cells(vector: Column) -> Column:
-    """Components as whole numbers; doubles hold every scaled and floored component exactly."""
-    scaled = F.transform(vector, lambda x: x.cast("double") * SCALE)
-    # beyond a long a double is whole already, and Spark's floor would not fit
-    return F.transform(scaled, lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x))
-
-
-def usable(vector: Column) -> Column:
-    finite = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double") * SCALE) < float("inf")) & ~F.isnan(x.cast("double")))
-    return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(finite, F.lit(False))
 
 
 def hilbert_keys(grid: np.ndarray, bits: int) -> list[bytes]:
@@ -171,7 +157,9 @@ def bounds(questions: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np
         upper, lower = plus @ high.T + minus @ low.T, plus @ low.T + minus @ high.T
         slack = 1e-12 * (np.abs(questions) @ np.maximum(np.abs(low), np.abs(high)).T)
         upper, lower = upper + slack, lower - slack
-    return np.where(np.isnan(upper), np.inf, upper), np.where(np.isnan(lower), -np.inf, lower)
+    upper, lower = np.where(np.isnan(upper), np.inf, upper), np.where(np.isnan(lower), -np.inf, lower)
+    # scores end there, so bounds beyond it tell no rows apart
+    return np.clip(upper, -float(LARGEST), float(LARGEST)), np.clip(lower, -float(LARGEST), float(LARGEST))
 
 
 def _guaranteed(lower: np.ndarray, rows: np.ndarray, need: int) -> float:
@@ -213,18 +201,6 @@ def _planner(asked, need: int, same: bool):
     return plan
 
 
-def exact_scores(questions: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Inner products, questions by rows: longs where every partial sum fits a double, else Python integers."""
-    if not len(questions) or not len(rows):
-        return np.empty((len(questions), len(rows)), np.int64)
-    with np.errstate(over="ignore"):
-        largest = float((np.abs(questions).max(axis=0) * np.abs(rows).max(axis=0)).sum())
-    if largest < 2.0**52:
-        return (questions @ rows.T).astype(np.int64)
-    whole = [np.array([[int(x) for x in row] for row in m.tolist()], object) for m in (questions, rows)]
-    return whole[0] @ whole[1].T
-
-
 def _opener(asked, k: int):
     """Scores chosen blocks exactly; a question takes at most ``k`` rows from a block."""
 
@@ -249,7 +225,7 @@ def _opener(asked, k: int):
                             # ties of the k-th score come along, so that the smaller ids win
                             at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k]]
                         best = sorted((-int(s), int(i)) for s, i in zip(score[at].tolist(), ids[at].tolist(), strict=True))[:k]
-                        found += [(int(asks[q]), i, -s >> SPLIT, -s & ((1 << SPLIT) - 1)) for s, i in best]
+                        found += [(int(asks[q]), i, *parts(-s)) for s, i in best]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["ask", "vec_id", "high", "low"])
                 found = []
@@ -301,11 +277,6 @@ def answers(blocks: DataFrame, questions: DataFrame, same: bool, k: int, ask_byt
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def shown(high: Column, low: Column) -> Column:
-    """The score, or the long that is nearest to it."""
-    return F.when(high > 1, F.lit(LONG)).when(high < -2, F.lit(-LONG - 1)).otherwise(F.shiftleft(high, SPLIT).bitwiseOR(low))
-
-
 def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = POSITIVES, negatives: int = NEGATIVES, ask_bytes: int = ASK_BYTES) -> DataFrame:
     """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score`` for rows ``vec_id, label, vector``."""
     blocks = write_blocks(vectors)

@@ -6,8 +6,7 @@ each filter keeps its largest response in the chunk (max-pooling). The mean and
 over the document go through one logistic unit to the probability of label 1.
 
 Training is on the driver, over a sample bounded by ``TRAIN_DOCS`` labelled documents (chosen by a hash of the
-id) of which at most ``TRAIN_CHUNKS`` chunks, spread evenly over the document, are fetched; labels of held-out
-documents are never read. Scoring is one scan of whole texts without a shuffle; the model is a few kilobytes.
+id), each with its whole text; labels of held-out documents are never read. Scoring is one scan of whole texts without a shuffle; the model is a few kilobytes.
 
 Null and empty texts are one chunk of padding and get the score of that. Rows without an id are scored and not held
 out. A document that is labelled twice counts once with its larger label; labels other than 0 and 1 are not used. With no
@@ -30,7 +29,7 @@ CHUNK, CHUNK_STEP = 512, 448
 WIDTH, STEP = 16, 8
 EMBED, FILTERS = 8, 64
 PAD = 256
-TRAIN_DOCS, TRAIN_CHUNKS = 12_000, 8
+TRAIN_DOCS = 12_000
 EPOCHS, BATCH_DOCS, RATE = 5, 32, 4e-3
 DECAY = 0.02
 # A small sample is gone over more often, until this many batches have been seen.
@@ -38,7 +37,8 @@ LEAST_STEPS = 1000
 FOLDS = 5
 THRESHOLD = 0.3
 SEED = 11
-AT_ONCE = 1024
+# Chunks that are worked on at a time, forwards and backwards.
+AT_ONCE, BACK_AT_ONCE = 1024, 256
 
 
 @dataclass
@@ -67,18 +67,26 @@ class Network:
         best = np.take_along_axis(r, at[:, None, :], axis=1)[:, 0] + self.bias
         return np.maximum(best, 0), at
 
-    def combine(self, pooled: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Logits of documents whose chunks begin at ``starts``."""
-        counts = np.diff(np.append(starts, len(pooled)))[:, None]
-        mean = np.add.reduceat(pooled, starts, axis=0) / counts
-        return np.concatenate([mean, np.maximum.reduceat(pooled, starts, axis=0)], axis=1) @ self.head + self.offset
+    def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any number of chunks, some at a time."""
+        found = [self.responses(chunks[at : at + AT_ONCE]) for at in range(0, len(chunks), AT_ONCE)]
+        return np.concatenate([r for r, _ in found]), np.concatenate([at for _, at in found])
 
+    def logits(self, mean: np.ndarray, top: np.ndarray) -> np.ndarray:
+        """Logits of documents from the mean and the largest of their chunks' responses."""
+        return np.concatenate([mean, top], axis=1) @ self.head + self.offset
 
-def chunks_of(text: bytes) -> np.ndarray:
-    """All chunks of a text; the last one is padded, an empty text is one chunk of padding."""
-    n = max(1, -(-max(0, len(text) - CHUNK) // CHUNK_STEP) + 1)
+
+def n_chunks(text: bytes) -> int:
+    return max(1, -(-max(0, len(text) - CHUNK) // CHUNK_STEP) + 1)
+
+
+def chunks_of(text: bytes, first: int = 0, most: int | None = None) -> np.ndarray:
+    """The chunks of a text, or some of them; the last one is padded, an empty text is one chunk of padding."""
+    n = min(n_chunks(text) - first, n_chunks(text) if most is None else most)
     padded = np.full((n - 1) * CHUNK_STEP + CHUNK, PAD, np.int16)
-    padded[: len(text)] = np.frombuffer(text, np.uint8)
+    own = text[first * CHUNK_STEP : first * CHUNK_STEP + len(padded)]
+    padded[: len(own)] = np.frombuffer(own, np.uint8)
     return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::CHUNK_STEP]
 
 
@@ -87,28 +95,37 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def score_texts(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Probabilities; long texts pass through in blocks of chunks, so memory does not grow with a text's length."""
-    pooled, starts, n, held, waiting = [], [], 0, [], 0
-    for text in texts:
-        starts.append(n)
-        cut = chunks_of(text)
-        n += len(cut)
-        for at in range(0, len(cut), AT_ONCE):
-            held.append(cut[at : at + AT_ONCE])
+    """Probabilities. Chunks are cut and reduced to a sum and a maximum for each document some at a time, so beside the texts memory does not grow with their length."""
+    if not texts:
+        return np.empty(0)
+    sums, tops = np.zeros((len(texts), FILTERS)), np.zeros((len(texts), FILTERS), np.float32)
+    held, owners, waiting = [], [], 0
+
+    def reduce() -> None:
+        pooled, _ = net.responses(np.concatenate(held))
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(np.repeat(*np.array(owners).T)) != 0)))
+        own = np.repeat(*np.array(owners).T)[starts]
+        sums[own] += np.add.reduceat(pooled, starts, axis=0)
+        # responses are not below zero
+        tops[own] = np.maximum(tops[own], np.maximum.reduceat(pooled, starts, axis=0))
+
+    for row, text in enumerate(texts):
+        for first in range(0, n_chunks(text), AT_ONCE):
+            held.append(chunks_of(text, first, AT_ONCE))
+            owners.append((row, len(held[-1])))
             waiting += len(held[-1])
             if waiting >= AT_ONCE:
-                pooled.append(net.responses(np.concatenate(held))[0])
-                held, waiting = [], 0
+                reduce()
+                held, owners, waiting = [], [], 0
     if held:
-        pooled.append(net.responses(np.concatenate(held))[0])
-    if not texts:
-        return np.empty(0)
-    return sigmoid(net.combine(np.concatenate(pooled), np.array(starts)).astype(np.float64))
+        reduce()
+    counts = np.array([n_chunks(t) for t in texts])[:, None]
+    return sigmoid(net.logits((sums / counts).astype(np.float32), tops).astype(np.float64))
 
 
 def gradients(net: Network, chunks: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean cross-entropy of a batch and its gradients; through the pools only the largest responses count."""
-    pooled, at = net.responses(chunks)
+    pooled, at = net.pooled(chunks)
     counts = np.diff(np.append(starts, len(chunks)))
     owner = np.repeat(np.arange(len(starts)), counts)
     mean = np.add.reduceat(pooled, starts, axis=0) / counts[:, None]
@@ -122,13 +139,15 @@ def gradients(net: Network, chunks: np.ndarray, starts: np.ndarray, labels: np.n
     ties = np.maximum(np.add.reduceat(is_top, starts, axis=0, dtype=np.float32), 1)
     d_pool = (d_mean / counts[:, None])[owner] + is_top * (d_top / ties)[owner]
     d_pool = (d_pool * (pooled > 0)).astype(np.float32)
-    bytes_at = np.take_along_axis(
-        chunks[:, None, :], (at * STEP)[:, :, None] + np.arange(WIDTH), axis=2)
-    windows = net.embed[bytes_at].reshape(len(chunks), FILTERS, WIDTH * EMBED)
-    d_filters = np.einsum("nf,nfw->wf", d_pool, windows, optimize=True)
-    d_windows = (d_pool[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
-    flat = bytes_at.ravel()
-    d_embed = np.stack([np.bincount(flat, d_windows[:, e], PAD + 1) for e in range(EMBED)], axis=1).astype(np.float32)
+    d_filters, d_embed = np.zeros(net.filters.shape), np.zeros((PAD + 1, EMBED))
+    for some in (slice(start, start + BACK_AT_ONCE) for start in range(0, len(chunks), BACK_AT_ONCE)):
+        bytes_at = np.take_along_axis(chunks[some, None, :], (at[some] * STEP)[:, :, None] + np.arange(WIDTH), axis=2)
+        windows = net.embed[bytes_at].reshape(len(bytes_at), FILTERS, WIDTH * EMBED)
+        d_filters += np.einsum("nf,nfw->wf", d_pool[some], windows, optimize=True)
+        d_windows = (d_pool[some][:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
+        flat = bytes_at.ravel()
+        d_embed += np.stack([np.bincount(flat, d_windows[:, e], PAD + 1) for e in range(EMBED)], axis=1)
+    d_filters, d_embed = d_filters.astype(np.float32), d_embed.astype(np.float32)
     d_embed[PAD] = 0
     return loss, {
         "embed": d_embed, "filters": d_filters, "bias": d_pool.sum(axis=0),
@@ -136,8 +155,8 @@ def gradients(net: Network, chunks: np.ndarray, starts: np.ndarray, labels: np.n
     }
 
 
-def train(documents: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Adam over batches of documents, each given as its chunks."""
+def train(documents: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
+    """Adam over batches of documents, each cut into all its chunks."""
     net, rng = Network.fresh(seed), np.random.default_rng(seed)
     epochs = max(epochs, -(-LEAST_STEPS // -(-len(documents) // BATCH_DOCS)))
     names = ("embed", "filters", "bias", "head", "offset")
@@ -146,7 +165,7 @@ def train(documents: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS,
     for _ in range(epochs):
         order = rng.permutation(len(documents))
         for at in range(0, len(order), BATCH_DOCS):
-            batch = [documents[i] for i in order[at : at + BATCH_DOCS]]
+            batch = [chunks_of(documents[i]) for i in order[at : at + BATCH_DOCS]]
             starts = np.cumsum([0] + [len(d) for d in batch[:-1]])
             _, d = gradients(net, np.concatenate(batch), starts, labels[order[at : at + BATCH_DOCS]])
             steps += 1
@@ -166,35 +185,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def _sample_batches(batches):
-    """At most ``TRAIN_CHUNKS`` chunks of each document, evenly spread from its first to its last."""
-    for batch in batches:
-        out = []
-        for text in batch.column("raw").to_pylist():
-            cut = chunks_of(text or b"")
-            if len(cut) > TRAIN_CHUNKS:
-                cut = cut[np.linspace(0, len(cut) - 1, TRAIN_CHUNKS).astype(int)]
-            out.append(cut.astype(np.int16).tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("tie"), batch.column("label"), pa.array(out, pa.binary())],
-            names=["doc_id", "tie", "label", "chunks"])
-
-
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_DOCS) -> Network | float:
     """A network from at most ``most`` labelled documents outside the held-out fold, or a constant."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(
         F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(most)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("binary").alias("raw"))
-    text_batches(docs.sparkSession)
-    sample = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(_sample_batches, "doc_id bigint, tie bigint, label int, chunks binary")
+    sample = rows.join(F.broadcast(chosen), "doc_id")
     # one text per id, so that repeated ids cannot outgrow the bound
-    found = sample.groupBy("doc_id").agg(F.min(F.struct("tie", "label", "chunks")).alias("s")).select("doc_id", "s.label", "s.chunks").collect()
+    found = sample.groupBy("doc_id").agg(F.min(F.struct("tie", "label", "raw")).alias("s")).select("doc_id", "s.label", "s.raw").collect()
     found.sort(key=lambda r: r["doc_id"])
     y = np.array([r["label"] for r in found], np.float32)
     if len(set(y.tolist())) < 2:
         return float((y.sum() + 1) / (len(y) + 2))
-    return train([np.frombuffer(r["chunks"], np.int16).reshape(-1, CHUNK) for r in found], y)
+    return train([bytes(r["raw"] or b"") for r in found], y)
 
 
 def _scorer(model: Network | float):

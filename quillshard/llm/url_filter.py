@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from quillshard.llm.common import sized, staged, table
 
-MAX_WORD = 20
+# Words up to this length meet the runs by equality; longer ones by their first letters, this many, and are then compared.
+SHORT_WORD = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,18 +73,27 @@ def word_counts(html: DataFrame) -> DataFrame:
     """``word, n`` over the text between the tags of all pages."""
     visible = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " "))
     words = html.select(F.explode(F.regexp_extract_all(visible, F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    return words.where(F.length("word") <= MAX_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def split_name(name: str, known: dict[tuple[int, int], int], total: int) -> list[str]:
-    """The likeliest split; ``known`` has the counts of words by (start, end), ties go to the longer last word."""
+    """The likeliest split; ``known`` has the counts of words by (start, end), ties go to the longer last word.
+
+    What an unknown word costs is linear in its length, so of all unknown words that end somewhere the best one begins at the same
+    place as the best one that ends a letter earlier, or at that letter: one candidate for each end, whatever the length.
+    """
+    ends: dict[int, list[tuple[int, int]]] = {}
+    for (start, end), n in known.items():
+        ends.setdefault(end, []).append((start, n))
     best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
+    unseen, letter = math.log(10.0 / max(total, 1)), math.log(10.0)
+    opening = 0
     for end in range(1, len(name) + 1):
-        for start in range(max(0, end - MAX_WORD), end):
-            n = known.get((start, end), 0)
-            p = math.log(n / total) if n else math.log(10.0 / max(total, 1)) - (end - start) * math.log(10.0)
-            if best[start] + p > best[end]:
-                best[end], back[end] = best[start] + p, start
+        if best[end - 1] + (end - 1) * letter > best[opening] + opening * letter:
+            opening = end - 1
+        found = [(best[opening] + (unseen - (end - opening) * letter), opening)]
+        found += [(best[start] + math.log(n / total), start) for start, n in ends.get(end, [])]
+        best[end], back[end] = max(found, key=lambda x: (x[0], -x[1]))
     words, end = [], len(name)
     while end:
         words.append(name[back[end] : end])
@@ -109,9 +119,14 @@ def segment(names: DataFrame, counts: DataFrame) -> DataFrame:
     total = counts.agg(F.sum("n")).first()[0] or 0
     starts = names.withColumn("start", F.explode(F.sequence(F.lit(0), F.length("name") - 1)))
     pieces = starts.select("name", "start", F.explode(F.sequence(
-        F.lit(1), F.least(F.lit(MAX_WORD), F.length("name") - F.col("start")))).alias("size"))
+        F.lit(1), F.least(F.lit(SHORT_WORD), F.length("name") - F.col("start")))).alias("size"))
     pieces = pieces.select("name", "start", F.col("name").substr(F.col("start") + 1, F.col("size")).alias("word"))
-    known = pieces.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("start", "word", "n")).alias("pieces"))
+    short = pieces.join(counts, "word").select("name", "start", "word", "n")
+    # every longer word, however long, begins with a piece of the longest size
+    long_words = counts.where(F.length("word") > SHORT_WORD).withColumn("opening", F.substring("word", 1, SHORT_WORD))
+    opened = pieces.where(F.length("word") == SHORT_WORD).withColumnRenamed("word", "opening").join(long_words, "opening")
+    here = F.col("name").substr(F.col("start") + 1, F.length("word")) == F.col("word")
+    known = short.unionByName(opened.where(here).select("name", "start", "word", "n")).groupBy("name").agg(F.collect_list(F.struct("start", "word", "n")).alias("pieces"))
     empty = F.array().cast("array<struct<start:int,word:string,n:bigint>>")
     full = names.join(known, "name", "left").select("name", F.coalesce("pieces", empty).alias("pieces"))
     return full.mapInArrow(_splitter(total), "name string, words array<string>")
@@ -188,21 +203,21 @@ ruled AS (
 words AS (
   SELECT word, count(*) AS n FROM (
     SELECT unnest(regexp_extract_all(lower(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g')), '[a-z]+')) AS word FROM pages)
-  WHERE length(word) <= {MAX_WORD} GROUP BY word),
+  GROUP BY word),
 total AS (SELECT greatest(coalesce(sum(n), 0), 1)::DOUBLE AS t FROM words),
 runs AS (
   SELECT host, unnest(range(1, len(list) + 1)) AS at, unnest(list) AS name
   FROM (SELECT host, regexp_extract_all(host, '[a-z]+|[0-9]+') AS list FROM (SELECT DISTINCT host FROM parts))),
 names AS (SELECT DISTINCT name FROM runs WHERE name >= 'a'),
 starts AS (SELECT name, unnest(range(0, length(name))) AS s FROM names),
-pieces AS (SELECT name, substr(name, s + 1, l) AS word FROM (SELECT name, s, unnest(range(1, least({MAX_WORD}, length(name) - s) + 1)) AS l FROM starts)),
+pieces AS (SELECT name, substr(name, s + 1, l) AS word FROM (SELECT name, s, unnest(range(1, length(name) - s + 1)) AS l FROM starts)),
 known AS (SELECT name, map(list(word), list(n)) AS m FROM (SELECT DISTINCT name, word, n FROM pieces JOIN words USING (word)) GROUP BY name),
 best AS (
   SELECT name, m, 0 AS pos, [0.0::DOUBLE] AS scores, [0] AS backs FROM names LEFT JOIN known USING (name)
   UNION ALL
-  SELECT name, m, pos + 1, list_append(scores, list_max(c)), list_append(backs, (greatest(0, pos - {MAX_WORD - 1}) + list_position(c, list_max(c)) - 1)::INTEGER)
+  SELECT name, m, pos + 1, list_append(scores, list_max(c)), list_append(backs, (list_position(c, list_max(c)) - 1)::INTEGER)
   FROM (
-    SELECT best.*, list_transform(range(greatest(0, pos - {MAX_WORD - 1}), pos + 1), lambda s: scores[s + 1]
+    SELECT best.*, list_transform(range(0, pos + 1), lambda s: scores[s + 1]
       + coalesce(ln(m[substr(name, s + 1, pos + 1 - s)] / t), ln(10.0 / t) - (pos + 1 - s) * ln(10.0))) AS c
     FROM best, total WHERE pos < length(name))),
 back AS (

@@ -83,6 +83,20 @@ def test_learns_and_never_reads_held_out_labels(spark):
     assert again == {i: r["score"] for i, r in got.items()}
 
 
+def test_learns_from_the_middle_of_long_texts():
+    rng = random.Random(9)
+    texts, labels = [], []
+    for i in range(60):
+        words = prose(rng, 3000).split()
+        # one mark, somewhere in the text, is all that tells the classes apart
+        at = rng.randrange(300, 2700)
+        words[at : at + 20] = ["##%%##%%##%%##"] * 20 if i % 2 else words[at : at + 20]
+        texts.append(" ".join(words).encode())
+        labels.append(1 - i % 2)
+    net = q.train(texts[:40], np.array(labels[:40], np.float32))
+    assert ((q.score_texts(net, texts[40:]) >= 0.5).astype(int) == labels[40:]).mean() >= 0.9
+
+
 def test_odd_rows_and_constant_models(spark):
     docs = documents(spark, odd_rows(6))
     none = spark.createDataFrame([], "doc_id bigint, quality int")

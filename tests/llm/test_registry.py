@@ -29,7 +29,7 @@ print([k for k in e.queries() if not k.startswith("q_")])
 
 def test_one_query_for_each_operator_and_the_pipeline():
     names = [k for k in driver.queries() if not k.startswith("q_")]
-    assert sorted(int(k[2:].split("_")[0]) for k in names if k.startswith("op")) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in names if k.startswith("op")) == list(range(1, 14))
     assert "pipeline" in names and set(ORACLE) <= set(QUERIES)
 
 

@@ -1,0 +1,68 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from quillshard.llm import source_divergence as d
+from tests.llm.helpers import documents, odd_rows
+
+TERM = re.compile(d.TERM)
+
+
+def brute(rows, min_docs=3, top=200):
+    docs = [(r[2] or "", r[3] or "", TERM.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r[1] or ""))) for r in rows]
+    holders, counts = defaultdict(Counter), defaultdict(Counter)
+    for lang, source, words in docs:
+        holders[lang].update(set(words))
+        counts[lang, source].update(words)
+    out = []
+    for lang in {x[0] for x in docs}:
+        kept = [t for t, n in holders[lang].items() if n >= min_docs]
+        sources = sorted({s for g, s, _ in docs if g == lang})
+        of = {s: {t: counts[lang, s][t] for t in kept} for s in sources}
+        of[None] = {t: sum(of[s][t] for s in sources) for t in kept}
+        p = {s: {t: 1 + 10**9 * (c[t] + 1) // (sum(c.values()) + len(kept)) for t in kept} for s, c in of.items()}
+        apart = lambda a, b: (a - b) ** 2 // b
+        for s in sources:
+            pairs = [(-sum(apart(p[s][t], p[o][t]) for t in kept), o.encode(), o) for o in sources if o != s]
+            terms = [(-apart(p[s][t], p[None][t]), t.encode(), t) for t in kept if of[s][t] and p[s][t] > p[None][t]]
+            out += [(lang, s, "pair", o, -v, r + 1) for r, (v, _, o) in enumerate(sorted(pairs))]
+            out += [(lang, s, "term", t, -v, r + 1) for r, (v, _, t) in enumerate(sorted(terms)[:top])]
+    return sorted(out)
+
+
+def some_rows(seed):
+    rng = random.Random(seed)
+    words = [f"w{a}{b}" for a in "abcdef" for b in "ghéß漢"] + ["Ünï", "ABC", "abc", "x1y", "naïve", "日本", "Ω", "𝒳", "\x7f"]
+    rows = odd_rows(seed, 20)
+    for i in range(300):
+        lang, source = rng.choice(["en", "de", None, ""]), rng.choice(["hot"] * 4 + ["a", "b", None, "é", "Z"])
+        rows.append((2000 + i, " ".join(rng.choices(words, k=rng.randrange(0, 40))), lang, source, 1))
+    rows += [(3000, "unique words only", "xx", "one", 1), (3001, None, "xx", "two", 1), (3002, "", "yy", "alone", 1)]
+    return rows
+
+
+@pytest.mark.parametrize("held", [400_000, 20])
+def test_against_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(d, "_HELD", held)
+    rows = some_rows(3)
+    docs = documents(spark, rows).selectExpr("*", "1 AS count", "2 AS term", "'x' AS p", "3 AS value", "4 AS holders").repartition(5)
+    got = sorted(tuple(r) for r in d.divergence(docs).collect())
+    assert got == brute(rows) and any(r[2] == "pair" and r[0] == "xx" and r[4] == 0 for r in got)
+
+
+def test_only_the_first_terms_are_listed(spark):
+    rows = some_rows(4)
+    got = sorted(tuple(r) for r in d.divergence(documents(spark, rows), min_docs=2, top_terms=3).collect())
+    assert got == brute(rows, 2, 3)
+
+
+def test_counts_beyond_a_long(spark):
+    df = spark.createDataFrame([(10**13, 10**14, 10**6), (5, 10, 3), (0, 0, 0)], "c bigint, n bigint, v bigint")
+    got = [r[0] for r in df.select(d.share(df["c"], df["n"], df["v"])).collect()]
+    assert got == [1 + 10**9 * (10**13 + 1) // (10**14 + 10**6), 1 + 6 * 10**9 // 13, None]
+
+
+def test_empty(spark):
+    assert d.divergence(documents(spark, [])).count() == 0

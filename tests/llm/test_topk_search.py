@@ -74,6 +74,23 @@ def test_equals_sql(spark):
     assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(columns, want.fetchall())
 
 
+@pytest.mark.parametrize("size", [70_000.0, 1e6, 1e12, 1e30])
+def test_components_of_any_size(spark, size):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) * (size if i % 4 == 1 else 1) for _ in range(6)]) for i in range(80)] + [(90, [1e300] + [0.0] * 5), (91, [1.7e308] * 6)]
+    df = spark.createDataFrame(rows, "vec_id bigint, vector array<double>").repartition(3)
+    got = sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 5 == 0, bucket_rows=16).collect())
+    nearest = lambda s: max(-(2**63), min(2**63 - 1, s))
+    clean = [(i, [256 * int(x) if abs(x) > 2**60 else math.floor(256 * x) for x in v]) for i, v in rows if i != 91]
+    want = []
+    for q, qv in clean:
+        if q % 5 == 0:
+            ends = lambda s: max(1 - 2**125, min(2**125 - 1, s))
+            scored = sorted((-ends(sum(a * b for a, b in zip(qv, v))), i) for i, v in clean if i != q)[:5]
+            want += [(q, r + 1, i, nearest(-s)) for r, (s, i) in enumerate(scored)]
+    assert got == sorted(want)
+
+
 def test_empty_and_too_few(spark):
     assert run(spark, [], 5) == []
     assert run(spark, [(0, [1.0])], 5) == []

@@ -42,11 +42,11 @@ def best_split(name, counts, total):
 def brute(rows):
     counts = Counter()
     for _, _, html in rows:
-        counts.update(w for w in re.findall("[a-z]+", re.sub("<[^>]*>", " ", html or "").lower()) if len(w) <= 20)
+        counts.update(w for w in re.findall("[a-z]+", re.sub("<[^>]*>", " ", html or "").lower()))
     total = sum(counts.values())
 
     def words(name):
-        known = {(i, j): counts[name[i:j]] for i in range(len(name)) for j in range(i + 1, min(len(name), i + 20) + 1) if name[i:j] in counts}
+        known = {(i, j): counts[name[i:j]] for i in range(len(name)) for j in range(i + 1, len(name) + 1) if name[i:j] in counts}
         return split_name(name, known, total)
 
     pages = []
@@ -80,12 +80,15 @@ def run(spark, rows):
     return sorted(got, key=repr)
 
 
+LONG_WORD = "incomprehensibilitiesxyzab"
 ODD = [
     (1, None, None), (2, "", ""), (3, "no scheme", "<p>cheap pills</p>"), (4, "http://", "<b>free</b> bets"),
     (5, "HTTP://A.NET", "x"), (6, "http://a.net/", "x"), (7, "http://example.net/en/a?b#c", "x"), (8, "http://xexample.net/en/", "x"),
     (9, "http://m.Example.com/de/1", "x"), (10, "https://x.org/fr/", "x"), (11, "https://x.org?fr/", "x"), (12, "a://b://c/d", "x"),
     (13, "https://cheappills.example.com/en/12", "cheap cheap pills win casino casino"), (13, "https://cheappills.example.com/en/12", "x"),
     (None, "http://casino7win.biz/x-y/99", None), (14, "http://" + "q" * 300 + ".com/" + "z/" * 500, "x"), (15, "http://net/", "x"),
+    (19, "http://" + LONG_WORD + "shop.example.com/en/", f"<p>{LONG_WORD} {LONG_WORD} shop {LONG_WORD}{LONG_WORD}{'z' * 300}</p>"),
+    (20, "http://best" + LONG_WORD + "s" + LONG_WORD * 2 + "z" * 300 + ".org/", "best"),
     (16, "http://a.org/fr", "x"), (17, "http://user@a.net:80/en/", "x"), (18, "http://\u00e9t\u00e9.com/\u00c9n\n", "x"),
 ]
 
@@ -99,6 +102,12 @@ def test_odd_urls(spark, folder):
     assert sorted(con.execute(OP10_SQL).fetchall(), key=repr) == sorted((r[:5] for r in want), key=repr)
 
 
+def test_long_words_are_words(spark):
+    tokens = {r[0]: r[5] for r in run(spark, ODD)}
+    assert tokens[19][:2] == (f"host {LONG_WORD}", "host shop")
+    assert tokens[20][1] == f"host {LONG_WORD}" and f"host {LONG_WORD}{LONG_WORD}{'z' * 300}" in tokens[20]
+
+
 def test_more_urls_against_brute_force(spark):
     rng = random.Random(6)
     vocabulary = "cheap pills free bets blog news casino win garden".split()
