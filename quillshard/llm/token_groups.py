@@ -12,7 +12,7 @@ the first ``n - ceil(0.9 n) + c`` of either set: this prefix, a fifth of the set
    into groups of at most ``GROUP_ROWS`` sets and ``GROUP_TOKENS`` shingles. A group opens for its own members, whose similarities are
    one matrix product. With another hash in each of ``ROUNDS`` rounds, the members of a family meet in ever different groups and
    become one component, however many they are. The last round's groups stay.
-3. **Matrix.** Between components, each group stores the union of its members' shared prefix shingles, which is the
+3. **Matrix.** Between components, each group, now with its next neighbours in the order, stores the union of its members' shared prefix shingles, which is the
    token-group matrix. Only shingles that two components hold count. A class probes it with its rarest shingles, one more than it may miss;
    the groups it meets are bounded by how many of its shingles their union holds, and only those that reach what a pair must
    share open. Their members of other components are passed over where the sizes, the smaller reach or the prefixes rule a pair
@@ -46,6 +46,8 @@ SIMILAR_PERCENT = 90
 SURE = 4
 ROUNDS = 3
 GROUP_ROWS, GROUP_TOKENS = 32, 1 << 20
+# A column of the matrix is this many neighbouring groups of the last round, as a power of two.
+NEIGHBOURS = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _CACHE_WORDS = 400_000
 SIGNED = "doc_id bigint, tie int, n_shingles bigint, d1 bigint, d2 bigint, prefix array<bigint>"
@@ -235,7 +237,8 @@ def _groups(shared: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
 
 def _open(shared: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of different components that the matrix does not rule out."""
-    members = shared.join(groups.select("node", "cluster"), "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    wider = groups.select("node", F.shiftright("cluster", NEIGHBOURS).alias("cluster"))
+    members = shared.join(wider, "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     posted = members.select("node", "comp", F.explode("tokens").alias("token"))
     several = posted.groupBy("token").agg(F.count(F.lit(1)).alias("listed"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(
         F.col("low") < F.col("high")).select("token", "listed")
