@@ -16,6 +16,10 @@ BLANKS = r"[\x20\x09-\x0D]+"
 TEXT_ROWS = 256
 # A side of a join is broadcast only if its counted rows, of fixed width, stay below this.
 BROADCAST_ROWS = 500_000
+# Equal rows are expanded in runs of this many, so that no array grows with their number.
+RUN_ROWS = 4096
+# The columns the pipeline's stages read or write; all others only pass through.
+STAGE_COLUMNS = ("doc_id", "text", "source", "n_chars")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +46,21 @@ def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def numbered(df: DataFrame, into: str) -> DataFrame:
+    """Tell equal rows apart by a number from 0, without bringing them together: they are counted, then expanded."""
+    m = f"{into}_m"
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(m))
+    runs = counted.withColumn(into, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(m) - 1, F.lit(RUN_ROWS).cast("bigint"))))
+    end = F.least(F.col(into) + RUN_ROWS, F.col(m)) - 1
+    return runs.withColumn(into, F.explode(F.sequence(F.col(into), end))).drop(m)
+
+
+def with_extras_aside(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run a stage with the columns it does not know under neutral names, so that none can clash with its own."""
+    names = [c if c.lower() in STAGE_COLUMNS else f"extra_{i}" for i, c in enumerate(docs.columns)]
+    return stage(docs.toDF(*names)).toDF(*docs.columns)
+
+
 def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("bigint")
 

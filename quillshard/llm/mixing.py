@@ -9,8 +9,12 @@ down with the chances that keep every expectation, until one of them is at no or
 keeps the sum of words, so a source ends within the words of its one last document of its target. Duels
 run inside chunks of a source (about ``CHUNK_ROWS`` documents, by a hash, largest first); each chunk leaves at
 most one undecided document, and those meet again in the next level of a reduction tree of that fan-in.
-A source that holds most rows has more chunks, no larger ones. Coins are hashes of the seed and the chunk, and
-ties in size go by id and text, so a rerun on any cluster decides alike.
+A source that holds most rows has more chunks, no larger ones: rows without words or without a fraction are
+decided where they are read, and equal rows are numbered and dealt to one chunk after the other. Coins are hashes of the seed and the chunk, and
+ties in size go by id and the row's hash, so a rerun on any cluster decides alike.
+
+A row is known by its id, source and a hash of all its columns: rows that differ anywhere are mixed apart, and columns
+of any name pass through.
 
 Null texts and texts without words have size 0: they take their whole copies and no words. A null source is a
 source of its own, the last one. Null and repeated ids are allowed: every row is decided by itself. An
@@ -24,11 +28,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillshard.llm.common import n_words, row_key, sized, staged, table
+from quillshard.llm.common import RUN_ROWS, n_words, numbered, row_key, sized, staged, table, with_extras_aside
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -105,6 +109,12 @@ def _round_chunk(seed: int, level: int, rows: pa.Table) -> pa.Table:
     return rows.set_column(rows.schema.get_field_index("fraction"), "fraction", pa.array(left, pa.float64()))
 
 
+def row_tie(docs: DataFrame, text: str = "text") -> Column:
+    """A hash of the whole row, whatever types its columns have; nulls differ from empty texts."""
+    rest = [F.col(c) for c in docs.columns if c != text]
+    return F.xxhash64(F.col(text), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}))
+
+
 def plan_copies(
     docs: DataFrame,
     text: str = "text",
@@ -112,13 +122,13 @@ def plan_copies(
     chunk_rows: int = CHUNK_ROWS,
     seed: int = SEED,
 ) -> DataFrame:
-    """Per row: ``doc_id, source, tie`` (a hash of the text), ``size, source_size, target, copies``."""
-    items = staged(docs.select(
+    """Per row: ``doc_id, source, tie`` (a hash of the row), ``size, source_size, target, copies``."""
+    items = staged(numbered(docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
-        F.xxhash64(text).alias("tie"),
+        row_tie(docs, text).alias("tie"),
         n_words(F.col(text)).alias("size"),
-    ), "mix-items")
+    ), "copy"), "mix-items")
     targets = staged(source_targets(items, weights), "mix-targets").withColumnRenamed("source", "__s")
     joined = items.join(sized(targets, targets.count()), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     wish = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -129,10 +139,12 @@ def plan_copies(
         "doc_id", "source", "tie", "size", "source_size", "target",
         base.cast("bigint").alias("base"),
         F.when(fraction < 1e-12, 0.0).otherwise(fraction).alias("fraction"),
-        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie", "size"), chunks).alias("chunk"),
+        F.pmod(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie", "size"), chunks) + F.col("copy"), chunks).alias("chunk"),
         F.lit(NONE).alias("take"),
     )
-    done, level = [], 0
+    duels = (F.col("size") > 0) & (F.col("fraction") > 0)
+    done, level = [rows.where(~duels)], 0
+    rows = rows.where(duels)
     while True:
         step = rows.groupBy("source", "chunk").applyInArrow(_rounder(seed, level), rows.schema)
         step = staged(step, f"mix-level{level}")
@@ -155,15 +167,25 @@ def plan_copies(
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The mixed table: every document as often as the plan takes it, in the input's columns.
 
-    Rows that are equal in id, source and text are one document with the sum of their copies.
+    Rows that are equal in all columns are one document with the sum of their copies.
     """
+    return with_extras_aside(docs, lambda rows: _mixed(rows, weights))
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     plan = plan_copies(docs, weights=weights).withColumn("__key", row_key("doc_id", "source", "tie"))
-    copies = plan.groupBy("__key").agg(F.sum("copies").alias("__copies")).where(F.col("__copies") > 0)
+    copies = staged(plan.groupBy("__key").agg(
+        F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).where(F.col("__copies") > 0), "mix-copies")
     keyed = docs.withColumn("__key", F.md5(F.to_json(F.struct(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.xxhash64("text").alias("tie")), {"ignoreNullFields": "false"})))
-    taken = keyed.join(copies, "__key").dropDuplicates(["__key"])
-    repeated = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))))
+        row_tie(docs).alias("tie")), {"ignoreNullFields": "false"})))
+    if not copies.where(F.col("__rows") > 1).isEmpty():
+        # equal rows are folded where they are read, so that a row repeated without end does not travel as often
+        keyed = keyed.dropDuplicates(["__key"])
+    taken = keyed.join(copies, "__key")
+    runs = taken.withColumn("__run", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"), F.lit(RUN_ROWS).cast("bigint"))))
+    end = F.least(F.col("__run") + RUN_ROWS - 1, F.col("__copies"))
+    repeated = runs.withColumn("__copy", F.explode(F.sequence("__run", end)))
     return repeated.select(*docs.columns)
 
 

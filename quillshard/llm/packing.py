@@ -3,7 +3,8 @@
 Two documents conflict if they have the same source (unless ``spread_sources`` is off) or the same duplicate cluster; no
 sequence holds a conflicting pair. A document longer than a sequence is cut into full pieces and a rest, and no words are lost.
 
-Pieces are dealt by a hash into groups of about ``GROUP_ROWS`` and packed by one task each, largest first.
+Pieces are dealt by a hash into groups of about ``GROUP_ROWS`` and packed by one task each, largest first. Equal
+rows are numbered, and each goes to the group after its predecessor's, so a row repeated without end fills all groups alike.
 Open bins stand in the order of their residual room, and each carries a bitmap of its sources and one of its
 clusters. The search starts at the successor of the piece's length and goes on to roomier bins until the
 first, hence tightest, one that is compatible; without one a new bin opens. Groups have equal sizes whatever
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillshard.llm.common import WORD, n_words, staged, table
+from quillshard.llm.common import WORD, n_words, numbered, staged, table
 
 CAPACITY = 2048
 GROUP_ROWS = 2048
@@ -84,13 +85,13 @@ def pack(
     piece's first word in its document, ``bin_start`` its place in the sequence ``pack_id``.
     """
     label = F.col(cluster).cast("string") if cluster else F.md5("text")
-    lengths = staged(docs.select(
+    lengths = staged(numbered(docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         label.alias("cluster"),
         F.xxhash64("text").alias("tie"),
         n_words(F.col("text")).alias("n"),
-    ), "pack-lengths")
+    ), "copy"), "pack-lengths")
     last = F.greatest(F.ceil(F.col("n") / capacity), F.lit(1)) - 1
     pieces = lengths.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     total = lengths.agg(F.sum(last + 1)).first()[0] or 0
@@ -99,7 +100,7 @@ def pack(
         "doc_id", "source", "cluster", "tie", "piece",
         (F.col("piece") * capacity).alias("doc_start"),
         F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).alias("n_words"),
-        F.pmod(F.xxhash64("doc_id", "tie", "piece", "source"), F.lit(groups)).alias("group"),
+        F.pmod(F.pmod(F.xxhash64("doc_id", "tie", "piece", "source"), F.lit(groups)) + F.col("copy"), F.lit(groups)).alias("group"),
         F.lit(None).cast("bigint").alias("bin"),
         F.lit(None).cast("bigint").alias("bin_start"),
     )

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillshard.llm.common import BLANKS, WORD, let, table
+from quillshard.llm.common import BLANKS, WORD, let, table, with_extras_aside
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -137,7 +137,11 @@ def clean_documents(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keep_clean(df: DataFrame) -> DataFrame:
-    """The stage form: documents that are kept, with the text that is left and its length."""
+    """The stage form: documents that are kept, with the text that is left and its length; further columns of any name pass through."""
+    return with_extras_aside(df, _kept_clean)
+
+
+def _kept_clean(df: DataFrame) -> DataFrame:
     judged = clean_documents(df).where("kept")
     columns = {"text": F.col("clean_text")}
     if "n_chars" in df.columns:

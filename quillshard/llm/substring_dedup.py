@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillshard.llm.common import staged, table, text_batches
+from quillshard.llm.common import staged, table, text_batches, with_extras_aside
 
 UNIT_WORDS = 16
 CUT_BITS = 2
@@ -207,7 +207,14 @@ def _cut_batches(batches):
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """The stage form: documents without their repeated spans; a document of which no word is left goes."""
+    """The stage form: documents without their repeated spans; a document of which no word is left goes.
+
+    Further columns pass through, whatever their names are.
+    """
+    return with_extras_aside(docs, _without_repeats)
+
+
+def _without_repeats(docs: DataFrame) -> DataFrame:
     text_batches(docs.sparkSession)
     spans = repeated_spans(docs).groupBy(F.col("doc_id").alias("__doc"), F.col("tie").alias("__tie")).agg(
         F.collect_list(F.struct("start", "end")).alias("__spans"))

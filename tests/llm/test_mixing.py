@@ -89,3 +89,45 @@ def test_mixed_table_repeats_rows_as_planned(spark):
 def test_empty(spark):
     docs = documents(spark, [])
     assert plan_copies(docs).count() == 0 and mix(docs).count() == 0
+
+
+def test_a_row_repeated_without_end_and_blank_rows_fill_chunks_alike(spark, monkeypatch):
+    from quillshard.llm import mixing
+
+    seen = []
+    real = mixing.staged
+
+    def watch(df, purpose):
+        out = real(df, purpose)
+        if purpose == "mix-level0":
+            seen.extend(r["count"] for r in out.groupBy("source", "chunk").count().collect())
+        return out
+
+    monkeypatch.setattr(mixing, "staged", watch)
+    same = spark.range(200_000).selectExpr("7L AS doc_id", "'a b c' AS text", "'en' AS lang", "'hot' AS source", "5L AS n_chars")
+    blank = spark.range(200_000).selectExpr("id AS doc_id", "' ' AS text", "'en' AS lang", "'hot' AS source", "1L AS n_chars")
+    rare = documents(spark, [(i, "x y z w", "en", "rare", 7) for i in range(90_000, 90_040)])
+    plan = plan_copies(same.union(blank).union(rare))
+    by_source = {r["source"]: r for r in plan.groupBy("source").agg({"*": "count"}).collect()}
+    assert by_source["hot"]["count(1)"] == 400_000 and by_source["rare"]["count(1)"] == 40
+    assert max(seen) <= 2 * mixing.CHUNK_ROWS
+    hot = plan.where("source = 'hot'").selectExpr("sum(copies * size) AS taken", "max(target) AS target").first()
+    assert abs(hot["taken"] - hot["target"]) <= 3 + 1e-6
+
+
+def test_rows_that_differ_in_another_column_are_kept_apart(spark):
+    rows = [(1, "a b c", "en", "s", 5, "u1"), (1, "a b c", "en", "s", 5, "u2"), (2, "d e f g", "en", "t", 7, None), (2, "d e f g", "en", "t", 7, "")]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, url string"
+    docs = spark.createDataFrame(rows, schema)
+    plan = plan_copies(docs).groupBy("doc_id", "tie").sum("copies").collect()
+    assert len(plan) == 4
+    out = [tuple(r) for r in mix(docs).collect()]
+    assert set(out) <= set(rows)
+    assert sorted(out.count(r) for r in rows) == sorted(r["sum(copies)"] for r in plan)
+
+
+def test_repeated_rows_fold_and_expand(spark):
+    docs = documents(spark, [(1, "a b", "en", "s", 3)] * 9000 + [(2, "c d e", "en", "t", 5)] * 5)
+    want = {r["doc_id"]: r["c"] for r in plan_copies(docs).groupBy("doc_id").agg({"copies": "sum"}).withColumnRenamed("sum(copies)", "c").collect()}
+    got = {r["doc_id"]: r["count"] for r in mix(docs).groupBy("doc_id").count().collect()}
+    assert got == {k: v for k, v in want.items() if v}

@@ -78,3 +78,14 @@ def test_sources_may_share_a_sequence_if_asked(spark):
     docs = documents(spark, [(i, f"a{i} b{i} c{i}", "en", "same", 1) for i in range(9)])
     alone, shared = (pack(docs, capacity=9, spread_sources=s).select("pack_id").distinct().count() for s in (True, False))
     assert (alone, shared) == (9, 3)
+
+
+def test_a_row_repeated_without_end_fills_all_groups_alike(spark, monkeypatch):
+    from quillshard.llm import packing
+
+    same = spark.range(200_000).selectExpr("7L AS doc_id", "'a b c' AS text", "'en' AS lang", "'hot' AS source", "5L AS n_chars")
+    placed = packing.pack(same, spread_sources=False)
+    groups = placed.selectExpr("shiftright(pack_id, 24) AS g").groupBy("g").count().collect()
+    assert sum(r["count"] for r in groups) == 200_000
+    assert max(r["count"] for r in groups) <= 2 * packing.GROUP_ROWS
+    assert placed.select("pack_id").distinct().count() == 200_000

@@ -1,5 +1,7 @@
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.helpers import documents, folder_of, odd_rows, prose
 from tests.llm.test_mixing import brute_targets
@@ -85,3 +87,28 @@ def test_run_is_the_stages(spark, folder):
 
 def test_empty(spark, folder):
     assert corpus_pipeline.run(spark, folder_of(documents(spark, []), folder)).count() == 0
+
+
+CLASHING = ["__key", "__copies", "__copy", "__run", "__counts", "__judged", "__doc", "__tie", "__raw", "__spans",
+            "kept", "n_words", "clean_text", "tie", "copies", "target", "extra_0", "a.b", "copy", "copy_m"]
+
+
+def test_no_stage_clashes_with_further_columns(spark, folder):
+    docs = documents(spark, rows_for(33))
+    clashing = docs.select("*", *[F.concat(F.lit(f"{name}-"), F.col("doc_id").cast("string")).alias(name) for name in CLASHING])
+    plain, wide = docs, clashing
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        plain, wide = stage(spark, plain, folder), stage(spark, wide, folder)
+        if name == "packing":
+            assert wide.count() == plain.count()
+            break
+        assert wide.columns == clashing.columns
+        plain.write.parquet(f"{folder}/plain{n}")
+        wide.write.parquet(f"{folder}/wide{n}")
+        plain, wide = spark.read.parquet(f"{folder}/plain{n}"), spark.read.parquet(f"{folder}/wide{n}")
+        assert all(r["kept"] == f"kept-{r['doc_id']}" and r["__raw"] == f"__raw-{r['doc_id']}" and r["a.b"] == f"a.b-{r['doc_id']}"
+                   for r in wide.collect())
+        if name != "source_mix":
+            assert sorted(map(str, plain.collect())) == sorted(map(str, wide.select(*docs.columns).collect()))
+        # the mix knows a row by all its columns, so its draw differs; go on with the same rows
+        plain = wide.select(*docs.columns)
