@@ -1,7 +1,7 @@
 """Dense global row positions without a single-task sort.
 
-Two passes. The first reads only the order key and counts rows per bucket; the counts (at most
-``MAX_BUCKETS`` rows) are merged on the driver into contiguous parts of bounded size with a running
+Two passes. The first reads only the order key, shuffles its 64-bit hash to find keys that occur twice, at
+any size and wherever they lie, and counts rows per bucket; the counts (at most ``MAX_BUCKETS`` rows) are merged on the driver into contiguous parts of bounded size with a running
 offset each. The second shuffles every row once, to the task of its part, and numbers it there.
 """
 
@@ -30,8 +30,6 @@ ROWS_PER_PART = 1_000_000
 _ROW_IN_TASK = (1 << 33) - 1
 # A table too small to fill its parts is still spread over the cores, down to this size.
 _SMALL_PART = 1_000
-# How far above its even share one bucket may lie before the keys must be duplicates.
-_SKEW = 8
 
 
 @dataclass(frozen=True)
@@ -100,21 +98,34 @@ def _part_count(df: DataFrame, total: int, rows_per_part: int) -> int:
     return max(2, min(MAX_BUCKETS, max(-(-total // rows_per_part), spread)))
 
 
+def _reject_duplicates(slim: DataFrame, keys: list[str], hashed: DataFrame) -> None:
+    """Raise if rows share a key; rows that share only the key's hash pass."""
+    met = hashed.where(F.col("same") > 1).select(F.col("digest").alias("__digest"))
+    suspect = slim.join(met, F.xxhash64(*keys) == F.col("__digest"), "left_semi")
+    worst = suspect.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > 1)
+    found = worst.agg(F.count(F.lit(1)).alias("keys"), F.max("__rows").alias("rows")).first()
+    if found["keys"]:
+        raise ValueError(f"the order key {keys} is not unique: {found['keys']} keys occur more than once, one of them {found['rows']} times")
+
+
 def _layout(
     slim: DataFrame, keys: list[str], bucket: Column, order: tuple[Column, ...], rows_per_part: int
 ) -> OrderLayout:
+    # equal keys have equal hashes; a hash that occurs once cannot hide a duplicate
+    digest = F.xxhash64(*keys)
+    hashed = slim.groupBy(bucket.alias("bucket"), digest.alias("digest")).agg(
+        F.count(F.lit(1)).alias("same"), F.count_if(any_null(keys)).alias("nulls"))
     counts = (
-        slim.groupBy(bucket.alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(any_null(keys)).alias("nulls"))
+        hashed.groupBy("bucket")
+        .agg(F.sum("same").alias("n"), F.sum("nulls").alias("nulls"), F.max("same").alias("same"))
         .toPandas()
         .sort_values("bucket")
     )
     reject_nulls(int(counts["nulls"].sum()), keys)
     n = counts["n"].to_numpy(dtype=np.int64)
     total = int(n.sum())
-    # distinct keys spread evenly; a bucket far above its share can only be one key many times over
-    if len(n) and n.max() > _SKEW * max(rows_per_part, total // MAX_BUCKETS):
-        raise ValueError(f"the order key {keys} is not unique: {n.max()} rows fall in one place of the order")
+    if len(n) and counts["same"].max() > 1:
+        _reject_duplicates(slim, keys, hashed)
     start = np.cumsum(n) - n
     wanted = _part_count(slim, total, rows_per_part)
     # a part is the run of buckets that start in the same equal stretch of positions

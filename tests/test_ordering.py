@@ -234,3 +234,22 @@ def test_train_only_split_equals_the_train_part(spark):
     both = {(r["k"], r["position"]) for r in splits.ratio_split(df, 0.3, ["k"], 5, 40)[0].where("split = 'train'").collect()}
     alone, totals = splits.ratio_split(df, 0.3, ["k"], 5, 40, train_only=True)
     assert {(r["k"], r["position"]) for r in alone.collect()} == both and totals == {"train": 350, "val": 150}
+
+
+@pytest.mark.parametrize("layout", [positions.range_layout, lambda df, keys: positions.shuffled_layout(df, keys, 42)])
+def test_duplicate_keys_are_refused_at_any_size(spark, layout):
+    pairs = spark.range(2000).selectExpr("id DIV 2 AS id", "concat('k', repeat('x', 300), id DIV 2) AS t")
+    for keys in (["id"], ["t"], ["id", "t"]):
+        with pytest.raises(ValueError, match="not unique: 1000 keys occur more than once, one of them 2 times"):
+            layout(pairs, keys)
+    one_pair = spark.range(5000).union(spark.range(1).selectExpr("4321L AS id"))
+    with pytest.raises(ValueError, match="not unique: 1 keys"):
+        layout(one_pair, ["id"])
+    near_equal = spark.range(2000).selectExpr("id DIV 2 AS a", "id % 2 AS b")
+    assert layout(near_equal, ["a", "b"]).total == 2000
+
+
+def test_rows_that_appear_in_a_table_counted_empty_fail_loudly(spark):
+    layout = positions.range_layout(spark.range(0).withColumnRenamed("id", "k"), ["k"])
+    with pytest.raises(Exception, match="was not there when rows were counted"):
+        positions.with_position(spark.range(3).withColumnRenamed("id", "k"), layout).collect()
