@@ -322,6 +322,19 @@ ORACLE = {
         for name in ("loss", "perplexity", "grad_norm", "step_duration", "steps_per_second", "tokens_per_second")
     ),
 }
+ORACLE["q_snapshot_rewrite"] = (
+    with_(DOC_EXAMPLES, ordered_docs("documents", 6, "six"), ordered_docs("documents", 4, "four"))
+    + """, placed AS (SELECT 'pinned' AS reader, * FROM six UNION ALL SELECT 'newest', * FROM four
+  UNION ALL SELECT 'newest', * FROM six WHERE shard_id >= 4)
+  SELECT reader, shard_id, position, ids_md5, n_tokens, labels_md5 FROM examples JOIN placed USING (doc_id)"""
+)
+ORACLE["q_stream_slots"] = (
+    with_(DOC_EXAMPLES)
+    + f""", placed AS (SELECT doc_id, (('0x' || substr(md5('{SEED}|' || doc_id), 1, 8))::BIGINT % 8)::INTEGER AS shard_id,
+    ('0x' || substr(md5('{SEED}|' || doc_id), 9, 8))::BIGINT % 4 AS file FROM documents)
+  SELECT doc_id, shard_id, row_number() OVER (PARTITION BY shard_id ORDER BY doc_id % 3, file, doc_id) - 1 AS slot,
+    ids_md5, n_tokens, labels_md5 FROM examples JOIN placed USING (doc_id)"""
+)
 ORACLE["q_split_slices"] = """WITH d AS (SELECT doc_id, lang, md5(text) AS text_md5, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p,
     count(*) OVER (PARTITION BY lang) AS n FROM documents),
   k AS (SELECT *, CASE lang WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS part FROM d

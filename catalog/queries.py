@@ -27,7 +27,7 @@ from quillshard.plans.config import PreprocessConfig
 from quillshard.plans.preprocess import place_rows, preprocess, read_rows, tokenized_examples
 from quillshard.plans.steps import step_plan
 from quillshard.session import scratch_dir
-from quillshard.sources import runlogs, shards
+from quillshard.sources import runlogs, shards, snapshots
 from quillshard.sources.datasets import read_examples, spread_small_input
 from quillshard.sources.slices import read_slices
 from quillshard.streaming import examples as stream_examples
@@ -102,6 +102,18 @@ def q_rewrite_keep_stale(spark, sf):
     return rows.select("shard_name", "num_rows", F.coalesce("stored_rows", F.lit(0)).cast("bigint").alias("stored_rows"))
 
 
+def q_snapshot_rewrite(spark, sf):
+    """A reader pinned before a rewrite into fewer shards, and the version after it, whose last shards are carried over."""
+    root = scratch_dir(spark, "snapshots")
+    cfg = doc_config(sf, output_dir=root, num_train_shards=6, keep_position=True, snapshots=True)
+    preprocess(spark, cfg, DOC_FORMAT, ByteEncoder())
+    pinned = snapshots.open_snapshot(spark, root)
+    preprocess(spark, replace(cfg, num_train_shards=4, keep_stale=True), DOC_FORMAT, ByteEncoder())
+    readers = {"pinned": pinned, "newest": snapshots.open_snapshot(spark, root)}
+    seen = [s.read_all(keep_position=True).withColumn("reader", F.lit(name)) for name, s in readers.items()]
+    return example_digests(seen[0].unionByName(seen[1]), "reader", "shard_id", "position")
+
+
 def q_load_shard(spark, sf):
     root = scratch_dir(spark, "shards")
     preprocess(spark, doc_config(sf, output_dir=root, num_train_shards=4, keep_position=True), DOC_FORMAT, ByteEncoder())
@@ -656,6 +668,20 @@ def q_stream_preprocess(spark, sf):
     return example_digests(spark.read.parquet(f"{root}/examples"), "doc_id", "shard_id")
 
 
+def q_stream_slots(spark, sf):
+    """All documents in three micro-batches, the last of them after a restart, with gapless slots in each shard."""
+    root = scratch_dir(spark, "slots")
+    rows = docs_to_encode(spark, sf)
+    for turn in range(3):
+        rows.where(F.pmod("doc_id", F.lit(3)) == turn).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        if turn:
+            stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+            stream_examples.append_numbered(
+                stream, ["doc_id"], DOC_FORMAT, ByteEncoder(), LENGTH, 8, f"{root}/out", f"{root}/state", SEED, available_now=True,
+            ).awaitTermination()
+    return example_digests(stream_examples.read_numbered(spark, f"{root}/out"), "doc_id", "shard_id", "slot")
+
+
 def q_metrics_callback(spark, sf):
     root = scratch_dir(spark, "payloads")
     t.step_log(spark, sf).write.parquet(f"{root}/steps")

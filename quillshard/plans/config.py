@@ -39,6 +39,8 @@ class PreprocessConfig:
     seed: int = 42
     keep_position: bool = False
     keep_stale: bool = False
+    # store a new version beside the ones that readers hold, instead of replacing shards
+    snapshots: bool = False
     rows_per_part: int = ROWS_PER_PART
 
     @classmethod
@@ -52,7 +54,7 @@ class PreprocessConfig:
         train, val = job["train"], job["val"]
         chosen = lambda first, second: first if first is not None else second
         own = {k: dataset[k] for k in ("fmt", "subset_column", "split_column", "schema", "options") if k in dataset}
-        more = {k: job[k] for k in ("mask_padding", "seed", "keep_position", "keep_stale", "rows_per_part") if k in job}
+        more = {k: job[k] for k in ("mask_padding", "seed", "keep_position", "keep_stale", "snapshots", "rows_per_part") if k in job}
         return cls(
             path=dataset["name"],
             key=tuple(dataset["key"]),

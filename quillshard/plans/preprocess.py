@@ -16,6 +16,7 @@ from quillshard.operators.splits import TRAIN, VALIDATION, makes_split, ordered_
 from quillshard.plans.config import PreprocessConfig
 from quillshard.sources.datasets import read_examples, spread_small_input
 from quillshard.sources.shards import write_shards
+from quillshard.sources.snapshots import write_snapshot
 
 log = logging.getLogger(__name__)
 
@@ -87,14 +88,7 @@ def preprocess(spark: SparkSession, cfg: PreprocessConfig, formatter: Formatter,
 
 
 def store(placed: PlacedRows, cfg: PreprocessConfig, encoder: Encoder) -> DataFrame:
-    return write_shards(
-        placed.df,
-        cfg.output_dir,
-        encoder,
-        cfg.max_length,
-        placed.totals,
-        placed.num_shards,
-        keep_position=cfg.keep_position,
-        keep_stale=cfg.keep_stale,
-        mask_padding=cfg.mask_padding,
-    )
+    """Write the shards, in place or as a new version, and return their manifest."""
+    what = (placed.df, cfg.output_dir, encoder, cfg.max_length, placed.totals, placed.num_shards)
+    how = {"keep_position": cfg.keep_position, "keep_stale": cfg.keep_stale, "mask_padding": cfg.mask_padding}
+    return write_snapshot(*what, **how).manifest().drop("folder") if cfg.snapshots else write_shards(*what, **how)

@@ -76,3 +76,73 @@ def test_example_stream_equals_batch(spark, folder):
     batch = to_examples(encode_rows(rows, formatter, encoder, 48), encoder, 48, ("k",))
     assert batch.exceptAll(got.select(*batch.columns)).count() == 0 and got.count() == 40
     assert spark.read.parquet(f"{folder}/out").select("shard_id").distinct().count() == 3
+
+
+def numbered(spark, folder, files_per_shard=2):
+    formatter, encoder = InstructionFormatter("q", "a"), ByteEncoder()
+    schema = "k bigint, q string, a string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return ex.append_numbered(
+        stream, ["k"], formatter, encoder, 32, 3, f"{folder}/out", f"{folder}/state", files_per_shard=files_per_shard, available_now=True)
+
+
+def add_rows(spark, folder, keys):
+    rows = [(k, f"q{k}", "a") for k in keys]
+    spark.createDataFrame(rows, "k bigint, q string, a string").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+
+def slots_of(spark, folder):
+    found = {}
+    for r in ex.read_numbered(spark, f"{folder}/out").select("shard_id", "slot", "k", "batch_id").collect():
+        found.setdefault(r.shard_id, []).append((r.slot, r.batch_id, r.k))
+    return {shard: sorted(rows) for shard, rows in found.items()}
+
+
+def test_slots_have_no_gaps_over_triggers_and_restarts(spark, folder):
+    for low, high in ((0, 30), (30, 33), (33, 34)):
+        add_rows(spark, folder, range(low, high))
+    numbered(spark, folder).awaitTermination()
+    before = slots_of(spark, folder)
+    add_rows(spark, folder, range(34, 70))
+    numbered(spark, folder).awaitTermination()
+    after = slots_of(spark, folder)
+    for shard, rows in after.items():
+        assert [slot for slot, _, _ in rows] == list(range(len(rows)))
+        assert [batch for _, batch, _ in rows] == sorted(batch for _, batch, _ in rows)
+        assert rows[: len(before[shard])] == before[shard]
+    assert sorted(k for rows in after.values() for _, _, k in rows) == list(range(70))
+    # the slots of two batches are all that is kept
+    assert len([n for n in ex.folders.entries(spark, f"{folder}/out/slots") if n.isdigit()]) == 2
+
+
+def test_a_batch_that_failed_takes_the_same_slots_again(spark, folder, monkeypatch):
+    add_rows(spark, folder, range(20))
+    numbered(spark, folder).awaitTermination()
+    add_rows(spark, folder, range(20, 50))
+
+    def dies(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        # the slots of the batch are written, its examples are not
+        m.setattr(ex, "to_examples", dies)
+        try:
+            numbered(spark, folder).awaitTermination()
+            failed = False
+        except Exception:  # noqa: BLE001
+            failed = True
+    assert failed and max(len(rows) for rows in slots_of(spark, folder).values()) <= 20
+    numbered(spark, folder).awaitTermination()
+    after = slots_of(spark, folder)
+    assert all([slot for slot, _, _ in rows] == list(range(len(rows))) for rows in after.values())
+    assert sum(map(len, after.values())) == 50
+
+
+def test_a_null_key_stops_the_stream(spark, folder):
+    add_rows(spark, folder, [1, None])
+    try:
+        numbered(spark, folder).awaitTermination()
+        stopped = False
+    except Exception as err:  # noqa: BLE001
+        stopped = "null in the key columns" in str(err)
+    assert stopped
