@@ -322,6 +322,12 @@ ORACLE = {
         for name in ("loss", "perplexity", "grad_norm", "step_duration", "steps_per_second", "tokens_per_second")
     ),
 }
+ORACLE["q_stream_scrape_late"] = with_(GAUGE_SAMPLES) + """,
+span AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS middle, (max(epoch_us(ts)) // 1000 - 60000) * 1000 AS mark FROM gauge_samples),
+held AS (SELECT g.*, time_bucket(INTERVAL 5 SECONDS, ts) AS window_start,
+    epoch_us(ts) > middle OR epoch_us(time_bucket(INTERVAL 5 SECONDS, ts)) + 5000000 > mark AS seen FROM gauge_samples g, span)
+SELECT run_id, rank, metric, window_start, arg_max(value, (ts, event_id)) FILTER (seen) AS value,
+  count(*) FILTER (seen) AS samples, count(*) FILTER (NOT seen) AS lost FROM held GROUP BY run_id, rank, metric, window_start"""
 ORACLE["q_snapshot_rewrite"] = (
     with_(DOC_EXAMPLES, ordered_docs("documents", 6, "six"), ordered_docs("documents", 4, "four"))
     + """, placed AS (SELECT 'pinned' AS reader, * FROM six UNION ALL SELECT 'newest', * FROM four

@@ -660,6 +660,25 @@ def q_stream_scrape_triggers(spark, sf):
     return joined.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+def q_stream_scrape_late(spark, sf):
+    """The scrape when the older half of the time span arrives after the newer one: its windows are closed, and what they lost is counted."""
+    root = scratch_dir(spark, "scrape")
+    samples = t.gauge_samples(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    at = F.unix_micros("ts")
+    middle = samples.select(F.call_function("div", F.min(at) + F.max(at), F.lit(2)).alias("m")).first()["m"]
+    newer = at > F.lit(middle)
+    for part in (samples.where(newer), samples.where(~newer)):
+        part.write.mode("append").parquet(f"{root}/in")
+        windows = stream_metrics.scrape_stream(spark.readStream.schema(samples.schema).parquet(f"{root}/in"), "1 minute", ["ts", "event_id"])
+        stream_metrics.upsert_windows(windows, f"{root}/windows", f"{root}/state", available_now=True, merge_every=2).awaitTermination()
+    latest = stream_metrics.read_windows(spark, f"{root}/windows")
+    lost = stream_metrics.lost_samples(samples, latest, ["ts", "event_id"])
+    both = latest.join(lost, [*t.RUN_METRIC, "window_start"], "full")
+    return both.withColumns({
+        "window_start": F.col("window_start").cast("timestamp_ntz"), "samples": F.coalesce("samples", F.lit(0)),
+        "lost": F.coalesce("lost", F.lit(0))})
+
+
 def q_stream_preprocess(spark, sf):
     root = scratch_dir(spark, "examples")
     raw = _stream(spark, sf, "documents")

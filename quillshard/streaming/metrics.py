@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillshard.operators.telemetry import RUN, metric_payload, published, scraped_gauges, step_metrics
+from quillshard.sources import folders
+
+# Batches whose folders become one.
+MERGE_EVERY = 32
 
 
 def scrape_stream(samples: DataFrame, delay: str, order_by: list[str]) -> DataFrame:
@@ -20,13 +25,23 @@ def scrape_stream(samples: DataFrame, delay: str, order_by: list[str]) -> DataFr
     return scraped_gauges(samples.withWatermark("ts", delay), order_by)
 
 
-def upsert_windows(windows: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Keep every version of a window under ``path/batch_id=...``; ``read_windows`` shows the latest.
+def upsert_windows(
+    windows: DataFrame, path: str, checkpoint: str, available_now: bool = False, merge_every: int = MERGE_EVERY
+) -> StreamingQuery:
+    """Keep the windows of each batch under ``path/batch_id=...``; ``read_windows`` shows the latest version of each.
 
-    A batch that is retried after a failure overwrites its own folder, so nothing is counted twice.
+    A batch that is retried after a failure overwrites its own folder, so nothing is counted twice. Every ``merge_every`` batches
+    their folders are merged into one, ``merge_every`` of these into a wider one, and so on: a version
+    is rewritten once for each width, and the folders number as the logarithm of the batches. A merged folder appears whole, by a rename;
+    what it replaces stands until the next merge, for readers that had listed it.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        if batch_id == 0 and set(folders.entries(spark, path)) - {"batch_id=0"}:
+            raise ValueError(f"{path} holds the windows of another checkpoint")
+        batch.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if (batch_id + 1) % merge_every == 0:
+            _merge(spark, path, batch_id, merge_every)
 
     writer = windows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -34,9 +49,47 @@ def upsert_windows(windows: DataFrame, path: str, checkpoint: str, available_now
 
 def read_windows(spark: SparkSession, path: str) -> DataFrame:
     """The latest version of each window."""
-    latest = F.max_by(F.struct("value", "samples"), "batch_id").alias("w")
-    grouped = spark.read.parquet(path).groupBy(*RUN, "metric", "window_start").agg(latest)
-    return grouped.select(*RUN, "metric", "window_start", "w.value", "w.samples")
+    current, _ = _ranges(spark, path)
+    return _latest(spark, path, [name for _, _, name in current]).drop("version")
+
+
+def _ranges(spark: SparkSession, path: str) -> tuple[list[tuple[int, int, str]], list[str]]:
+    """``first, last, name`` of the folders that hold all batches, and the names that wider ones replace."""
+    found = []
+    for name in folders.entries(spark, path):
+        kind, _, batches = name.partition("=")
+        if kind in ("batch_id", "merged"):
+            first, _, last = batches.partition("-")
+            found.append((int(first), int(last or first), name))
+    current, replaced = [], []
+    for first, last, name in sorted(found, key=lambda r: (r[0], -r[1])):
+        if current and last <= current[-1][1]:
+            replaced.append(name)
+        else:
+            current.append((first, last, name))
+    return current, replaced
+
+
+def _latest(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    versions = spark.read.parquet(*[f"{path}/{name}" for name in names])
+    latest = F.max_by(F.struct("value", "samples", "version"), "version").alias("w")
+    return versions.groupBy(*RUN, "metric", "window_start").agg(latest).select(*RUN, "metric", "window_start", "w.*")
+
+
+def _merge(spark: SparkSession, path: str, batch_id: int, merge_every: int) -> None:
+    """Merge the widest run of batches that is complete with this one."""
+    width = merge_every
+    while (batch_id + 1) % (width * merge_every) == 0:
+        width *= merge_every
+    first = batch_id + 1 - width
+    current, replaced = _ranges(spark, path)
+    for name in replaced:
+        folders.remove(spark, f"{path}/{name}")
+    hidden = f"{path}/_{uuid.uuid4().hex}"
+    _latest(spark, path, [name for start, last, name in current if start >= first and last <= batch_id]).write.parquet(hidden)
+    if not folders.rename_new(spark, hidden, f"{path}/merged={first}-{batch_id}"):
+        # the batch is tried again, and had come this far
+        folders.remove(spark, hidden)
 
 
 def lost_samples(samples: DataFrame, windows: DataFrame, order_by: list[str]) -> DataFrame:

@@ -146,3 +146,38 @@ def test_a_null_key_stops_the_stream(spark, folder):
     except Exception as err:  # noqa: BLE001
         stopped = "null in the key columns" in str(err)
     assert stopped
+
+
+def test_window_folders_are_merged(spark, folder):
+    arrived = []
+    for batch in range(9):
+        # each batch sets one new window and sets an early one anew
+        arrived += [sample(2 * batch, 60 * batch, batch), sample(2 * batch + 1, batch / 10, 100 + batch)]
+        write(spark, folder, batch, arrived[-2:])
+    windows = sm.scrape_stream(source(spark, folder), "1 hour", ["ts", "event_id"])
+    sm.upsert_windows(windows, f"{folder}/out", f"{folder}/state", available_now=True, merge_every=2).awaitTermination()
+    names = [n for n in sm.folders.entries(spark, f"{folder}/out") if "=" in n]
+    assert "merged=0-7" in names and "batch_id=0" not in names and "merged=0-1" not in names
+    current, replaced = sm._ranges(spark, f"{folder}/out")
+    assert [first for first, _, _ in current] == [0] + [last + 1 for _, last, _ in current[:-1]] and len(replaced) <= 4
+    got = {(r.window_start, r.value, r.samples) for r in sm.read_windows(spark, f"{folder}/out").collect()}
+    want = scraped_gauges(spark.createDataFrame(arrived, SAMPLES), ["ts", "event_id"])
+    assert got == {(r.window_start, r.value, r.samples) for r in want.collect()} and len(got) == 9
+    # a batch that is tried again after its merge changes nothing
+    sm._merge(spark, f"{folder}/out", 7, 2)
+    assert {(r.window_start, r.value, r.samples) for r in sm.read_windows(spark, f"{folder}/out").collect()} == got
+    assert not [n for n in sm.folders.entries(spark, f"{folder}/out") if n.startswith("_")]
+
+
+def test_a_new_checkpoint_does_not_write_over_windows(spark, folder):
+    write(spark, folder, 0, [sample(0, 0, 1)])
+    run(spark, folder, "1 hour")
+    write(spark, folder, 1, [sample(1, 9, 1)])
+    run(spark, folder, "1 hour")
+    windows = sm.scrape_stream(source(spark, folder), "1 hour", ["ts", "event_id"])
+    stopped = False
+    try:
+        sm.upsert_windows(windows, f"{folder}/out", f"{folder}/state2", available_now=True).awaitTermination()
+    except Exception as err:  # noqa: BLE001
+        stopped = "another checkpoint" in str(err)
+    assert stopped
