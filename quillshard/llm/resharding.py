@@ -4,16 +4,18 @@ A sharded table is a folder of files, ``shard=S/block=B``; blocks are hash class
 ``BLOCK_BYTES``. From the byte sizes of the old shards and the capacities of the new ones, a minimum-cost flow on
 the graph of shards (staying costs nothing, a moved byte costs one) says how many bytes go where. Each old
 shard's bytes are then cut, in the order of its blocks, into the runs of that flow. A block inside one run moves or
-stays whole; only the few blocks that a cut crosses (at most one per edge of the flow) are split by rows.
-Blocks that stay are not read for writing at all: the new table is the manifest of kept block folders plus
-the folder of moved rows.
+stays whole; only the few blocks that a cut crosses (at most one per edge of the flow) are split by rows, and
+rewritten. Blocks that stay are not read for writing at all: the new table is the manifest of kept blocks, the folder of moved rows
+and the folder of what stays of crossed blocks. ``read_resharded`` needs nothing else, so the old folders of
+blocks that the manifest does not name can be deleted.
 
 The flow graph has one node per shard and lives on the driver; block tables and rows stay in Spark. Running
 sums go by block first (one row per block) and then inside one block, so no task ever holds a shard, and
 shards and blocks are hashes of the id and text, so hot sources and groups of copies spread.
 
 Sizes are UTF-8 bytes of the text plus ``ROW_BYTES``, so a null text has the size ``ROW_BYTES``. Null ids are hashed like
-any value. Repeated rows are separate rows with separate slots. An empty table gives an empty result.
+any value. Repeated rows are separate rows with separate slots. An empty table gives an empty result. Further columns pass
+through; one that bears a name of this module (``RESERVED``, in any case) is stored as ``original_`` and its name.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillshard.llm.common import sized, staged, table
@@ -34,6 +37,9 @@ BLOCK_BYTES = 64 << 20
 MIN_BLOCKS = 8
 # Fixed-width rows of the table of blocks (one row per block) up to which it is broadcast.
 FATE_ROWS = 4_000_000
+# Beside the folder of moved rows: what stays of crossed blocks, and the manifest of kept blocks.
+CUT, KEPT = "-cut", "-kept"
+RESERVED = ("shard", "block", "old_shard", "moved", "slot", "__size", "__tie", "__to", "__start", "__first", "__last", "__n", "__before")
 
 
 def row_size(text: str = "text") -> Column:
@@ -99,11 +105,26 @@ def plan_runs(old_sizes: list[int], capacities: list[int]) -> list[Run]:
     return runs
 
 
+def set_aside(docs: DataFrame) -> DataFrame:
+    """Give columns that bear a reserved name another one."""
+    taken = {c.lower() for c in docs.columns} | set(RESERVED)
+    names = []
+    for name in docs.columns:
+        if name.lower() in RESERVED:
+            name = f"original_{name}"
+            while name.lower() in taken:
+                name = f"original_{name}"
+            taken.add(name.lower())
+        names.append(name)
+    return docs.toDF(*names)
+
+
 def write_sharded(docs: DataFrame, root: str, n_shards: int = OLD_SHARDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Write a table of hash shards and blocks, one file per block; returns the written table.
 
     ``__size`` and ``__tie`` (a hash of the text) are stored with each row, so that planning reads no text.
     """
+    docs = set_aside(docs)
     total = docs.agg(F.sum(row_size())).first()[0] or 0
     blocks = max(MIN_BLOCKS, -(-total // (n_shards * block_bytes)))
     placed = docs.withColumns({"__size": row_size(), "__tie": F.xxhash64("text")}).withColumns({
@@ -131,8 +152,9 @@ def _interval(shard: Column, at: Column, runs: list[Run]) -> Column:
 def reshard(old: DataFrame, moved_root: str, n_new: int = NEW_SHARDS) -> DataFrame:
     """Reshard a table of ``write_sharded`` to equal byte capacities; returns the resharded rows.
 
-    Rows that move are written under ``moved_root``; the others stay in their old files. ``shard`` is the new
-    shard; ``old_shard`` and ``block`` name where a row was, ``moved`` whether it left.
+    Rows that move are written under ``moved_root``, what stays of a crossed block and the manifest of kept blocks beside it; kept
+    blocks stay in their old files. ``shard`` is the new shard; ``old_shard`` and ``block`` name where a row was, ``moved``
+    whether it left.
     """
     spark = old.sparkSession
     sizes = staged(old.groupBy("shard", "block").agg(F.sum("__size").alias("bytes")), "shards-sizes")
@@ -148,19 +170,34 @@ def reshard(old: DataFrame, moved_root: str, n_new: int = NEW_SHARDS) -> DataFra
     last = _interval(F.col("shard"), F.col("end") - 1, runs)
     fate = blocks.select(
         "shard", "block", (F.col("end") - F.col("bytes")).alias("__start"), first.alias("__first"), last.alias("__last"))
-    rows = old.join(sized(staged(fate, "shards-fate"), n_blocks, FATE_ROWS), ["shard", "block"])
+    fate = staged(fate, "shards-fate")
+    rows = old.join(sized(fate, n_blocks, FATE_ROWS), ["shard", "block"])
     whole = rows.where(F.col("__first") == F.col("__last")).withColumn("__to", F.col("__first"))
     # a block that a cut crosses: the row's middle byte decides
     inside = Window.partitionBy("shard", "block").orderBy("__tie", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     middle = F.col("__start") + F.coalesce(F.sum("__size").over(inside), F.lit(0)) + F.floor(F.col("__size") / 2)
     crossed = rows.where(F.col("__first") != F.col("__last")).withColumn("__to", _interval(F.col("shard"), middle, runs))
-    placed = whole.unionByName(crossed).drop("__start", "__first", "__last").withColumnRenamed("shard", "old_shard")
+    whole, crossed = (r.drop("__start", "__first", "__last").withColumnRenamed("shard", "old_shard") for r in (whole, crossed))
     goes = F.col("__to") != F.col("old_shard")
-    going = placed.where(goes)
-    going.write.partitionBy("__to").option("compression", "zstd").parquet(moved_root)
-    gone = spark.read.schema(going.schema).parquet(moved_root)
-    stay = placed.where(~goes).withColumn("moved", F.lit(False))
-    return stay.unionByName(gone.withColumn("moved", F.lit(True))).withColumnRenamed("__to", "shard")
+    for written, place in ((whole.unionByName(crossed).where(goes), moved_root), (crossed.where(~goes), moved_root + CUT)):
+        written.write.partitionBy("__to").option("compression", "zstd").parquet(place)
+    kept = fate.where((F.col("__first") == F.col("shard")) & (F.col("__last") == F.col("shard")))
+    kept.select("shard", "block").write.parquet(moved_root + KEPT)
+    return read_resharded(old, moved_root)
+
+
+def read_resharded(old: DataFrame, moved_root: str) -> DataFrame:
+    """The table that ``reshard`` left under ``moved_root``, with the kept blocks of the table it came from."""
+    spark = old.sparkSession
+    kept = spark.read.schema("shard int, block int").parquet(moved_root + KEPT)
+    stay = old.join(sized(kept, kept.count(), FATE_ROWS), ["shard", "block"]).withColumn("old_shard", F.col("shard"))
+    fields = [T.StructField("old_shard" if f.name == "shard" else f.name, f.dataType) for f in old.schema]
+    schema = T.StructType([*fields, T.StructField("__to", T.IntegerType())])
+    rows = stay.withColumn("moved", F.lit(False))
+    for place, moved in ((moved_root + CUT, False), (moved_root, True)):
+        written = spark.read.schema(schema).parquet(place).withColumnRenamed("__to", "shard")
+        rows = rows.unionByName(written.withColumn("moved", F.lit(moved)))
+    return rows
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
