@@ -626,8 +626,9 @@ def q_detect_rank(spark, sf):
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of them: a plain path must be a folder, a pattern may name either."""
     schema = t.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def q_stream_scrape(spark, sf):

@@ -1,13 +1,16 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+from catalog import queries as q
 from quillshard.functions.encoders import ByteEncoder
 from quillshard.functions.examples import encode_rows, to_examples
 from quillshard.functions.formatting import InstructionFormatter
 from quillshard.operators.telemetry import scraped_gauges
 from quillshard.streaming import examples as ex
 from quillshard.streaming import metrics as sm
+from tests.conftest import SF_SMALL
 
 SAMPLES = "run_id string, rank int, metric string, ts timestamp, event_id bigint, value double"
 START = dt.datetime(2024, 1, 1)
@@ -181,3 +184,11 @@ def test_a_new_checkpoint_does_not_write_over_windows(spark, folder):
     except Exception as err:  # noqa: BLE001
         stopped = "another checkpoint" in str(err)
     assert stopped
+
+
+@pytest.mark.parametrize("query, table", [(q.q_stream_preprocess, "documents"), (q.q_stream_scrape, "events")])
+def test_a_table_streams_as_a_file_and_as_a_folder_of_files(spark, folder, query, table):
+    spark.read.parquet(f"{SF_SMALL}/{table}.parquet").repartition(5).write.parquet(f"{folder}/{table}.parquet")
+    whole, parts = query(spark, SF_SMALL), query(spark, folder)
+    assert whole.count() > 0 and whole.count() == parts.count()
+    assert whole.exceptAll(parts).isEmpty() and parts.exceptAll(whole).isEmpty()
