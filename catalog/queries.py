@@ -645,16 +645,16 @@ def q_stream_scrape(spark, sf):
 
 
 def q_stream_scrape_triggers(spark, sf):
-    """The scrape over four files in time order, one per trigger, with what the watermark lost (nothing) beside it."""
+    """The scrape over four quarters in time order, one per trigger, with what the watermark lost (nothing) beside it."""
     root = scratch_dir(spark, "scrape")
     samples = t.gauge_samples(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     bounds = samples.select(F.percentile_approx("ts", [0.25, 0.5, 0.75]).alias("q")).first()["q"]
     for low, high in zip([None, *bounds], [*bounds, None], strict=True):
         part = samples.where((F.lit(low is None) | (F.col("ts") > F.lit(low))) & (F.lit(high is None) | (F.col("ts") <= F.lit(high))))
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    windows = stream_metrics.scrape_stream(stream, "1 minute", ["ts", "event_id"])
-    stream_metrics.upsert_windows(windows, f"{root}/windows", f"{root}/state", available_now=True).awaitTermination()
+        # as many files as the scan has tasks; each start of the stream takes what is new as one batch
+        part.write.mode("append").parquet(f"{root}/in")
+        windows = stream_metrics.scrape_stream(spark.readStream.schema(samples.schema).parquet(f"{root}/in"), "1 minute", ["ts", "event_id"])
+        stream_metrics.upsert_windows(windows, f"{root}/windows", f"{root}/state", available_now=True).awaitTermination()
     latest = stream_metrics.read_windows(spark, f"{root}/windows")
     lost = stream_metrics.lost_samples(samples, latest, ["ts", "event_id"]).select(*t.RUN_METRIC, "window_start", "lost")
     joined = latest.join(lost, [*t.RUN_METRIC, "window_start"], "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
@@ -689,16 +689,16 @@ def q_stream_preprocess(spark, sf):
 
 
 def q_stream_slots(spark, sf):
-    """All documents in three micro-batches, the last of them after a restart, with gapless slots in each shard."""
+    """All documents in three micro-batches, each after a restart, with gapless slots in each shard."""
     root = scratch_dir(spark, "slots")
     rows = docs_to_encode(spark, sf)
     for turn in range(3):
-        rows.where(F.pmod("doc_id", F.lit(3)) == turn).coalesce(1).write.mode("append").parquet(f"{root}/in")
-        if turn:
-            stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-            stream_examples.append_numbered(
-                stream, ["doc_id"], DOC_FORMAT, ByteEncoder(), LENGTH, 8, f"{root}/out", f"{root}/state", SEED, available_now=True,
-            ).awaitTermination()
+        # as many files as the scan has tasks; each start of the stream takes what is new as one batch
+        rows.where(F.pmod("doc_id", F.lit(3)) == turn).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        stream_examples.append_numbered(
+            stream, ["doc_id"], DOC_FORMAT, ByteEncoder(), LENGTH, 8, f"{root}/out", f"{root}/state", SEED, available_now=True,
+        ).awaitTermination()
     return example_digests(stream_examples.read_numbered(spark, f"{root}/out"), "doc_id", "shard_id", "slot")
 
 

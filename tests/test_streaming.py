@@ -192,3 +192,19 @@ def test_a_table_streams_as_a_file_and_as_a_folder_of_files(spark, folder, query
     whole, parts = query(spark, SF_SMALL), query(spark, folder)
     assert whole.count() > 0 and whole.count() == parts.count()
     assert whole.exceptAll(parts).isEmpty() and parts.exceptAll(whole).isEmpty()
+
+
+@pytest.mark.parametrize("query, table, turns", [(q.q_stream_slots, "documents", 3), (q.q_stream_scrape_triggers, "events", 4)])
+def test_no_single_task_writes_what_a_stream_takes(spark, folder, monkeypatch, query, table, turns):
+    spark.read.parquet(f"{SF_SMALL}/{table}.parquet").repartition(5).write.parquet(f"{folder}/{table}.parquet")
+    monkeypatch.setattr(q, "scratch_dir", lambda *_: f"{folder}/scratch")
+    parts = query(spark, folder)
+    written = [n for n in ex.folders.entries(spark, f"{folder}/scratch/in") if n.endswith(".parquet")]
+    assert len(written) > 2 * turns
+    if table == "documents":
+        # a micro-batch is still one turn
+        batches = ex.read_numbered(spark, f"{folder}/scratch/out").select("batch_id", F.col("doc_id") % 3).distinct().collect()
+        assert sorted(map(tuple, batches)) == [(0, 0), (1, 1), (2, 2)]
+    got = parts.collect()
+    monkeypatch.undo()
+    assert sorted(map(str, got)) == sorted(map(str, query(spark, SF_SMALL).collect()))
