@@ -7,7 +7,9 @@ have reached the task that writes them. ``length`` counts the ids of a payload w
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 TEXTS_PER_CALL = 256
 WORD = "[^ \\t\\r\\n]+"
+_BLANK_AFTER_WORD = re.compile(r"(?<=\S) ")
 
 
 class Encoder(Protocol):
@@ -119,7 +122,9 @@ class FileEncoder:
     """A ``tokenizer.json`` run through the public ``tokenizers`` package.
 
     The JSON text is broadcast and parsed once per Python worker and batch stream. Full texts get the
-    tokenizer's special tokens and prompts do not; both come back from one call per batch.
+    tokenizer's special tokens and prompts do not; both come back from one call per batch. With a length, and a
+    tokenizer that treats what stands before a blank alike whatever follows, a text is read on in doubling
+    stretches only until its ids are full.
     """
 
     tokenizer_json: str
@@ -138,6 +143,7 @@ class FileEncoder:
         @F.arrow_udf("ids array<int>, prompt_len int")
         def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             tokenizer = _load_tokenizer(shared.value)
+            in_stretches = max_length is not None and parts_at_blanks(shared.value)
             tokenizer.no_padding()
             if max_length is None:
                 tokenizer.no_truncation()
@@ -147,12 +153,10 @@ class FileEncoder:
                 ids, prompt_lens = [], []
                 # encodings are larger than their ids, so only a few are held at a time
                 for at in range(0, len(texts), TEXTS_PER_CALL):
-                    full = tokenizer.encode_batch_fast(texts[at : at + TEXTS_PER_CALL].to_pylist())
-                    bare = tokenizer.encode_batch_fast(
-                        prompts[at : at + TEXTS_PER_CALL].to_pylist(), add_special_tokens=False
-                    )
-                    ids += [encoding.ids for encoding in full]
-                    prompt_lens += [len(encoding) for encoding in bare]
+                    full = texts[at : at + TEXTS_PER_CALL].to_pylist()
+                    bare = prompts[at : at + TEXTS_PER_CALL].to_pylist()
+                    ids += _ids_of(tokenizer, full, max_length, in_stretches, True)
+                    prompt_lens += map(len, _ids_of(tokenizer, bare, max_length, in_stretches, False))
                 yield pa.StructArray.from_arrays(
                     [pa.array(ids, pa.list_(pa.int32())), pa.array(prompt_lens, pa.int32())], ["ids", "prompt_len"]
                 )
@@ -169,6 +173,40 @@ class FileEncoder:
         return F.size(payload)
 
 
+def parts_at_blanks(tokenizer_json: str) -> bool:
+    """Whether the tokens before a blank that follows a word are the same with and without what comes after.
+
+    That holds for the byte-level pre-tokenizer with its regex and no normalizer: none of its pieces goes from another
+    character to a blank, and it looks ahead only from blanks to the next character. Added tokens must be plain and hold no blanks.
+    """
+    spec = json.loads(tokenizer_json)
+    pre = spec.get("pre_tokenizer") or {}
+    plain = lambda token: not (
+        token.get("lstrip") or token.get("rstrip") or token.get("single_word") or re.search(r"\s", token["content"]))
+    return (
+        spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
+        and all(map(plain, spec.get("added_tokens") or []))
+    )
+
+
+def _ids_of(tokenizer, texts: list[str], max_length: int | None, in_stretches: bool, special: bool) -> list[list[int]]:
+    """The ids of whole texts, cut to the length the tokenizer is set to; full ids need no more of their text."""
+    found: list[list[int]] = [[]] * len(texts)
+    left, stretch = list(range(len(texts))), max_length
+    while left:
+        ends = [_BLANK_AFTER_WORD.search(texts[i], stretch) if in_stretches else None for i in left]
+        heads = [texts[i] if end is None else texts[i][: end.start()] for i, end in zip(left, ends, strict=True)]
+        more = []
+        for i, end, encoding in zip(left, ends, tokenizer.encode_batch_fast(heads, add_special_tokens=special), strict=True):
+            found[i] = encoding.ids
+            if end is not None and len(found[i]) < max_length:
+                more.append(i)
+        left = more
+        if in_stretches:
+            stretch *= 2
+    return found
+
+
 def _load_tokenizer(tokenizer_json: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     try:

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -6,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from catalog.queries import byte_level_tokenizer
+from quillshard.functions import encoders
 from quillshard.functions.encoders import ByteEncoder, FileEncoder, HashWordEncoder, resolve_pad_id
 from quillshard.functions.examples import EXAMPLE_COLUMNS, encode_rows, to_examples
 from quillshard.functions.formatting import InstructionFormatter
@@ -128,3 +130,45 @@ def test_examples_stay_in_the_jvm_and_build_ids_once(spark):
     plan = plan_of(to_examples(encode_rows(df, PLAIN, ByteEncoder(), 32), ByteEncoder(), 32, ("id",)))
     assert "Python" not in plan
     assert plan.count("StringDecode.decode") == 1
+
+
+class Counting:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.chars = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.chars += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+@pytest.mark.parametrize("prefix_space, trailer", [(False, False), (True, False), (False, True)])
+def test_a_long_text_is_tokenized_only_until_its_ids_are_full(prefix_space, trailer):
+    spec = json.loads(byte_level_tokenizer())
+    spec["pre_tokenizer"]["add_prefix_space"] = prefix_space
+    spec["model"]["vocab"] |= {"ab": 300, "Ġa": 301, "Ġab": 302, "ĠĠ": 303, "abab": 304}
+    spec["model"]["merges"] = ["a b", "Ġ a", "Ġa b", "Ġ Ġ", "ab ab"]
+    if trailer:
+        spec["post_processor"]["single"].append({"SpecialToken": {"id": "<bos>", "type_id": 0}})
+    rng = random.Random(4)
+    pieces = ["a", "b", "abab", " ", "  ", "\n", " \t ", "\u3000", "\xa0", "'re", "'", "12", "é", "<eos>", "<bos>", "\U0001f600", "\x1c", "-"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(60))) for _ in range(1500)] + ["ab " * 20_000, "x" * 300, ""]
+    text = json.dumps(spec)
+    assert encoders.parts_at_blanks(text)
+    tokenizer = encoders._load_tokenizer(text)
+    for length in (3, 8, 25):
+        tokenizer.enable_truncation(length)
+        for special in (True, False):
+            whole, parts = Counting(tokenizer), Counting(tokenizer)
+            want = encoders._ids_of(whole, texts, length, False, special)
+            assert encoders._ids_of(parts, texts, length, True, special) == want
+            assert parts.chars < whole.chars - 59_000
+
+
+def test_other_tokenizers_read_whole_texts():
+    spec = json.loads(byte_level_tokenizer())
+    eos = spec["added_tokens"][0]
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": spec["pre_tokenizer"] | {"use_regex": False}},
+                   {"added_tokens": [eos | {"lstrip": True}]}, {"added_tokens": [eos | {"content": "a b"}]}):
+        assert not encoders.parts_at_blanks(json.dumps(spec | change))
