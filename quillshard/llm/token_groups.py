@@ -13,7 +13,8 @@ the first ``n - ceil(0.9 n) + c`` of either set: this prefix, a fifth of the set
    one matrix product. With another hash in each of ``ROUNDS`` rounds, the members of a family meet in ever different groups and
    become one component, however many they are. The last round's groups stay.
 3. **Matrix.** Between components, each group, now with its next neighbours in the order, stores the union of its members' shared prefix shingles, which is the
-   token-group matrix. Only shingles that two components hold count. A class probes it with its rarest shingles, one more than it may miss;
+   token-group matrix. Only shingles that two components hold count. A class probes it with its rarest shingles, one more than it may miss, of
+   which classes of one group probe with equal ones once;
    the groups it meets are bounded by how many of its shingles their union holds, and only those that reach what a pair must
    share open. Their members of other components are passed over where the sizes, the smaller reach or the prefixes rule a pair
    out, and are compared on full sets else.
@@ -235,6 +236,18 @@ def _groups(shared: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
     return staged(ordered.select("node", "shingles").mapInArrow(_group_batches, "node bigint, cluster bigint, tied bigint"), f"groups-round{turn}")
 
 
+def _rarest() -> Column:
+    """The shingles that a class probes with: of these, any partner's column holds one."""
+    return F.slice("tokens", F.lit(1), (F.size("tokens") - F.col("need") + 1).cast("int"))
+
+
+def _met(asking: DataFrame, held: DataFrame) -> DataFrame:
+    """``asker, cluster, met``: columns and the rare shingles they meet by, each asked for once however many members probe with it."""
+    probes = asking.select(F.col("cluster").alias("asker"), F.explode(_rarest()).alias("token")).distinct()
+    cells = held.select("cluster", F.explode("union").alias("token"))
+    return probes.join(cells, "token").groupBy("asker", "cluster").agg(F.collect_list("token").alias("met"))
+
+
 def _open(shared: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of different components that the matrix does not rule out."""
     wider = groups.select("node", F.shiftright("cluster", NEIGHBOURS).alias("cluster"))
@@ -249,14 +262,13 @@ def _open(shared: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFrame:
         F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.min("n").alias("least"), F.max("n").alias("most"),
         F.min("comp").alias("low"), F.max("comp").alias("high"))
     held = staged(held, "groups-matrix")
-    rarest = asking.select("node", "comp", "n", "reach", F.explode(F.slice("tokens", F.lit(1), (F.size("tokens") - F.col("need") + 1).cast("int"))).alias("token"))
-    cells = held.select("cluster", "least", "most", "low", "high", F.explode("union").alias("token"))
+    met = _met(asking, held).join(held, "cluster")
     fits = (100 * F.col("most") >= SIMILAR_PERCENT * F.col("n")) & (100 * F.col("n") >= SIMILAR_PERCENT * F.col("least"))
     fits &= _enough(F.col("reach"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * SIMILAR_PERCENT / 100)))
     other = (F.col("low") < F.col("high")) | (F.col("low") != F.col("comp"))
-    met = rarest.join(cells, "token").where(fits & other).select("node", "cluster").distinct()
-    bounded = met.join(asking.select("node", "tokens", "need", "n", "reach", "comp"), "node").join(held.select("cluster", "union"), "cluster").where(
-        F.size(F.array_intersect("tokens", "union")) >= F.col("need")).select("cluster", "node", "n", "reach", "comp", "tokens")
+    holds = F.when(F.arrays_overlap("rarest", "met"), F.size(F.array_intersect("tokens", "union")) >= F.col("need")).otherwise(False)
+    own = asking.select(F.col("cluster").alias("asker"), "node", "tokens", "need", "n", "reach", "comp", _rarest().alias("rarest"))
+    bounded = own.join(met, "asker").where(F.when(fits & other, holds).otherwise(False)).select("cluster", "node", "n", "reach", "comp", "tokens")
     partners = asking.select(F.col("cluster").alias("of"), *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "reach", "comp", "tokens")])
     n, m = F.col("n"), F.col("other_n")
     cheap = (F.col("comp") != F.col("other_comp")) & _near_sizes(n, m) & _enough(F.least("reach", "other_reach"), n, m)

@@ -95,6 +95,17 @@ def test_members_of_a_group_are_tied_by_exact_similarity():
     assert g.tied_members(sets) == [0, 0, 0, 3, 3, 0, 6, 6]
 
 
+def test_columns_of_a_family_meet_by_each_shingle_once(spark):
+    # 60 members in three columns, all with the same shingles, and a class of its own
+    rows = [(k, k // 20, 2, list(range(10))) for k in range(60)] + [(99, 9, 1, [50, 51])]
+    asking = spark.createDataFrame(rows, "node bigint, cluster bigint, need bigint, tokens array<bigint>")
+    held = asking.selectExpr("cluster", "tokens AS union").distinct()
+    met = g._met(asking, held).collect()
+    pairs = {(r["asker"], r["cluster"]): sorted(r["met"]) for r in met}
+    assert pairs == {(a, b): list(range(9)) for a in range(3) for b in range(3)} | {(9, 9): [50, 51]}
+    assert sum(len(r["met"]) for r in met) == 9 * 9 + 2
+
+
 def test_empty(spark):
     assert g.similar_documents(documents(spark, [])).count() == 0
     assert [r["component_id"] for r in g.similar_documents(documents(spark, [(1, None, None, None, None)])).collect()] == [1]
