@@ -106,6 +106,66 @@ def test_columns_of_a_family_meet_by_each_shingle_once(spark):
     assert sum(len(r["met"]) for r in met) == 9 * 9 + 2
 
 
+def linked(a, b):
+    return 100 * len(a & b) >= 90 * len(a | b)
+
+
+def named(sets, pairs):
+    """The components of sets under pairs of their places."""
+    first = list(range(len(sets)))
+    for a, b in pairs:
+        low, high = sorted((first[a], first[b]))
+        first = [low if f == high else f for f in first]
+    return first
+
+
+def test_a_family_opens_few_pairs(spark, monkeypatch):
+    # copies of one text with one to five words changed: most pairs share nearly all and still miss the threshold
+    rng = random.Random(5)
+    base = " ".join(f"w{rng.randrange(10**4)}" for _ in range(150))
+    texts = [edited(rng, base, 1 + k % 5) for k in range(200)]
+    rows = [(k, text, "en", "s", 1) for k, text in enumerate(texts)]
+    opened, confirmed = [], g._confirmed
+    monkeypatch.setattr(g, "_confirmed", lambda pairs, sets: opened.append(pairs.count()) or confirmed(pairs, sets))
+    # shorter copies, so that what is changed occurs twice and reach rules no class out
+    rows += [(1000 + k, " ".join(text.split()[:120]), "en", "s", 1) for k, text in enumerate(texts)]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in g.similar_documents(documents(spark, rows)).collect()]
+    assert sorted(got) == sorted(brute(rows))
+    assert opened[0] <= 20 * len(rows)
+
+
+def test_classes_of_a_centre_are_linked_by_what_they_differ_in(spark):
+    rng = random.Random(8)
+    for size, fresh, most in ((60, 20, 8), (40, 400, 6)):
+        centre = set(range(size))
+        sets = []
+        for _ in range(90):
+            left = centre - set(rng.sample(range(size), rng.randint(0, most)))
+            sets.append(frozenset(left | {size + rng.randrange(fresh) for _ in range(rng.randint(0, most))}))
+        sets = list(dict.fromkeys(sets))
+        comps = named(sets, [(a, b) for a in range(9) for b in range(a) if linked(sets[a], sets[b])])
+        rows = [(k, comps[k], len(s), "c", size, len(s & centre), sorted(s ^ centre)) for k, s in enumerate(sets)]
+        family = spark.createDataFrame(rows, "node bigint, comp bigint, n bigint, centre string, core bigint, held bigint, apart array<bigint>")
+        pairs = [(r["a"], r["b"]) for r in g._one_centre(family).collect()]
+        assert len(set(pairs)) == len(pairs) and all(comps[a] != comps[b] for a, b in pairs)
+        every = [(a, b) for a in range(len(sets)) for b in range(a) if linked(sets[a], sets[b])]
+        known = [(k, c) for k, c in enumerate(comps)]
+        assert named(sets, known + [(a, b) for a, b in pairs if linked(sets[a], sets[b])]) == named(sets, every)
+        assert 0 < len(pairs) < len(sets) * (len(sets) - 1) // 2
+
+
+def test_a_class_against_the_centre_that_takes_its_own_place(spark):
+    shape, other = list(range(100)), list(range(3, 103))
+    rows = [(k, "c", 100, 99, [5, 500 + k], shape if k == 0 else None) for k in range(20)]
+    rows += [(k, "d", 100, 98, [50, 60, 700, 701], other if k == 30 else None) for k in range(30, 33)]
+    rows += [(40, "e", 10, 9, [4000, 900], list(range(4000, 4010))), (41, None, 0, None, None, None)]
+    told = spark.createDataFrame(rows, "node bigint, centre string, core bigint, held bigint, apart array<bigint>, shape array<bigint>")
+    got = {r["node"]: (r["centre"], r["core"], r["held"], sorted(r["apart"])) for r in g._centred(told).collect()}
+    assert got[4] == ("c", 100, 99, [5, 504]) and got[40] == ("e", 10, 9, [900, 4000]) and 41 not in got
+    member = (set(other) - {50, 60}) | {700, 701}
+    assert got[31] == ("c", 100, len(member & set(shape)), sorted(member ^ set(shape)))
+
+
 def test_empty(spark):
     assert g.similar_documents(documents(spark, [])).count() == 0
     assert [r["component_id"] for r in g.similar_documents(documents(spark, [(1, None, None, None, None)])).collect()] == [1]
